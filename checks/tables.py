@@ -140,7 +140,9 @@ def profile_json(entry: dict) -> str:
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    """A given table. Each is one small file, which would be one task; wide rows are spread out."""
+    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return df.repartition(spark.sparkContext.defaultParallelism) if name in ("documents", "pages") else df
 
 
 def posting_id(key: Column) -> Column:

@@ -48,8 +48,24 @@ def words(alternatives: str, flags: str = "i") -> str:
     return rx(f"{NOT_AFTER_WORD}(?:{alternatives}){NOT_BEFORE_WORD}", flags)
 
 
+#: The characters ``SPACE`` stands for.
+SPACE_CHARACTERS = "\t\n\u000b\f\r \u00a0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000\ufeff"
+
+
 def js_trim(col: Column) -> Column:
-    return F.regexp_replace(col, f"^[{SPACE}]+|[{SPACE}]+\\z", "")
+    return F.btrim(col, F.lit(SPACE_CHARACTERS))
+
+
+def mentions(text: Column, lower: Column, needles: str, pattern: str, flags: str = "i") -> Column:
+    """``text`` matches ``pattern``, which needs one of the lower-case ``needles`` ('|' between them).
+
+    ``lower`` is the lower-case text, or a longer one that contains it. A substring test costs a
+    fraction of a pattern search, and most texts hold no needle.
+    """
+    found = F.lit(False)
+    for needle in needles.split("|"):
+        found = found | F.contains(lower, F.lit(needle))
+    return found & text.rlike(rx(pattern, flags))
 
 
 def utf16_length(col: Column) -> Column:

@@ -12,6 +12,10 @@ from pyspark.sql.types import StringType
 
 from rolecast.functions.regex import SPACE, js_trim, rx
 
+# Characters that compatibility composition leaves alone in any company of each other: ASCII,
+# Latin-1 letters and signs, common dashes and quotes, the euro and rupee signs.
+NFKC_STABLE = r"\x00-\x7F\xC0-\xFF\x{2013}\x{2014}\x{2018}-\x{201D}\x{2022}\x{20AC}\x{20B9}"
+
 # Controls except tab/LF/CR, zero-width, bidirectional and tag characters.
 FORBIDDEN = (
     r"[\x{00}-\x{08}\x{0B}\x{0C}\x{0E}-\x{1F}\x{7F}-\x{9F}"
@@ -65,8 +69,8 @@ def _nfkc(values: pd.Series) -> pd.Series:
 
 def nfkc(col: Column) -> Column:
     """Compatibility composition. Spark has no built-in, so this is one Arrow batch function;
-    ASCII text is its own normal form and never leaves the JVM."""
-    return F.coalesce(_nfkc(F.when(col.rlike(r"[^\x00-\x7F]"), col)), col)
+    text that is its own normal form never leaves the JVM."""
+    return F.coalesce(_nfkc(F.when(col.rlike(f"[^{NFKC_STABLE}]"), col)), col)
 
 
 def strip_forbidden_unicode(col: Column) -> Column:

@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from rolecast.functions.similarity import jaccard, normalize_company, shingles, title_tokens
 from rolecast.operators.store import recent
-from rolecast.plans.candidates import prefix_buckets
+from rolecast.plans.candidates import prefix_buckets, prefix_size
 from rolecast.plans.components import connected_components
 from rolecast.plans.skew import bucket_pairs, salted_join
 from rolecast.session import cut_lineage
@@ -282,29 +282,46 @@ def group_evidence(src: DataFrame, groups: DataFrame, max_chars: int | None = No
 
 def check_batch_duplicates(new: DataFrame, existing: DataFrame, n: int = 500, max_chars: int | None = None) -> DataFrame:
     """(job_id, existing_job_id, reason) of new postings against the n (at most 500) latest stored ones."""
-    latest = prepare_postings(recent(existing, n), max_chars).drop("class_key")
+
+    def keyed(df: DataFrame) -> DataFrame:
+        prepared = prepare_postings(df, max_chars).drop("class_key")
+        hashes = F.array_sort(F.array_distinct(F.transform("shingle_set", lambda s: F.xxhash64(s))))
+        prefix = F.slice(hashes, F.lit(1), prefix_size(F.size(hashes), *DESCRIPTION_THRESHOLD))
+        return prepared.withColumn("prefix", prefix)
+
+    latest = keyed(recent(existing, n))
     stored = latest.select(*[F.col(c).alias(f"old_{c}") for c in latest.columns])
-    fresh = prepare_postings(new, max_chars).drop("class_key")
+    fresh = keyed(new)
     same = fresh.join(stored, F.col("fingerprint") == F.col("old_fingerprint")).select(
         "job_id",
         F.col("old_job_id").alias("existing_job_id"),
         F.concat(F.lit("Identical fingerprint: "), "fingerprint").alias("reason"),
     )
     close_title = jaccard(F.col("title_set"), F.col("old_title_set")) >= TITLE_THRESHOLD[0] / TITLE_THRESHOLD[1]
+    sizes = [F.size("shingle_set"), F.size("old_shingle_set")]
+    # Cheap and exact tests first: set sizes, then prefixes, which close sets must share.
+    close_size = F.least(*sizes) * DESCRIPTION_THRESHOLD[1] >= F.greatest(*sizes) * DESCRIPTION_THRESHOLD[0]
+    meeting = (F.greatest(*sizes) == 0) | F.arrays_overlap("prefix", "old_prefix")
     met = fresh.filter("company <> ''").join(
         stored,
-        (F.col("company") == F.col("old_company")) & (F.col("fingerprint") != F.col("old_fingerprint")) & close_title,
+        (F.col("company") == F.col("old_company"))
+        & (F.col("fingerprint") != F.col("old_fingerprint"))
+        & close_size
+        & close_title
+        & meeting,
     )
 
-    def counts(column: str) -> dict[str, Column]:
-        both = F.size(F.array_intersect(column, f"old_{column}"))
-        total = F.size(column) + F.size(f"old_{column}") - both
-        return {
-            f"{column}_shared": F.when(total == 0, 1).otherwise(both),
-            f"{column}_total": F.when(total == 0, 1).otherwise(total),
-        }
+    def counted(df: DataFrame, column: str) -> DataFrame:
+        df = df.withColumn("_both", F.size(F.array_intersect(column, f"old_{column}")))
+        total = F.size(column) + F.size(f"old_{column}") - F.col("_both")
+        return df.withColumns(
+            {
+                f"{column}_shared": F.when(total == 0, 1).otherwise(F.col("_both")),
+                f"{column}_total": F.when(total == 0, 1).otherwise(total),
+            }
+        )
 
-    met = met.withColumns({**counts("title_set"), **counts("shingle_set")}).filter(
+    met = counted(counted(met, "title_set"), "shingle_set").filter(
         F.col("shingle_set_shared") * DESCRIPTION_THRESHOLD[1] >= F.col("shingle_set_total") * DESCRIPTION_THRESHOLD[0]
     )
     near = met.select(

@@ -375,7 +375,7 @@ def phrase_hits(postings: DataFrame, phrases: DataFrame) -> DataFrame:
         .withColumn("token", F.explode(tokens))
         .join(wanted, "token")
     )
-    return candidates.filter(F.exists("_texts", lambda t: t.rlike(F.col("pattern")))).select("job_id", "phrase")
+    return candidates.filter(F.exists("_texts", lambda t: F.rlike(t, F.col("pattern")))).select("job_id", "phrase")
 
 
 def deal_breakers(pairs: DataFrame, postings: DataFrame, profiles: DataFrame) -> DataFrame:

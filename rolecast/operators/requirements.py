@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from rolecast.functions.regex import rx
+from rolecast.functions.regex import mentions
 from rolecast.functions.sections import classify_item, with_section_items
 from rolecast.functions.skills import Taxonomy, match_skills, skill_category
 from rolecast.operators.ingest import warning
@@ -22,39 +22,40 @@ MAX_CONSTRAINTS = 50
 MAX_DISCRIMINATION = 50
 MAX_SKILLS = 100
 
-# First constraint kind that fits an item.
+# First constraint kind that fits an item. The last entry of a row lists text that
+# a match is sure to contain.
 CONSTRAINTS = (
-    ("notice_period", r"\b(?:notice period|immediate joiner|join immediately)\b"),
-    ("shift", r"\b(?:night shift|rotational shift|shifts?)\b"),
-    ("travel", r"\b(?:travel)\b"),
-    ("relocation", r"\b(?:relocat(?:e|ion|ing))\b"),
-    ("work_authorization", r"\b(?:work authorization|authorized to work|visa|work permit)\b"),
-    ("certification", r"\b(?:certification|certified|certificate|pmp)\b"),
-    ("education", r"(?:\bb\.e\.|\bb\.tech\b|\bmca\b|\bmba\b|\bbachelor\b|\bdegree\b)"),
+    ("notice_period", r"\b(?:notice period|immediate joiner|join immediately)\b", "notice period|immediate joiner|join immediately"),
+    ("shift", r"\b(?:night shift|rotational shift|shifts?)\b", "shift"),
+    ("travel", r"\b(?:travel)\b", "travel"),
+    ("relocation", r"\b(?:relocat(?:e|ion|ing))\b", "relocat"),
+    ("work_authorization", r"\b(?:work authorization|authorized to work|visa|work permit)\b", "authoriz|visa|permit"),
+    ("certification", r"\b(?:certification|certified|certificate|pmp)\b", "certif|pmp"),
+    ("education", r"\b(?:b\.e\.|b\.tech\b|mca\b|mba\b|bachelor\b|degree\b)", "b.e.|b.tech|mca|mba|bachelor|degree"),
 )
 
 # Wording per category; an item is flagged for every category that fits.
 DISCRIMINATION = (
-    ("age", r"\b(?:age\s*(?:limit|criteria|range|bracket)?\s*[:=]?\s*(?:below|under|above|over|less than|greater than|not exceeding|max|maximum|min|minimum)?\s*\d{1,2}(?:\s*(?:-|–|to|and)\s*\d{1,2})?(?:\s*years?(?:\s*old)?)?|aged?\s*(?:between\s*)?\d{1,2}(?:\s*(?:-|–|to|and)\s*\d{1,2})?(?:\s*years?(?:\s*old)?)?|(?:max|maximum|min|minimum)\s+age\s*[:=]?\s*\d{1,2}|age\s+limit\b|(?:under|below|over|above|not more than|no more than|less than|greater than)\s+\d{1,2}\s+years?\s+old|(?:under|below|over|above)\s+\d{1,2}\s+years?\s+of\s+age|born\s+(?:on\s+or\s+)?(?:after|before|in)\s+(?:19\d{2}|20\d{2})|young\s+(?:\w+\s+)?candidates?\s+only)\b"),
-    ("gender", r"\b(?:(?:male|female|men|women)\s+(?:only|candidates? only|applicants? only)|only\s+(?:male|female|men|women)|gender\s*:\s*(?:male|female)|(?:male|female)\s+preferred)\b"),
-    ("religion", r"\b(?:(?:hindu|muslim|christian|sikh)\s+(?:only|candidates? only)|only\s+(?:hindu|muslim|christian|sikh)|religion\s*:\s*\w+)\b"),
-    ("caste", r"\b(?:upper\s+caste|lower\s+caste|brahmin\s+only|caste\s*:\s*\w+|specific\s+caste)\b"),
-    ("marital_status", r"\b(?:unmarried\s+(?:(?:male|female|men|women|candidates?|applicants?)\s+)?only|only\s+unmarried|must\s+be\s+single|married\s+(?:women|men)\s+need\s+not\s+apply|single\s+(?:(?:women|men|candidates?|applicants?)\s+)?only)\b"),
-    ("nationality_origin", r"\b(?:locals?\s+only|only\s+locals?|indians?\s+only|only\s+indians?|native[ -]born\s+only|citizens?\s+only|only\s+citizens?)\b"),
-    ("disability", r"\b(?:no\s+disabled\s+(?:applicants?|candidates?)|able[ -]bodied\s+only|persons?\s+with\s+disabilities\s+need\s+not\s+apply|no\s+wheelchair\s+users?)\b"),
-    ("appearance", r"\b(?:fair\s+complexion|minimum\s+height|height\s+at\s+least|good[ -]looking|attractive\s+(?:female|male)|light[ -]skinned)\b"),
+    ("age", r"\b(?:age\s*(?:limit|criteria|range|bracket)?\s*[:=]?\s*(?:below|under|above|over|less than|greater than|not exceeding|max|maximum|min|minimum)?\s*\d{1,2}(?:\s*(?:-|–|to|and)\s*\d{1,2})?(?:\s*years?(?:\s*old)?)?|aged?\s*(?:between\s*)?\d{1,2}(?:\s*(?:-|–|to|and)\s*\d{1,2})?(?:\s*years?(?:\s*old)?)?|(?:max|maximum|min|minimum)\s+age\s*[:=]?\s*\d{1,2}|age\s+limit\b|(?:under|below|over|above|not more than|no more than|less than|greater than)\s+\d{1,2}\s+years?\s+old|(?:under|below|over|above)\s+\d{1,2}\s+years?\s+of\s+age|born\s+(?:on\s+or\s+)?(?:after|before|in)\s+(?:19\d{2}|20\d{2})|young\s+(?:\w+\s+)?candidates?\s+only)\b", "age|old|born|young"),
+    ("gender", r"\b(?:(?:male|female|men|women)\s+(?:only|candidates? only|applicants? only)|only\s+(?:male|female|men|women)|gender\s*:\s*(?:male|female)|(?:male|female)\s+preferred)\b", "male|men"),
+    ("religion", r"\b(?:(?:hindu|muslim|christian|sikh)\s+(?:only|candidates? only)|only\s+(?:hindu|muslim|christian|sikh)|religion\s*:\s*\w+)\b", "hindu|muslim|christian|sikh|religion"),
+    ("caste", r"\b(?:upper\s+caste|lower\s+caste|brahmin\s+only|caste\s*:\s*\w+|specific\s+caste)\b", "caste|brahmin"),
+    ("marital_status", r"\b(?:unmarried\s+(?:(?:male|female|men|women|candidates?|applicants?)\s+)?only|only\s+unmarried|must\s+be\s+single|married\s+(?:women|men)\s+need\s+not\s+apply|single\s+(?:(?:women|men|candidates?|applicants?)\s+)?only)\b", "single|married"),
+    ("nationality_origin", r"\b(?:locals?\s+only|only\s+locals?|indians?\s+only|only\s+indians?|native[ -]born\s+only|citizens?\s+only|only\s+citizens?)\b", "only"),
+    ("disability", r"\b(?:no\s+disabled\s+(?:applicants?|candidates?)|able[ -]bodied\s+only|persons?\s+with\s+disabilities\s+need\s+not\s+apply|no\s+wheelchair\s+users?)\b", "disab|able|wheelchair"),
+    ("appearance", r"\b(?:fair\s+complexion|minimum\s+height|height\s+at\s+least|good[ -]looking|attractive\s+(?:female|male)|light[ -]skinned)\b", "complexion|height|looking|attractive|skinned"),
 )
 
 
-def discrimination_categories(text: Column) -> Column:
-    hits = [F.when(text.rlike(rx(pattern)), F.lit(category)) for category, pattern in DISCRIMINATION]
+def discrimination_categories(text: Column, lower: Column) -> Column:
+    hits = [F.when(mentions(text, lower, needles, pattern), F.lit(name)) for name, pattern, needles in DISCRIMINATION]
     return F.filter(F.array(*hits), lambda c: c.isNotNull())
 
 
-def constraint_kind(text: Column) -> Column:
+def constraint_kind(text: Column, lower: Column) -> Column:
     kind = F.lit(None).cast("string")
-    for name, pattern in reversed(CONSTRAINTS):
-        kind = F.when(text.rlike(rx(pattern)), name).otherwise(kind)
+    for name, pattern, needles in reversed(CONSTRAINTS):
+        kind = F.when(mentions(text, lower, needles, pattern), name).otherwise(kind)
     return kind
 
 
@@ -74,6 +75,7 @@ def with_classified_items(df: DataFrame, taxonomy: Taxonomy, description: str =
                 item.section.alias("section"),
                 item.text.alias("text"),
                 F.left(item.text, F.lit(ITEM_TEXT)).alias("short"),
+                F.lower(item.text).alias("lower"),
             ),
         ),
     )
@@ -86,8 +88,9 @@ def with_classified_items(df: DataFrame, taxonomy: Taxonomy, description: str =
                 i.section.alias("section"),
                 i.text.alias("text"),
                 i.short.alias("short"),
-                discrimination_categories(i.short).alias("categories"),
-                constraint_kind(i.short).alias("kind"),
+                i.lower.alias("lower"),
+                discrimination_categories(i.short, i.lower).alias("categories"),
+                constraint_kind(i.short, i.lower).alias("kind"),
                 F.slice(match_skills(i.short, taxonomy), 1, MAX_ITEM_SKILLS).alias("skills"),
             ),
         ),
@@ -98,10 +101,10 @@ def with_classified_items(df: DataFrame, taxonomy: Taxonomy, description: str =
         return (
             F.when(F.size(i.categories) > 0, "flagged")
             .when(i.kind.isNotNull() & ~has_skills, "constraint")
-            .otherwise(classify_item(i.section, i.text, has_skills))
+            .otherwise(classify_item(i.section, i.text, i.lower, has_skills))
         )
 
-    return df.withColumn("items", F.transform("items", lambda i: i.withField("target", target(i))))
+    return df.withColumn("items", F.transform("items", lambda i: i.withField("target", target(i)).dropFields("lower")))
 
 
 def requirement_items(df: DataFrame) -> DataFrame:

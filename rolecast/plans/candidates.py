@@ -27,7 +27,7 @@ def prefix_buckets(sets: DataFrame, node: str, block: str, elements: str, numera
     lose one, and candidates are verified on the elements themselves.
     """
     hashed = sets.filter(F.size(elements) > 0).select(
-        node, block, F.explode(F.array_distinct(F.transform(F.col(elements), F.xxhash64))).alias("bucket")
+        node, block, F.explode(F.array_distinct(F.transform(F.col(elements), lambda e: F.xxhash64(e)))).alias("bucket")
     )
     # An element of a single set orders first and needs no lookup.
     shared = hashed.groupBy(block, "bucket").agg(F.count(F.lit(1)).alias("df")).filter("df > 1")
