@@ -8,7 +8,7 @@ from collections.abc import Sequence
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
+from pyspark.sql.types import ArrayType, StringType
 
 from rolecast.functions.regex import SPACE, js_trim, rx
 
@@ -62,15 +62,19 @@ MARKUP = (
 )
 
 
-@F.pandas_udf(StringType())
+@F.pandas_udf(ArrayType(StringType()))
 def _nfkc(values: pd.Series) -> pd.Series:
-    return values.map(lambda v: None if v is None else unicodedata.normalize("NFKC", v))
+    def compose(texts):
+        return None if texts is None else [None if v is None else unicodedata.normalize("NFKC", v) for v in texts]
 
+    return values.map(compose)
 
-def nfkc(col: Column) -> Column:
-    """Compatibility composition. Spark has no built-in, so this is one Arrow batch function;
-    text that is its own normal form never leaves the JVM."""
-    return F.coalesce(_nfkc(F.when(col.rlike(f"[^{NFKC_STABLE}]"), col)), col)
+
+def nfkc(texts: Column) -> Column:
+    """Compatibility composition of an array of texts. Spark has no built-in, so this is one Arrow
+    batch function; rows whose texts are all in normal form never leave the JVM."""
+    unstable = F.exists(texts, lambda t: F.coalesce(t.rlike(f"[^{NFKC_STABLE}]"), F.lit(False)))
+    return F.coalesce(_nfkc(F.when(unstable, texts)), texts)
 
 
 def strip_forbidden_unicode(col: Column) -> Column:
@@ -128,23 +132,18 @@ def _tidy_lines(col: Column) -> Column:
 def sanitize_text(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     """Replace ``cols`` by their cleaned text and list the changed ones in ``sanitized_fields``.
 
-    Text without ``<`` and ``&`` skips the markup passes, which leave it as it is.
+    The fields are cleaned as one array, so the plan holds the cleaning steps once. Text without
+    ``<`` and ``&`` skips the markup passes, which leave it as it is.
     """
-    staged = df.withColumns({f"_base_{c}": strip_forbidden_unicode(nfkc(F.col(c))) for c in cols})
-    staged = staged.withColumns(
-        {
-            f"_base_{c}": F.when(F.col(f"_base_{c}").rlike("[<&]"), _markup_free(F.col(f"_base_{c}"))).otherwise(
-                F.col(f"_base_{c}")
-            )
-            for c in cols
-        }
-    )
-    staged = staged.withColumns({f"_base_{c}": _tidy_lines(F.col(f"_base_{c}")) for c in cols})
-    changed = F.filter(
-        F.array(*[F.when(F.col(f"_base_{c}") != F.col(c), F.lit(c)) for c in cols]), lambda f: f.isNotNull()
-    )
-    staged = staged.withColumn("sanitized_fields", changed)
-    return staged.withColumns({c: F.col(f"_base_{c}") for c in cols}).drop(*[f"_base_{c}" for c in cols])
+
+    def clean(base: Column) -> Column:
+        return _tidy_lines(F.when(base.rlike("[<&]"), _markup_free(base)).otherwise(base))
+
+    staged = df.withColumn("_texts", F.transform(nfkc(F.array(*cols)), strip_forbidden_unicode))
+    staged = staged.withColumn("_texts", F.transform("_texts", clean))
+    changed = F.array(*[F.when(F.col("_texts")[i] != F.col(c), F.lit(c)) for i, c in enumerate(cols)])
+    staged = staged.withColumn("sanitized_fields", F.filter(changed, lambda f: f.isNotNull()))
+    return staged.withColumns({c: F.col("_texts")[i] for i, c in enumerate(cols)}).drop("_texts")
 
 
 def sanitize_warnings(fields: Column) -> Column:

@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from rolecast.functions.similarity import jaccard, normalize_company, shingles, title_tokens
 from rolecast.operators.store import recent
-from rolecast.plans.candidates import prefix_buckets, prefix_size
+from rolecast.plans.candidates import prefix_buckets
 from rolecast.plans.components import connected_components
 from rolecast.plans.skew import bucket_pairs, salted_join
 from rolecast.session import cut_lineage
@@ -285,9 +285,8 @@ def check_batch_duplicates(new: DataFrame, existing: DataFrame, n: int = 500, ma
 
     def keyed(df: DataFrame) -> DataFrame:
         prepared = prepare_postings(df, max_chars).drop("class_key")
-        hashes = F.array_sort(F.array_distinct(F.transform("shingle_set", lambda s: F.xxhash64(s))))
-        prefix = F.slice(hashes, F.lit(1), prefix_size(F.size(hashes), *DESCRIPTION_THRESHOLD))
-        return prepared.withColumn("prefix", prefix)
+        hashes = F.array_distinct(F.transform("shingle_set", lambda s: F.xxhash64(s)))
+        return prepared.withColumn("hashes", hashes)
 
     latest = keyed(recent(existing, n))
     stored = latest.select(*[F.col(c).alias(f"old_{c}") for c in latest.columns])
@@ -299,9 +298,11 @@ def check_batch_duplicates(new: DataFrame, existing: DataFrame, n: int = 500, ma
     )
     close_title = jaccard(F.col("title_set"), F.col("old_title_set")) >= TITLE_THRESHOLD[0] / TITLE_THRESHOLD[1]
     sizes = [F.size("shingle_set"), F.size("old_shingle_set")]
-    # Cheap and exact tests first: set sizes, then prefixes, which close sets must share.
+    # Cheap tests first: set sizes, then hashes of the shingles, which share at least as many
+    # elements as the shingles do. What is left is counted on the shingles themselves.
     close_size = F.least(*sizes) * DESCRIPTION_THRESHOLD[1] >= F.greatest(*sizes) * DESCRIPTION_THRESHOLD[0]
-    meeting = (F.greatest(*sizes) == 0) | F.arrays_overlap("prefix", "old_prefix")
+    needed = F.greatest(*sizes) * DESCRIPTION_THRESHOLD[0] / DESCRIPTION_THRESHOLD[1]
+    meeting = (F.greatest(*sizes) == 0) | (F.size(F.array_intersect("hashes", "old_hashes")) >= F.floor(needed))
     met = fresh.filter("company <> ''").join(
         stored,
         (F.col("company") == F.col("old_company"))
