@@ -701,8 +701,8 @@ add("list_profiles", [t.profile_sql("customer", "c_custkey")], f"SELECT profile_
 
 # ---------------------------------------------------------------- governance
 
-_AGE = "CASE WHEN datediff('day', CAST(snapshot_date AS DATE), CAST(at AS DATE)) = -1 THEN 0 ELSE datediff('day', CAST(snapshot_date AS DATE), CAST(at AS DATE)) END"
-GATE = [t.REQUEST_SQL, t.POLICY_SQL, f"""g0 AS (SELECT request.*, level, status, policy_reason, approval_ref, stale_after_days, {_AGE} AS age FROM request LEFT JOIN policy USING (capability_id)), gate AS (
+_AGE = "CASE WHEN datediff('day', CAST(snapshot_date AS DATE), CAST(g.at AS DATE)) = -1 THEN 0 ELSE datediff('day', CAST(snapshot_date AS DATE), CAST(g.at AS DATE)) END"
+GATE = [t.REQUEST_SQL, t.POLICY_SQL, f"""g0 AS (SELECT g.*, level, status, policy_reason, approval_ref, stale_after_days, {_AGE} AS age FROM request g LEFT JOIN policy USING (capability_id)), gate AS (
   SELECT *, CASE WHEN level IS NULL OR level = 'L4' THEN 'CAPABILITY_DISABLED' WHEN status = 'blocked_by_provider_approval' THEN 'BLOCKED_BY_PROVIDER_APPROVAL'
     WHEN status <> 'enabled' THEN 'CAPABILITY_DISABLED' WHEN level = 'L0' THEN NULL
     WHEN NOT regexp_full_match(coalesce(approval_ref, ''), 'APPROVAL-(BOARD_IN|BOARD_GLOBAL)-\\d{{3}}') THEN 'BLOCKED_BY_PROVIDER_APPROVAL'
@@ -711,9 +711,9 @@ add("gate_requests", GATE, """SELECT id, capability_id, error_code IS NULL AS al
   CASE WHEN level IS NULL THEN 'Unknown capability: ' || capability_id WHEN level = 'L4' THEN 'L4 capabilities are strictly disabled in v1'
     WHEN error_code = 'POLICY_STALE' THEN 'Policy snapshot is stale (' || age || ' days old, max allowed is ' || stale_after_days || ' days)' ELSE policy_reason END AS reason,
   error_code, approval_ref FROM gate""")
-AUDIT = GATE + [f"""aud AS (SELECT id, at, tool, request_id, CASE WHEN error_code IS NULL THEN 'ok' ELSE 'error' END AS outcome, error_code,
+AUDIT = GATE + [f"""aud AS (SELECT id, gate.at AS at, tool, request_id, CASE WHEN error_code IS NULL THEN 'ok' ELSE 'error' END AS outcome, error_code,
   CASE WHEN regexp_full_match(subject_id, '(job|prof)_[0-9a-f-]{{36}}') THEN left(sha256('{q.SALT}' || subject_id), 16) END AS subject_hash FROM gate)"""]
-add("audit_rows", AUDIT, f"SELECT id, {stamp('at')} AS at, tool, request_id, outcome, error_code, subject_hash FROM aud")
+add("audit_rows", AUDIT, f"SELECT id, {stamp('aud.at')} AS at, tool, request_id, outcome, error_code, subject_hash FROM aud")
 add("recent_audit", AUDIT, "SELECT id, tool, outcome, error_code FROM aud ORDER BY id DESC LIMIT 1000")
 add("outcome_report", AUDIT, "SELECT tool, outcome, error_code, count(*) AS calls FROM aud GROUP BY 1, 2, 3")
 

@@ -16,7 +16,7 @@ from decimal import Decimal
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from rolecast.functions.similarity import jaccard, normalize_company, shingles, title_tokens
+from rolecast.functions.similarity import normalize_company, shingles, title_tokens
 from rolecast.operators.store import recent
 from rolecast.plans.candidates import prefix_buckets
 from rolecast.plans.components import connected_components
@@ -282,34 +282,33 @@ def group_evidence(src: DataFrame, groups: DataFrame, max_chars: int | None = No
 
 def check_batch_duplicates(new: DataFrame, existing: DataFrame, n: int = 500, max_chars: int | None = None) -> DataFrame:
     """(job_id, existing_job_id, reason) of new postings against the n (at most 500) latest stored ones."""
-
-    def keyed(df: DataFrame) -> DataFrame:
-        prepared = prepare_postings(df, max_chars).drop("class_key")
-        hashes = F.array_distinct(F.transform("shingle_set", lambda s: F.xxhash64(s)))
-        return prepared.withColumn("hashes", hashes)
-
-    latest = keyed(recent(existing, n))
+    latest = prepare_postings(recent(existing, n), max_chars).drop("class_key")
     stored = latest.select(*[F.col(c).alias(f"old_{c}") for c in latest.columns])
-    fresh = keyed(new)
+    fresh = prepare_postings(new, max_chars).drop("class_key")
     same = fresh.join(stored, F.col("fingerprint") == F.col("old_fingerprint")).select(
         "job_id",
         F.col("old_job_id").alias("existing_job_id"),
         F.concat(F.lit("Identical fingerprint: "), "fingerprint").alias("reason"),
     )
-    close_title = jaccard(F.col("title_set"), F.col("old_title_set")) >= TITLE_THRESHOLD[0] / TITLE_THRESHOLD[1]
-    sizes = [F.size("shingle_set"), F.size("old_shingle_set")]
-    # Cheap tests first: set sizes, then hashes of the shingles, which share at least as many
-    # elements as the shingles do. What is left is counted on the shingles themselves.
-    close_size = F.least(*sizes) * DESCRIPTION_THRESHOLD[1] >= F.greatest(*sizes) * DESCRIPTION_THRESHOLD[0]
-    needed = F.greatest(*sizes) * DESCRIPTION_THRESHOLD[0] / DESCRIPTION_THRESHOLD[1]
-    meeting = (F.greatest(*sizes) == 0) | (F.size(F.array_intersect("hashes", "old_hashes")) >= F.floor(needed))
-    met = fresh.filter("company <> ''").join(
-        stored,
-        (F.col("company") == F.col("old_company"))
-        & (F.col("fingerprint") != F.col("old_fingerprint"))
-        & close_size
-        & close_title
-        & meeting,
+    named = fresh.filter("company <> ''")
+    # A close pair shares one of the rarest shingles of the stored side, under any order. The
+    # stored prefixes come from at most 500 postings; the new side is only exploded and probed.
+    index = prefix_buckets(
+        latest.withColumnRenamed("job_id", "old_job_id"),
+        "old_job_id", "company", "shingle_set", *DESCRIPTION_THRESHOLD, only_shared=False,
+    )
+    probes = named.select("job_id", "company", F.explode("shingle_set").alias("s")).select(
+        "job_id", "company", F.xxhash64("s").alias("bucket")
+    )
+    by_text = probes.join(index, ["company", "bucket"]).select("job_id", "old_job_id")
+    wordless = latest.filter(F.size("shingle_set") == 0).select("company", F.col("job_id").alias("old_job_id"))
+    by_company = named.filter(F.size("shingle_set") == 0).join(wordless, "company").select("job_id", "old_job_id")
+    met = (
+        by_text.unionByName(by_company)
+        .distinct()
+        .join(stored, "old_job_id")
+        .join(fresh, "job_id")
+        .filter("fingerprint <> old_fingerprint")
     )
 
     def counted(df: DataFrame, column: str) -> DataFrame:
@@ -322,7 +321,10 @@ def check_batch_duplicates(new: DataFrame, existing: DataFrame, n: int = 500, ma
             }
         )
 
-    met = counted(counted(met, "title_set"), "shingle_set").filter(
+    met = counted(met, "title_set").filter(
+        F.col("title_set_shared") * TITLE_THRESHOLD[1] >= F.col("title_set_total") * TITLE_THRESHOLD[0]
+    )
+    met = counted(met, "shingle_set").filter(
         F.col("shingle_set_shared") * DESCRIPTION_THRESHOLD[1] >= F.col("shingle_set_total") * DESCRIPTION_THRESHOLD[0]
     )
     near = met.select(

@@ -20,9 +20,14 @@ def prefix_size(n: Column, numerator: int, denominator: int) -> Column:
     return (n - needed + 1).cast("int")
 
 
-def prefix_buckets(sets: DataFrame, node: str, block: str, elements: str, numerator: int, denominator: int) -> DataFrame:
+def prefix_buckets(
+    sets: DataFrame, node: str, block: str, elements: str, numerator: int, denominator: int, only_shared: bool = True
+) -> DataFrame:
     """(block, bucket, node) rows: the rare-first prefix of each non-empty set.
 
+    For a join of the sets with each other, elements of a single set are left out of the result
+    (``only_shared``). To probe with other sets, keep them.
+
     Elements are compared by 64-bit hash here only; a collision can add a candidate but never
     lose one, and candidates are verified on the elements themselves.
     """
@@ -38,7 +43,7 @@ def prefix_buckets(sets: DataFrame, node: str, block: str, elements: str, numera
     ordered = ranked.groupBy(node, block).agg(F.sort_array(F.collect_list("element")).alias("elements"))
     size = F.size("elements")
     prefix = F.slice(F.col("elements"), F.lit(1), prefix_size(size, numerator, denominator))
-    # Elements of a single set can never meet another one.
-    return ordered.select(node, block, F.explode(prefix).alias("e")).filter("e.df > 1").select(
-        block, F.col("e.bucket").alias("bucket"), node
-    )
+    placed = ordered.select(node, block, F.explode(prefix).alias("e"))
+    if only_shared:
+        placed = placed.filter("e.df > 1")
+    return placed.select(block, F.col("e.bucket").alias("bucket"), node)
