@@ -5,6 +5,8 @@ Templates and fixed word lists are shared input data; the logic is written anew.
 
 from __future__ import annotations
 
+import re
+
 from checks import queries as q
 from checks import tables as t
 from rolecast.functions import parsing as p
@@ -728,3 +730,8 @@ add("stream_near_dedupe", CLASSES + BATCH[len(COPIES):], """SELECT 'stored' AS s
 # A CTE list that continues in the select starts with a comma there.
 for _key, _sql in ORACLE.items():
     ORACLE[_key] = _sql.replace(") , ", "), ")
+
+# Tables that several later steps read are computed once.
+_SHARED = r"\b(raw|cp|cls|mem|met|near|m0|dup|typed|req|jobf|proff|pf|tev|ask|item1|item2|fit) AS \((?=\s*SELECT)"
+for _key, _sql in ORACLE.items():
+    ORACLE[_key] = re.sub(_SHARED, r"\1 AS MATERIALIZED (", _sql)
