@@ -69,7 +69,7 @@ def by_force(prepared):
     return edges, {min(g): g for g in groups.values() if len(g) > 1}
 
 
-@pytest.mark.parametrize("block_rows", [2_000, 2])
+@pytest.mark.parametrize("block_rows", [2])
 def test_groups_and_pairs_equal_brute_force(spark, monkeypatch, block_rows):
     monkeypatch.setattr(skew, "BLOCK_ROWS", block_rows)
     src = spark.createDataFrame(corpus(), "job_id string, fingerprint string, company string, title string, description string")
