@@ -233,7 +233,9 @@ def _near_edges(classes: DataFrame, base: DataFrame) -> DataFrame:
     rest = _with_labels(buckets, connected_components(edges))
     pairs = bucket_pairs(rest, ["company", "kind", "bucket"], "class_key", ["label"]).filter("label_a <> label_b")
     verified = _verify(pairs.select("class_key_a", "class_key_b").distinct(), classes)
-    return edges.unionByName(verified.select(F.col("class_key_a").alias("a"), F.col("class_key_b").alias("b")))
+    found = verified.select(F.col("class_key_a").alias("a"), F.col("class_key_b").alias("b"))
+    # The components read the edges twice; the comparison behind them should run once.
+    return cut_lineage(edges.unionByName(found))
 
 
 def duplicate_groups(src: DataFrame, max_chars: int | None = None) -> DataFrame:

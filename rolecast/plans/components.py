@@ -22,18 +22,18 @@ def connected_components(edges: DataFrame) -> DataFrame:
         .filter("node <> peer")
         .distinct()
     )
-    labels = cut_lineage(
-        both.groupBy("node").agg(F.min("peer").alias("peer")).select("node", F.least("node", "peer").alias("label"))
+    merged = cut_lineage(
+        both.groupBy("node")
+        .agg(F.min("peer").alias("peer"))
+        .select("node", F.col("node").alias("label"), F.least("node", "peer").alias("new_label"))
     )
-    while True:
+    while merged.filter("new_label <> label").limit(1).count():
+        labels = merged.select("node", F.col("new_label").alias("label"))
         seen = salted_join(both, labels.withColumnRenamed("node", "peer"), ["peer"], "node").select("node", "label")
         lowest = labels.unionByName(seen).groupBy("node").agg(F.min("label").alias("label"))
         step = lowest.select(F.col("node").alias("label"), F.col("label").alias("further"))
         jumped = salted_join(lowest, step, ["label"], "node", "left").select(
             "node", F.least("label", F.coalesce("further", "label")).alias("new_label")
         )
-        merged = cut_lineage(jumped.join(labels, "node"))
-        changed = merged.filter("new_label <> label").limit(1).count()
-        labels = merged.select("node", F.col("new_label").alias("label"))
-        if not changed:
-            return labels
+        merged = cut_lineage(jumped.join(labels, "node"), replaces=merged)
+    return merged.select("node", F.col("new_label").alias("label"))

@@ -48,10 +48,24 @@ def work_dir(spark: SparkSession, label: str) -> str:
     return f"{shared_dir(spark).rstrip('/')}/{label}-{uuid.uuid4().hex}"
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint: the plan restarts from files that outlive any executor."""
+def cut_lineage(df: DataFrame, replaces: DataFrame | None = None) -> DataFrame:
+    """Write the rows to the shared folder and go on from the files, which outlive any executor.
+
+    A file has its real size, so the planner's estimates start afresh; a checkpoint keeps the
+    estimate of its plan, and each later join multiplies that. ``replaces`` is an earlier cut that
+    no later plan reads; its files go once the new ones are complete.
+    """
     spark = df.sparkSession
-    context = spark.sparkContext
-    if context.getCheckpointDir() is None:
-        context.setCheckpointDir(shared_dir(spark))
-    return df.checkpoint(eager=True)
+    path = work_dir(spark, "cut")
+    df.write.parquet(path)
+    kept = spark.read.schema(df.schema).parquet(path)
+    kept.cut_path = path
+    if replaces is not None:
+        drop_files(spark, replaces.cut_path)
+    return kept
+
+
+def drop_files(spark: SparkSession, path: str) -> None:
+    """Remove a folder of the shared file system."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
