@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from rolecast.llm.repetition import repetition_rules
+from rolecast.llm.near_dup import near_duplicates
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -19,5 +20,9 @@ def op8_repetition_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repetition_rules(table(spark, sf_dir, "documents"))
 
 
-LLM_QUERIES: dict[str, Query] = {f.__name__: f for f in [op8_repetition_rules]}
+def op9_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(table(spark, sf_dir, "documents"))
+
+
+LLM_QUERIES: dict[str, Query] = {f.__name__: f for f in [op8_repetition_rules, op9_near_duplicates]}
 LLM_SQL: dict[str, str] = {}
