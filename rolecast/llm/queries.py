@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from rolecast.llm.repetition import repetition_rules
 from rolecast.llm.near_dup import near_duplicates
+from rolecast.llm.url_rules import RULES, rule_table, url_verdicts
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -24,5 +25,32 @@ def op9_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
 
-LLM_QUERIES: dict[str, Query] = {f.__name__: f for f in [op8_repetition_rules, op9_near_duplicates]}
-LLM_SQL: dict[str, str] = {}
+def op5_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_verdicts(table(spark, sf_dir, "pages"), rule_table(spark, RULES))
+
+
+LLM_QUERIES: dict[str, Query] = {f.__name__: f for f in [op8_repetition_rules, op9_near_duplicates, op5_url_rules]}
+# Whole rules against whole parts; lower() is held to A-Z, as the query's is.
+OP5_SQL = r"""
+WITH rules(verdict, host, path) AS (
+  VALUES ('allow', 'org', '/'), ('block', 'example.org', '/es/'), ('block', 'example.org', '/en/1'),
+         ('allow', 'com', '/fr/'), ('block', 'com', '/de/')
+),
+parsed AS (
+  SELECT page_id,
+    translate(regexp_extract(coalesce(url, ''), '(?s)^.*?://([^/?#]*)([^?#]*)', 1),
+      'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+    regexp_extract(coalesce(url, ''), '(?s)^.*?://([^/?#]*)([^?#]*)', 2) AS path
+  FROM pages
+),
+best AS (
+  SELECT p.host, p.path, max_by(r.host || r.path, length(r.host || r.path)) AS rule,
+    max_by(r.verdict, length(r.host || r.path)) AS verdict
+  FROM (SELECT DISTINCT host, path FROM parsed) p
+  JOIN rules r ON (p.host = r.host OR ends_with(p.host, '.' || r.host)) AND starts_with(p.path, r.path)
+  GROUP BY p.host, p.path
+)
+SELECT page_id, p.host, p.path, rule, coalesce(verdict, 'allow') AS verdict
+FROM parsed p LEFT JOIN best b ON p.host = b.host AND p.path = b.path
+"""
+LLM_SQL: dict[str, str] = {"op5_url_rules": OP5_SQL}
