@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from rolecast.llm.repetition import repetition_rules
 from rolecast.llm.near_dup import near_duplicates
 from rolecast.llm.url_rules import RULES, rule_table, url_verdicts
+from rolecast.llm.page_text import page_texts
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -29,7 +30,11 @@ def op5_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_verdicts(table(spark, sf_dir, "pages"), rule_table(spark, RULES))
 
 
-LLM_QUERIES: dict[str, Query] = {f.__name__: f for f in [op8_repetition_rules, op9_near_duplicates, op5_url_rules]}
+def op10_page_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return page_texts(table(spark, sf_dir, "pages"))
+
+
+LLM_QUERIES: dict[str, Query] = {f.__name__: f for f in [op8_repetition_rules, op9_near_duplicates, op5_url_rules, op10_page_texts]}
 # Whole rules against whole parts; lower() is held to A-Z, as the query's is.
 OP5_SQL = r"""
 WITH rules(verdict, host, path) AS (
