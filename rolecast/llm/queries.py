@@ -10,6 +10,7 @@ from rolecast.llm.repetition import repetition_rules
 from rolecast.llm.near_dup import near_duplicates
 from rolecast.llm.url_rules import RULES, rule_table, url_verdicts
 from rolecast.llm.page_text import page_texts
+from rolecast.llm.packing import pack
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -34,7 +35,11 @@ def op10_page_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return page_texts(table(spark, sf_dir, "pages"))
 
 
-LLM_QUERIES: dict[str, Query] = {f.__name__: f for f in [op8_repetition_rules, op9_near_duplicates, op5_url_rules, op10_page_texts]}
+def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack(table(spark, sf_dir, "documents"))
+
+
+LLM_QUERIES: dict[str, Query] = {f.__name__: f for f in [op8_repetition_rules, op9_near_duplicates, op5_url_rules, op10_page_texts, op6_packing]}
 # Whole rules against whole parts; lower() is held to A-Z, as the query's is.
 OP5_SQL = r"""
 WITH rules(verdict, host, path) AS (
