@@ -12,6 +12,7 @@ from rolecast.llm.url_rules import RULES, rule_table, url_verdicts
 from rolecast.llm.page_text import page_texts
 from rolecast.llm.packing import pack
 from rolecast.llm.chunk_dedup import repeated_passages
+from rolecast.llm.contamination import overlaps
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -44,7 +45,11 @@ def op7_repeated_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeated_passages(table(spark, sf_dir, "documents"))
 
 
-LLM_QUERIES: dict[str, Query] = {f.__name__: f for f in [op8_repetition_rules, op9_near_duplicates, op5_url_rules, op10_page_texts, op6_packing, op7_repeated_passages]}
+def op3_contamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return overlaps(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+LLM_QUERIES: dict[str, Query] = {f.__name__: f for f in [op8_repetition_rules, op9_near_duplicates, op5_url_rules, op10_page_texts, op6_packing, op7_repeated_passages, op3_contamination]}
 # Whole rules against whole parts; lower() is held to A-Z, as the query's is.
 OP5_SQL = r"""
 WITH rules(verdict, host, path) AS (
