@@ -49,11 +49,16 @@ def powers(n: int, inverse: bool = False) -> np.ndarray:
     return _powers[inverse][:n]
 
 
+def range_hashes(values: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """64-bit hash of each range of values, by the values and their order alone."""
+    total = np.zeros(len(values) + 1, dtype=np.uint64)
+    np.cumsum(values * powers(len(values)), out=total[1:])
+    return mix((total[ends] - total[starts]) * powers(len(values) + 1, inverse=True)[starts])
+
+
 def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """64-bit hash of each byte span, by its bytes alone."""
-    total = np.zeros(len(data) + 1, dtype=np.uint64)
-    np.cumsum((data.astype(np.uint64) + np.uint64(1)) * powers(len(data)), out=total[1:])
-    return mix((total[ends] - total[starts]) * powers(len(data) + 1, inverse=True)[starts])
+    """64-bit hash of each byte span."""
+    return range_hashes(data.astype(np.uint64) + np.uint64(1), starts, ends)
 
 
 def running(flags: np.ndarray) -> np.ndarray:
