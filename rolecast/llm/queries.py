@@ -14,6 +14,7 @@ from rolecast.llm.packing import pack
 from rolecast.llm.chunk_dedup import repeated_passages
 from rolecast.llm.contamination import overlaps
 from rolecast.llm.line_dedup import dedup_lines
+from rolecast.llm.private_data import personal_data
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -54,7 +55,11 @@ def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup_lines(table(spark, sf_dir, "documents"))
 
 
-LLM_QUERIES: dict[str, Query] = {f.__name__: f for f in [op8_repetition_rules, op9_near_duplicates, op5_url_rules, op10_page_texts, op6_packing, op7_repeated_passages, op3_contamination, op4_line_dedup]}
+def op2_private_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return personal_data(table(spark, sf_dir, "documents"))
+
+
+LLM_QUERIES: dict[str, Query] = {f.__name__: f for f in [op8_repetition_rules, op9_near_duplicates, op5_url_rules, op10_page_texts, op6_packing, op7_repeated_passages, op3_contamination, op4_line_dedup, op2_private_data]}
 # Whole rules against whole parts; lower() is held to A-Z, as the query's is.
 OP5_SQL = r"""
 WITH rules(verdict, host, path) AS (
