@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from rolecast.llm.repetition import repetition_rules
 from rolecast.llm.near_dup import near_duplicates
@@ -15,6 +16,7 @@ from rolecast.llm.chunk_dedup import repeated_passages
 from rolecast.llm.contamination import overlaps
 from rolecast.llm.line_dedup import dedup_lines
 from rolecast.llm.private_data import personal_data
+from rolecast.llm.quality_sampling import importance_sample
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -59,7 +61,11 @@ def op2_private_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     return personal_data(table(spark, sf_dir, "documents"))
 
 
-LLM_QUERIES: dict[str, Query] = {f.__name__: f for f in [op8_repetition_rules, op9_near_duplicates, op5_url_rules, op10_page_texts, op6_packing, op7_repeated_passages, op3_contamination, op4_line_dedup, op2_private_data]}
+def op1_importance_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return importance_sample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), F.col("quality") == 1)
+
+
+LLM_QUERIES: dict[str, Query] = {f.__name__: f for f in [op8_repetition_rules, op9_near_duplicates, op5_url_rules, op10_page_texts, op6_packing, op7_repeated_passages, op3_contamination, op4_line_dedup, op2_private_data, op1_importance_sample]}
 # Whole rules against whole parts; lower() is held to A-Z, as the query's is.
 OP5_SQL = r"""
 WITH rules(verdict, host, path) AS (
