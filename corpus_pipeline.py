@@ -5,20 +5,55 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from rolecast.llm.contamination import overlaps
+from rolecast.llm.line_dedup import dedup_lines
+from rolecast.llm.near_dup import first_documents
+from rolecast.llm.packing import pack
 from rolecast.llm.repetition import repetition_rules
-from rolecast.session import work_dir
+from rolecast.session import cut_lineage, work_dir
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
+#: Columns of documents; every stage but the last returns them.
+COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the repetition rules keep."""
-    kept = repetition_rules(docs).filter("kept").select("doc_id")
-    return docs.join(kept, "doc_id", "left_semi")
+    judged = repetition_rules(docs, carry=tuple(COLUMNS))
+    return judged.filter("kept").select(*[F.col(f"carried.c{k}").alias(c) for k, c in enumerate(COLUMNS)])
 
 
-STAGES: list[tuple[str, Stage]] = [("quality_rules", quality_rules)]
+def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without lines that an earlier document has; ``n_chars`` follows the text."""
+    cut = dedup_lines(docs, carry=("lang", "source"))
+    return cut.withColumn("n_chars", F.char_length("text").cast("long")).select(*COLUMNS)
+
+
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The document of the smallest id of each near-duplicate group."""
+    return first_documents(docs).select(*COLUMNS)
+
+
+def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that overlap with no benchmark item. A row without an id is not looked at and stays."""
+    found = cut_lineage(overlaps(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet")).select("doc_id").distinct())
+    return docs.join(found, "doc_id", "left_anti").select(*COLUMNS)
+
+
+def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of token sequences of all documents that are left."""
+    return pack(docs)
+
+
+STAGES: list[tuple[str, Stage]] = [
+    ("quality_rules", quality_rules),
+    ("line_dedup", line_dedup),
+    ("near_dedup", near_dedup),
+    ("decontaminate", decontaminate),
+    ("packing", packing),
+]
 
 #: Suffix arrays, SimHash and packing are beyond SQL; the tests hold the rows against brute force.
 ORACLE_SQL: str | None = None

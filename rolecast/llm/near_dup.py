@@ -78,7 +78,7 @@ FINE_FROM = 1 << 28
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, fp): SimHash of four-word shingles, as a signed 64-bit value.
+    """(doc_id, tie, fp): SimHash of four-word shingles, as a signed 64-bit value; ``tie`` is a hash of the text.
 
     Words are parted by space and tab to carriage return, A-Z lower-cased; fewer than four words
     form one shingle; no words, an empty or null text: 0.
@@ -111,11 +111,11 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
                     hashes, counts, held = [], [], 0
             flush()
             fp = pa.array(np.concatenate(out).view(np.int64))
-            yield pa.RecordBatch.from_arrays([batch.column(0), fp], ["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), fp], ["doc_id", "tie", "fp"])
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(
-        hashed, "doc_id long, fp long"
-    )
+    text = F.col(text_col).cast("string")
+    source = docs.select(F.col(id_col).cast("long").alias("doc_id"), text.alias("text"), F.xxhash64(text).alias("tie"))
+    return source.mapInArrow(hashed, "doc_id long, tie long, fp long")
 
 
 def anchor_rows(distinct: DataFrame, code: str) -> DataFrame:
@@ -147,6 +147,21 @@ def fingerprint_links(distinct: DataFrame, code: str) -> DataFrame:
     return links(anchor_rows(distinct, code), MAX_BITS)
 
 
+def components(docs: DataFrame, id_col: str, text_col: str, code: str | None) -> DataFrame:
+    """(doc_id, tie, fp, label, component_id); ``label`` names the component, even where ids repeat."""
+    prints = cut_lineage(fingerprints(docs, id_col, text_col))
+    distinct = cut_lineage(prints.groupBy("fp").agg(F.min("doc_id").alias("first_id")))
+    code = code or ("fine" if distinct.count() >= FINE_FROM else "coarse")
+    edges = cut_lineage(fingerprint_links(distinct, code).distinct())
+    labels = connected_components(edges)
+    joined = distinct.join(labels, distinct.fp == labels.node, "left").select(
+        "fp", "first_id", F.coalesce("label", "fp").alias("label")
+    )
+    ids = joined.groupBy("label").agg(F.min("first_id").alias("component_id"))
+    named = cut_lineage(joined.join(ids, "label").select("fp", "label", "component_id"))
+    return prints.join(named, "fp")
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", code: str | None = None) -> DataFrame:
     """(doc_id, fingerprint, component_id) of every document.
 
@@ -158,14 +173,19 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     Rows with a null id stay and count for their fingerprint, but never name a component unless
     no other row is reached. Repeated rows appear as often as they come. Other columns are not read.
     """
-    prints = cut_lineage(fingerprints(docs, id_col, text_col))
-    distinct = cut_lineage(prints.groupBy("fp").agg(F.min("doc_id").alias("first_id")))
-    code = code or ("fine" if distinct.count() >= FINE_FROM else "coarse")
-    edges = cut_lineage(fingerprint_links(distinct, code).distinct())
-    labels = connected_components(edges)
-    joined = distinct.join(labels, distinct.fp == labels.node, "left").select(
-        "fp", "first_id", F.coalesce("label", "fp").alias("label")
-    )
-    ids = joined.groupBy("label").agg(F.min("first_id").alias("component_id"))
-    named = cut_lineage(joined.join(ids, "label").select("fp", "component_id"))
-    return prints.join(named, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    found = components(docs, id_col, text_col, code)
+    return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def first_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", code: str | None = None) -> DataFrame:
+    """The rows of ``docs`` without near copies: of each component the row of the smallest id.
+
+    A null id comes last. Of rows with that id, the one with the smallest hash of its text stays,
+    and of equal rows one. All columns of ``docs`` are returned.
+    """
+    order = F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "tie")
+    first = components(docs, id_col, text_col, code).groupBy("label").agg(F.min(order).alias("first"))
+    keys = cut_lineage(first.select(F.col("first.doc_id").alias("_first_id"), F.col("first.tie").alias("_first_tie")))
+    whole = docs.select(F.struct("*").alias("row"), F.col(id_col).cast("long").alias("id"), F.xxhash64(F.col(text_col).cast("string")).alias("tie"))
+    kept = whole.join(keys, F.col("id").eqNullSafe(F.col("_first_id")) & (F.col("tie") == F.col("_first_tie")), "left_semi")
+    return kept.dropDuplicates(["id", "tie"]).select("row.*")

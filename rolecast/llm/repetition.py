@@ -147,7 +147,7 @@ def chunk_rules(data: np.ndarray, offsets: np.ndarray, max_repeat_share: float,
 
 def repetition_rules(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_repeat_share: float = 0.3,
-    max_repeat_words: int = 100, min_words: int = 20,
+    max_repeat_words: int = 100, min_words: int = 20, carry: tuple[str, ...] = (),
 ) -> DataFrame:
     """One row per document: word and line counts, what repeats cover, and the verdict.
 
@@ -155,14 +155,21 @@ def repetition_rules(
     more; over ``max_repeat_share`` of the word characters within such repeats; or one repeat of
     over ``max_repeat_words`` words that takes up half of that share.
     A null or empty text has no words and is rejected. A null id is passed on; repeated rows
-    are judged each on its own; other columns are not read, whatever their names.
+    are judged each on its own. ``carry`` names input columns that are passed on, in a struct
+    ``carried`` of fields c0, c1, ...; others are not read, whatever their names.
     """
+    source = docs.select(
+        F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"),
+        *([F.struct(*[F.col(c).alias(f"c{k}") for k, c in enumerate(carry)]).alias("carried")] if carry else []),
+    )
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row, data, offsets in text_chunks(batch.column(1)):
                 found = chunk_rules(data, offsets, max_repeat_share, max_repeat_words, min_words)
-                ids = batch.column(0).slice(row, len(offsets) - 1)
-                yield pa.RecordBatch.from_arrays([ids, *map(pa.array, found.values())], ["doc_id", *found])
+                ids, *carried = [batch.column(c).slice(row, len(offsets) - 1) for c in range(batch.num_columns) if c != 1]
+                names = ["doc_id", *found, *["carried" for _ in carried]]
+                yield pa.RecordBatch.from_arrays([ids, *map(pa.array, found.values()), *carried], names)
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(judge, SCHEMA)
+    kind = f", carried {source.schema['carried'].dataType.simpleString()}" if carry else ""
+    return source.mapInArrow(judge, SCHEMA + kind)
