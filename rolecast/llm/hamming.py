@@ -17,42 +17,28 @@ ROWS = "bucket long, fp long, home boolean"
 
 
 def spanning_links(home: np.ndarray, every: np.ndarray, max_bits: int) -> tuple[np.ndarray, np.ndarray]:
-    """(a, b) pairs that connect what the links between ``home`` and ``every`` connect: a forest.
+    """(a, b): each linked fingerprint b with the smallest one, a, that links between ``home`` and ``every`` lead to.
 
-    Both hold distinct unsigned fingerprints; a value may stand in both.
+    Both sides hold distinct unsigned fingerprints; a value may stand in both. Stars instead of the
+    links themselves keep the graph of all buckets shallow.
     """
     step = max(1, CELLS // max(1, len(every)))
     nodes = np.unique(np.concatenate((home, every)))
     label = np.arange(len(nodes))
     at_every = np.searchsorted(nodes, every)
-    links_a, links_b = [], []
     for k in range(0, len(home), step):
         part = home[k : k + step]
-        close = np.bitwise_count(part[:, None] ^ every[None, :]) <= max_bits
-        i, j = np.nonzero(close)
-        a, b = np.searchsorted(nodes, part[i]), at_every[j]
-        other = label[a] != label[b]
-        a, b = a[other], b[other]
-        while len(a):
-            # Hang each larger label below the smallest one it meets; one link is kept per label hung.
-            x, y = np.maximum(label[a], label[b]), np.minimum(label[a], label[b])
-            by = np.lexsort((y, x))
-            first = by[np.concatenate(([True], x[by][1:] != x[by][:-1]))]
-            links_a.append(a[first])
-            links_b.append(b[first])
+        i, j = np.nonzero(np.bitwise_count(part[:, None] ^ every[None, :]) <= max_bits)
+        a, b = label[np.searchsorted(nodes, part[i])], label[at_every[j]]
+        while (a != b).any():
+            # Hang each larger label below the smallest one it meets, then follow labels to the end.
             parent = np.arange(len(nodes))
-            parent[x[first]] = y[first]
-            while True:
-                up = parent[parent]
-                if (up == parent).all():
-                    break
-                parent = up
-            label = parent[label]
-            other = label[a] != label[b]
-            a, b = a[other], b[other]
-    if not links_a:
-        return nodes[:0], nodes[:0]
-    return nodes[np.concatenate(links_a)], nodes[np.concatenate(links_b)]
+            np.minimum.at(parent, np.maximum(a, b), np.minimum(a, b))
+            while (parent[parent] != parent).any():
+                parent = parent[parent]
+            label, a, b = parent[label], parent[a], parent[b]
+    linked = np.flatnonzero(label != np.arange(len(nodes)))
+    return nodes[label[linked]], nodes[linked]
 
 
 class Seen:
