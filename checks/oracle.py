@@ -478,7 +478,7 @@ GROUPS = CLASSES + ["""edge AS (SELECT a, b FROM near UNION SELECT b, a FROM nea
 add("duplicate_groups", GROUPS, "SELECT group_id, job_id, group_size FROM gm JOIN gs USING (label)")
 add("group_evidence", GROUPS, """, reason AS (SELECT min(job_id) AS job_id, 'Identical fingerprint: ' || fp AS evidence FROM cp GROUP BY fp HAVING count(*) > 1
   UNION ALL SELECT job_id_a, evidence FROM ev) SELECT DISTINCT group_id, evidence FROM reason JOIN gm USING (job_id) JOIN gs USING (label)""")
-BATCH = COPIES + ["""old AS (SELECT * FROM cp ORDER BY ingested_at DESC, job_id DESC LIMIT 500), w1 AS (SELECT job_id, co, unnest(sh) AS s FROM cp), w2 AS (
+BATCH = COPIES + ["""old AS (SELECT * FROM cp), w1 AS (SELECT job_id, co, unnest(sh) AS s FROM cp), w2 AS (
   SELECT job_id, co, unnest(sh) AS s FROM old), m0 AS (SELECT w1.job_id AS a, w2.job_id AS b, count(*) AS shared FROM w1 JOIN w2 USING (co, s) GROUP BY 1, 2), m1 AS (
   SELECT a, b, x.co, len(list_intersect(x.tt, y.tt))::DOUBLE / (len(x.tt) + len(y.tt) - len(list_intersect(x.tt, y.tt))) AS ts,
     shared::DOUBLE / (len(x.sh) + len(y.sh) - shared) AS ds FROM m0 JOIN cp x ON x.job_id = a JOIN old y ON y.job_id = b WHERE x.fp <> y.fp), dup AS (
@@ -672,7 +672,7 @@ add("get_postings", RAW, """SELECT job_id, title, CAST(NULL AS INTEGER) AS shown
   UNION ALL SELECT job_id, title, length(description) FROM raw WHERE doc_id IN (SELECT doc_id FROM labels)""")
 add("find_by_fingerprint", COPIES, "SELECT fp AS fingerprint, min(job_id) AS job_id FROM cp GROUP BY 1")
 add("recent", RAW, f"SELECT job_id, {stamp('ingested_at')} AS ingested_at FROM raw ORDER BY raw.ingested_at DESC, job_id DESC LIMIT 500")
-_CURSOR = """replace(replace(rtrim(base64(encode('{"ingested_at":"' || strftime(ingested_at, '%Y-%m-%dT%H:%M:%S.%gZ') || '","job_id":"' || job_id || '"}')), '='), '+', '-'), '/', '_')"""
+_CURSOR = """replace(replace(rtrim(base64(encode('{"ingested_at":"' || strftime(ingested_at, '%Y-%m-%dT%H:%M:%S.%fZ') || '","job_id":"' || job_id || '"}')), '='), '+', '-'), '/', '_')"""
 
 
 def page(where: str) -> str:
@@ -704,14 +704,15 @@ add("list_profiles", [t.profile_sql("customer", "c_custkey")], f"SELECT profile_
 # ---------------------------------------------------------------- governance
 
 _AGE = "CASE WHEN datediff('day', CAST(snapshot_date AS DATE), CAST(g.at AS DATE)) = -1 THEN 0 ELSE datediff('day', CAST(snapshot_date AS DATE), CAST(g.at AS DATE)) END"
-GATE = [t.REQUEST_SQL, t.POLICY_SQL, f"""g0 AS (SELECT g.*, level, status, policy_reason, approval_ref, stale_after_days, {_AGE} AS age FROM request g LEFT JOIN policy USING (capability_id)), gate AS (
+GATE = [t.REQUEST_SQL, t.POLICY_SQL, f"""g0 AS (SELECT g.*, level, status, policy_reason, approval_ref, stale_after_days, {_AGE} AS age FROM request g LEFT JOIN policy USING (provider, capability_id)), gate AS (
   SELECT *, CASE WHEN level IS NULL OR level = 'L4' THEN 'CAPABILITY_DISABLED' WHEN status = 'blocked_by_provider_approval' THEN 'BLOCKED_BY_PROVIDER_APPROVAL'
     WHEN status <> 'enabled' THEN 'CAPABILITY_DISABLED' WHEN level = 'L0' THEN NULL
     WHEN NOT regexp_full_match(coalesce(approval_ref, ''), 'APPROVAL-(BOARD_IN|BOARD_GLOBAL)-\\d{{3}}') THEN 'BLOCKED_BY_PROVIDER_APPROVAL'
     WHEN age < 0 OR age > stale_after_days THEN 'POLICY_STALE' END AS error_code FROM g0)"""]
 add("gate_requests", GATE, """SELECT id, capability_id, error_code IS NULL AS allowed, coalesce(level, 'unknown') AS level, coalesce(status, 'disabled') AS status,
   CASE WHEN level IS NULL THEN 'Unknown capability: ' || capability_id WHEN level = 'L4' THEN 'L4 capabilities are strictly disabled in v1'
-    WHEN error_code = 'POLICY_STALE' THEN 'Policy snapshot is stale (' || age || ' days old, max allowed is ' || stale_after_days || ' days)' ELSE policy_reason END AS reason,
+    WHEN error_code = 'POLICY_STALE' THEN 'Policy snapshot is stale (' || age || ' days old, max allowed is ' || stale_after_days || ' days)' WHEN status = 'enabled' AND level <> 'L0' AND error_code = 'BLOCKED_BY_PROVIDER_APPROVAL'
+      THEN 'Capability ''' || capability_id || ''' requires a valid written provider approval reference' ELSE policy_reason END AS reason,
   error_code, approval_ref FROM gate""")
 AUDIT = GATE + [f"""aud AS (SELECT id, gate.at AS at, tool, request_id, CASE WHEN error_code IS NULL THEN 'ok' ELSE 'error' END AS outcome, error_code,
   CASE WHEN regexp_full_match(subject_id, '(job|prof)_[0-9a-f-]{{36}}') THEN left(sha256('{q.SALT}' || subject_id), 16) END AS subject_hash FROM gate)"""]

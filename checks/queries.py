@@ -44,7 +44,7 @@ _stored: dict[tuple[str, str, str], str] = {}
 
 
 def taxonomy() -> Taxonomy:
-    return Taxonomy.starter()
+    return Taxonomy.of(t.SKILLS)
 
 
 def now() -> Column:
@@ -436,13 +436,13 @@ def q_group_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
 def q_check_batch_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All postings against the 500 latest ones (a posting always finds itself there)."""
     src = copies(spark, sf_dir)
-    return duplicates.check_batch_duplicates(src, src, 500)
+    return duplicates.check_batch_duplicates(src, src)
 
 
 def q_duplicate_warnings(spark: SparkSession, sf_dir: str) -> DataFrame:
     src = copies(spark, sf_dir)
-    found = duplicates.check_batch_duplicates(src, src, 500)
-    return duplicates.duplicate_warnings(found, src, 500).select("job_id", "warning.message")
+    found = duplicates.check_batch_duplicates(src, src)
+    return duplicates.duplicate_warnings(found, src).select("job_id", "warning.message")
 
 
 # ---------------------------------------------------------------- matching
@@ -711,7 +711,7 @@ def q_stream_exact_dedupe(spark: SparkSession, sf_dir: str) -> DataFrame:
 def q_stream_near_dedupe(spark: SparkSession, sf_dir: str) -> DataFrame:
     stream = _stream(spark, sf_dir, copies, "arriving-copies")
     path = work_dir(spark, "found-copies")
-    flows.stream_near_dedupe(stream, copies(spark, sf_dir), path, work_dir(spark, "progress")).awaitTermination()
+    flows.stream_near_dedupe(stream, lambda: copies(spark, sf_dir), path, work_dir(spark, "progress")).awaitTermination()
     found = spark.read.parquet(path)
     return found.select("scope", "job_id", "existing_job_id", "reason")
 

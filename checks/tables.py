@@ -22,6 +22,44 @@ TITLES = [
     "Senior Backend Engineer", "Data Analyst", "Lead Platform Architect", "Junior Developer", "Head of Engineering",
     "QA Intern", "Office Coordinator", "Sr. Consultant", "Staff Engineer, Payments", "Associate Designer",
 ]
+# A vocabulary of our own choice: (name, other spellings, category).
+SKILLS = [
+    ("Python", [], "language"),
+    ("Java", [], "language"),
+    ("TypeScript", ["TS"], "language"),
+    ("Kotlin", [], "language"),
+    ("Swift", [], "language"),
+    ("Go", ["Golang"], "language"),
+    ("C++", [], "language"),
+    ("C#", [], "language"),
+    ("R", [], "language"),
+    ("SQL", [], "language"),
+    ("Spring Boot", ["SpringBoot"], "framework"),
+    ("React", ["React.js"], "framework"),
+    ("Angular", [], "framework"),
+    (".NET", [], "framework"),
+    ("ASP.NET Core", [], "framework"),
+    ("Node.js", ["NodeJS"], "backend"),
+    ("REST APIs", ["REST", "REST API"], "backend"),
+    ("Kafka", ["Apache Kafka"], "backend"),
+    ("Android", [], "mobile"),
+    ("iOS", [], "mobile"),
+    ("AWS Lambda", [], "cloud"),
+    ("AWS", [], "cloud"),
+    ("Docker", [], "devops"),
+    ("Kubernetes", ["K8s"], "devops"),
+    ("Terraform", [], "devops"),
+    ("Spark", ["Apache Spark", "PySpark"], "data"),
+    ("Airflow", [], "data"),
+    ("Power BI", [], "data"),
+    ("Machine Learning", ["ML"], "ai_ml"),
+    ("PostgreSQL", ["Postgres"], "database"),
+    ("SQL Server", [], "database"),
+    ("MongoDB", [], "database"),
+    ("Payments", [], "domain"),
+    ("Banking", [], "domain"),
+    ("Scrum", [], "methodology"),
+]
 LANG_TITLES = [
     "Senior Backend Engineer", "Data Platform Analyst", "Lead Mobile Developer", "Cloud Security Consultant",
 ]
@@ -239,12 +277,11 @@ def profiles(spark: SparkSession, sf_dir: str, source: str = "supplier", key: st
 
 
 def pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Requested comparisons: each distinct (part, supplier) order line whose part is a posting."""
-    lines = table(spark, sf_dir, "lineitem").select("l_partkey", "l_suppkey").distinct()
-    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("l_partkey"))
-    return lines.join(docs, "l_partkey").select(
-        posting_id(F.col("l_partkey")).alias("job_id"), profile_id(F.col("l_suppkey")).alias("profile_id")
-    )
+    """Requested comparisons: the part of each order line names a posting, its supplier a profile."""
+    count = table(spark, sf_dir, "documents").count()
+    posting = posting_id(F.col("l_partkey") % count)
+    lines = table(spark, sf_dir, "lineitem").select(posting.alias("job_id"), profile_id(F.col("l_suppkey")).alias("profile_id"))
+    return lines.distinct()
 
 
 CAPABILITIES = [
@@ -253,6 +290,9 @@ CAPABILITIES = [
     ("board_in", "2024-01-01", 30, "view", "L1", "enabled", "Board search", "APPROVAL-BOARD_IN-001"),
     ("board_in", "2024-01-01", 30, "click", "L1", "blocked_by_provider_approval", "Needs approval", None),
     ("board_in", "2024-01-01", 30, "purchase", "L4", "enabled", "Submit for the user", "APPROVAL-BOARD_IN-002"),
+    ("board_global", "2023-12-15", 3, "signup", "L0", "enabled", "Local analysis abroad", None),
+    ("board_global", "2023-12-15", 3, "view", "L1", "enabled", "Global search", "APPROVAL-BOARD_GLOBAL-001"),
+    ("board_global", "2023-12-15", 3, "click", "L1", "enabled", "No reference yet", None),
 ]
 
 
@@ -272,6 +312,7 @@ def requests(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.date_trunc("millisecond", "ts").alias("at"),
         F.concat(F.lit("tool_"), F.col("event_type")).alias("tool"),
         F.format_string("req-%d", e).alias("request_id"),
+        pick(BOARDS, e % len(BOARDS)).alias("provider"),
         F.col("event_type").alias("capability_id"),
         F.when(e % 3 == 0, posting_id(u)).when(e % 3 == 1, profile_id(u)).otherwise(F.concat(F.lit("u"), u.cast("string"))).alias("subject_id"),
     )
@@ -367,9 +408,8 @@ PREF_SQL = _values(
 )
 
 PAIR_SQL = f"""pair AS (
-  SELECT DISTINCT l_partkey AS doc_id, l_suppkey AS pkey, {sql_id('job', 'l_partkey')} AS job_id,
-    {sql_id('prof', 'l_suppkey')} AS profile_id
-  FROM lineitem JOIN documents ON doc_id = l_partkey)"""
+  SELECT DISTINCT doc_id, pkey, {sql_id('job', 'doc_id')} AS job_id, {sql_id('prof', 'pkey')} AS profile_id
+  FROM (SELECT l_partkey % (SELECT count(*) FROM documents) AS doc_id, l_suppkey AS pkey FROM lineitem))"""
 
 POLICY_SQL = _values(
     "policy",
@@ -379,7 +419,7 @@ POLICY_SQL = _values(
 
 REQUEST_SQL = f"""request AS (
   SELECT event_id AS id, date_trunc('millisecond', ts) AS at, 'tool_' || event_type AS tool, 'req-' || event_id AS request_id,
-    event_type AS capability_id,
+    {sql_pick(BOARDS, f'event_id % {len(BOARDS)}')} AS provider, event_type AS capability_id,
     CASE WHEN event_id % 3 = 0 THEN {sql_id('job', 'user_id')} WHEN event_id % 3 = 1 THEN {sql_id('prof', 'user_id')}
       ELSE 'u' || user_id END AS subject_id
   FROM events)"""

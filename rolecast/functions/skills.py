@@ -1,36 +1,17 @@
 """Skill names: taxonomy table and text matcher.
 
-The taxonomy is a parameter. ``STARTER_SKILLS`` is a small public vocabulary for
-tests and first runs; production jobs load their own file (see ``sources``).
+The taxonomy is a parameter; jobs load their own file (see ``sources``).
 """
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections import Counter
+from collections.abc import Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-# category -> skills; "name=alias=alias" lists other spellings of one skill.
-STARTER_SKILLS: Mapping[str, str] = {
-    "language": "Python, Java, JavaScript=JS, TypeScript=TS, C++, C#, C, Go=Golang, Rust, Ruby, PHP, Kotlin, Swift, Scala, R, SQL, Bash",
-    "framework": "React=React.js, Angular, Vue=Vue.js, Next.js, Django, Flask, FastAPI, Spring Boot=SpringBoot, Ruby on Rails=Rails, ASP.NET Core, .NET=Dotnet, Hibernate=Hibernate ORM",
-    "frontend": "HTML, CSS, Sass=SCSS, Redux, Webpack, RxJS=Rx.js",
-    "backend": "Node.js=NodeJS, REST=REST API=RESTful=REST APIs=RESTful APIs, GraphQL, gRPC, Microservices=Microservice, Apache Kafka=Kafka, RabbitMQ",
-    "mobile": "Android, iOS, Flutter, React Native",
-    "cloud": "AWS=Amazon Web Services, Azure=Microsoft Azure, Google Cloud=GCP, AWS Lambda, BigQuery",
-    "devops": "Docker, Kubernetes=K8s, Terraform, Ansible, Jenkins, GitHub Actions, CI/CD=Continuous Integration, Linux",
-    "data": "ETL, Apache Spark=Spark, PySpark, Apache Airflow=Airflow, dbt, Snowflake, Databricks, Data Modeling, Hadoop, Power BI, Tableau",
-    "ai_ml": "Machine Learning=ML, Deep Learning, PyTorch, TensorFlow, scikit-learn=sklearn, LLMs=Large Language Models",
-    "testing": "Unit Testing, Test Automation, Selenium, Cypress, JUnit, pytest, Postman",
-    "security": "Penetration Testing=Pentesting, Encryption, SOC 2, ISO 27001, GDPR",
-    "database": "PostgreSQL=Postgres, MySQL, MongoDB, Redis, Elasticsearch, Oracle=Oracle Database=Oracle DB=Oracle SQL, SQL Server, PL/SQL=PLSQL=PL-SQL",
-    "tool": "Git, GitHub, Jira, Figma, Maven, Salesforce=SFDC=Salesforce CRM",
-    "domain": "Banking, Payments, Insurance, Healthcare, Ecommerce=E-commerce, Logistics, Fintech",
-    "methodology": "Agile, Scrum, Kanban, DevOps, Test Driven Development=TDD, Code Review",
-}
-
 #: Names that are also words or letters count only in this exact case.
 CASE_BOUND_NAMES = ("Go", "R", "C")
 
@@ -47,21 +28,12 @@ class Taxonomy:
     @classmethod
     def of(cls, skills: Sequence[tuple[str, Sequence[str], str]]) -> Taxonomy:
         pairs = [(spelling, name) for name, other, _ in skills for spelling in (name, *other)]
-        folded = [spelling.lower() for spelling, _ in pairs]
-        repeated = sorted({f for f in folded if folded.count(f) > 1})
+        folded = Counter(spelling.lower() for spelling, _ in pairs)
+        repeated = sorted(f for f, n in folded.items() if n > 1)
         if repeated:
             raise ValueError(f"duplicate skill alias: {', '.join(repeated)}")
         return cls(tuple(pairs), tuple((name, category) for name, _, category in skills))
 
-    @classmethod
-    def starter(cls) -> Taxonomy:
-        rows = []
-        for category, listing in STARTER_SKILLS.items():
-            for entry in listing.split(", "):
-                name, *other = entry.split("=")
-                rows.append((name, other, category))
-        return cls.of(rows)
-
     def alias_frame(self, spark: SparkSession) -> DataFrame:
         category = dict(self.categories)
         rows = [(alias, name, category[name]) for alias, name in self.aliases]

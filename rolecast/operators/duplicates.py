@@ -282,11 +282,15 @@ def group_evidence(src: DataFrame, groups: DataFrame, max_chars: int | None = No
     return groups.select("group_id", "job_id").join(reasons, "job_id").select("group_id", "evidence").distinct()
 
 
-def check_batch_duplicates(new: DataFrame, existing: DataFrame, n: int = 500, max_chars: int | None = None) -> DataFrame:
-    """(job_id, existing_job_id, reason) of new postings against the n (at most 500) latest stored ones."""
-    latest = prepare_postings(recent(existing, n), max_chars).drop("class_key")
+def check_batch_duplicates(
+    new: DataFrame, existing: DataFrame, n: int | None = None, max_chars: int | None = None
+) -> DataFrame:
+    """(job_id, existing_job_id, reason) of new postings against all stored ones, or the n latest."""
+    looked_at = existing if n is None else recent(existing, n)
+    # Both sides are read by several joins; their sets are made once.
+    latest = cut_lineage(prepare_postings(looked_at, max_chars).drop("class_key"))
     stored = latest.select(*[F.col(c).alias(f"old_{c}") for c in latest.columns])
-    fresh = prepare_postings(new, max_chars).drop("class_key")
+    fresh = cut_lineage(prepare_postings(new, max_chars).drop("class_key"))
     same = fresh.join(stored, F.col("fingerprint") == F.col("old_fingerprint")).select(
         "job_id",
         F.col("old_job_id").alias("existing_job_id"),
@@ -294,7 +298,7 @@ def check_batch_duplicates(new: DataFrame, existing: DataFrame, n: int = 500, ma
     )
     named = fresh.filter("company <> ''")
     # A close pair shares one of the rarest shingles of the stored side, under any order. The
-    # stored prefixes come from at most 500 postings; the new side is only exploded and probed.
+    # stored prefixes are short and rare first; the new side is only exploded and probed.
     index = prefix_buckets(
         latest.withColumnRenamed("job_id", "old_job_id"),
         "old_job_id", "company", "shingle_set", *DESCRIPTION_THRESHOLD, only_shared=False,
@@ -341,12 +345,13 @@ def check_batch_duplicates(new: DataFrame, existing: DataFrame, n: int = 500, ma
     return same.unionByName(near)
 
 
-def duplicate_warnings(matches: DataFrame, existing: DataFrame, n: int = 500) -> DataFrame:
+def duplicate_warnings(matches: DataFrame, existing: DataFrame) -> DataFrame:
     """(job_id, warning): one DUPLICATE_SUSPECTED message per posting, latest match first.
 
-    A posting has at most n (500) matches, which bounds the list in its message.
+    The message names every match, so give ``check_batch_duplicates`` an ``n`` where a posting may
+    have more matches than a message should hold.
     """
-    order = recent(existing, n).select(F.col("job_id").alias("existing_job_id"), "ingested_at")
+    order = existing.select(F.col("job_id").alias("existing_job_id"), "ingested_at")
     item = F.struct("ingested_at", "existing_job_id")
     listed = matches.join(order, "existing_job_id").groupBy("job_id").agg(
         F.sort_array(F.collect_list(item), asc=False).alias("found")

@@ -7,10 +7,9 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from rolecast.operators.store import clamp
+from rolecast.operators.store import checked
 from rolecast.providers import DEFAULT_PROVIDERS, Provider
 
-MAX_AUDIT_ROWS = 1_000
 SUBJECT_PATTERN = r"^(?:job|prof)_[0-9a-f-]{36}\z"
 
 
@@ -22,16 +21,17 @@ def approval_pattern(providers: Sequence[Provider]) -> str:
 def gate_requests(
     requests: DataFrame, policies: DataFrame, as_of: Column, providers: Sequence[Provider] = DEFAULT_PROVIDERS
 ) -> DataFrame:
-    """Decide every request row (capability_id) against the policy rows; denial is the default.
+    """Decide every request row (provider, capability_id) against its board's policy; denial is the default.
 
-    The policy table has a handful of rows per board and is joined by capability id.
+    Boards share capability ids, so both columns are joined. A repeated policy row counts once;
+    a request has one decision.
     """
     joined = requests.join(
-        policies.select(
-            "capability_id", "level", "status", "approval_ref", "snapshot_date", "stale_after_days",
+        policies.dropDuplicates(["provider", "capability_id"]).select(
+            "provider", "capability_id", "level", "status", "approval_ref", "snapshot_date", "stale_after_days",
             F.col("reason").alias("policy_reason"),
         ),
-        "capability_id",
+        ["provider", "capability_id"],
         "left",
     )
     snapshot = F.try_to_date(F.col("snapshot_date"), "yyyy-MM-dd")
@@ -105,7 +105,7 @@ def append_audit(rows: DataFrame, path: str) -> None:
 
 
 def recent_audit(audit: DataFrame, n: int = 100) -> DataFrame:
-    return audit.orderBy(F.desc("id")).limit(clamp(n, 1, MAX_AUDIT_ROWS))
+    return audit.orderBy(F.desc("id")).limit(checked(n, 1, None, "n"))
 
 
 def outcome_report(audit: DataFrame) -> DataFrame:

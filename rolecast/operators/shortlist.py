@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from rolecast.functions.skills import Taxonomy
 from rolecast.operators.matching import WEIGHTS, score_pairs
-from rolecast.operators.store import MAX_RECENT, clamp, filter_postings, recent
+from rolecast.operators.store import MAX_RECENT, checked, filter_postings, recent
 
 MAX_SHORTLIST = 50
 MAX_REASONS = 3
@@ -59,24 +59,24 @@ def shortlist(
     limit: int = MAX_SHORTLIST,
     look_back: int = MAX_RECENT,
 ) -> DataFrame:
-    """Best postings per profile among the latest ``look_back`` (at most 500) that pass the filters.
+    """Best postings per profile among the latest ``look_back`` that pass the filters.
 
-    The recency list is at most 500 rows by definition. Each profile reads its slots 1..n, an
-    equi-join on the slot number, so work is 500 per profile however large the posting table is.
+    Each profile reads its slots 1..n, an equi-join on the slot number, so work is ``look_back``
+    per profile however large the posting table is.
     """
-    pool = clamp(look_back, 1, MAX_RECENT)
+    pool = checked(look_back, 1, None, "look_back")
     latest = filter_postings(recent(postings, pool), filters, empty_excludes=True)
     slots = latest.select("job_id", F.expr("row_number() OVER (ORDER BY ingested_at DESC, job_id DESC)").alias("slot"))
     pairs = (
         profiles.select("profile_id", F.explode(F.sequence(F.lit(1), F.lit(pool))).alias("slot"))
-        .join(F.broadcast(slots), "slot")  # two short columns, at most 500 rows
+        .join(slots, "slot")
         .select("job_id", "profile_id")
     )
     scored = score_pairs(pairs, latest, profiles, taxonomy)
     order = Window.partitionBy("profile_id").orderBy(F.desc("fit_score"), F.asc("job_id"))
     return (
         scored.withColumn("rank", F.row_number().over(order))
-        .filter(F.col("rank") <= clamp(limit, 1, MAX_SHORTLIST))
+        .filter(F.col("rank") <= checked(limit, 1, None, "limit"))
         .select(
             "profile_id", "rank", "job_id", "fit_score", "band", match_reasons(F.col("dimensions")).alias("top_reasons"), "blockers"
         )

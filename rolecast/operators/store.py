@@ -14,8 +14,11 @@ from pyspark.sql import functions as F
 
 from rolecast.schemas import JOB_ID_PATTERN
 
+#: Defaults of the feature; callers may ask for more.
 MAX_RECENT = 500
 MAX_PAGE = 50
+#: Beyond these a request is refused, never shortened.
+PAGE_LIMIT = 10_000
 MAX_QUERY = 200
 RETENTION_DAYS = 180
 FILTER_COLUMNS = ("remote_mode", "employment_type", "retention_class")
@@ -25,8 +28,11 @@ def newest_first(df: DataFrame) -> DataFrame:
     return df.orderBy(F.desc("ingested_at"), F.desc("job_id"))
 
 
-def clamp(value: int, low: int, high: int) -> int:
-    return max(low, min(value, high))
+def checked(value: int, low: int, high: int | None, name: str) -> int:
+    """The value itself, or an error: a request is obeyed or refused."""
+    if value < low or (high is not None and value > high):
+        raise ValueError(f"{name} must be at least {low}" + (f" and at most {high}" if high else ""))
+    return value
 
 
 # ---------------------------------------------------------------- lookups
@@ -47,8 +53,8 @@ def find_by_fingerprint(jobs: DataFrame, fingerprints: DataFrame) -> DataFrame:
 
 
 def recent(jobs: DataFrame, n: int = 50) -> DataFrame:
-    """The n newest postings (1 to 500), ties by id from the top."""
-    return newest_first(jobs).limit(clamp(n, 1, MAX_RECENT))
+    """The n newest postings, ties by id from the top."""
+    return newest_first(jobs).limit(checked(n, 1, None, "n"))
 
 
 # ---------------------------------------------------------------- paging
@@ -56,7 +62,7 @@ def recent(jobs: DataFrame, n: int = 50) -> DataFrame:
 
 def encode_cursor(ingested_at: datetime, job_id: str) -> str:
     moment = ingested_at.astimezone(timezone.utc) if ingested_at.tzinfo else ingested_at
-    stamp = moment.strftime("%Y-%m-%dT%H:%M:%S.") + f"{moment.microsecond // 1000:03d}Z"
+    stamp = moment.strftime("%Y-%m-%dT%H:%M:%S.%fZ")
     payload = json.dumps({"ingested_at": stamp, "job_id": job_id}, separators=(",", ":"))
     return base64.urlsafe_b64encode(payload.encode()).decode().rstrip("=")
 
@@ -80,8 +86,8 @@ def decode_cursor(cursor: str) -> tuple[str, str]:
 
 
 def cursor_column(ingested_at: Column, job_id: Column) -> Column:
-    """The cursor of every row, as ``encode_cursor`` builds it."""
-    stamp = F.date_format(ingested_at, "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'")
+    """The cursor of every row, as ``encode_cursor`` builds it: exact, as rows of one batch share a stamp."""
+    stamp = F.date_format(ingested_at, "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'")
     plain = F.base64(F.encode(F.to_json(F.struct(stamp.alias("ingested_at"), job_id.alias("job_id"))), "UTF-8"))
     return F.regexp_replace(F.translate(plain, "+/", "-_"), r"[=\s]", "")
 
@@ -122,9 +128,9 @@ def posting_summary(jobs: DataFrame) -> DataFrame:
 
 def _page(jobs: DataFrame, page_size: int) -> DataFrame:
     """At most page_size summaries; the last row carries ``next_cursor`` when more follow."""
-    size = clamp(page_size, 1, MAX_PAGE)
+    size = checked(page_size, 1, PAGE_LIMIT, "page_size")
     ahead = newest_first(posting_summary(jobs)).limit(size + 1)
-    # At most 51 rows are left, so one window over all of them is small by construction.
+    # One page and a row are left, so one window over all of them is small by construction.
     rank = F.expr("row_number() OVER (ORDER BY ingested_at DESC, job_id DESC)")
     total = F.expr("count(*) OVER ()")
     ranked = ahead.withColumns({"_rank": rank, "_total": total})
@@ -160,7 +166,9 @@ def search_postings(
     cursor: str | None = None,
 ) -> DataFrame:
     """Postings whose text contains the query literally, case folded; wildcards have no meaning."""
-    needle = query[:MAX_QUERY].strip().lower()
+    if len(query) > MAX_QUERY:
+        raise ValueError(f"a query has at most {MAX_QUERY} characters")
+    needle = query.strip().lower()
     matching = filter_postings(keyset_page(jobs, cursor), filters).filter(F.contains(search_text(jobs), F.lit(needle)))
     return _page(matching, page_size)
 

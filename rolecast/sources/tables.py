@@ -81,14 +81,21 @@ def load_taxonomy(spark: SparkSession, path: str) -> Taxonomy:
 
 
 def upsert_postings(current: DataFrame, batch: DataFrame) -> DataFrame:
-    """Insert or replace by ``job_id``; the highest ``batch_seq`` wins.
+    """Insert or replace by ``job_id``; the highest ``batch_seq`` wins, a missing one counts as lowest.
 
-    A row-wise maximum pre-aggregates on the map side, so an id that is rewritten very often
-    never piles up in one task.
+    Of equal numbers the batch wins over the stored row, and within one side the row of the
+    largest hash, so the result does not depend on the order of rows. The winner is found on a
+    narrow key that pre-aggregates on the map side; whole rows meet it afterwards.
     """
-    merged = current.unionByName(batch, allowMissingColumns=True)
-    row = F.struct(*[F.col(c) for c in merged.columns if c != "job_id"])
-    return merged.groupBy("job_id").agg(F.max_by(row, "batch_seq").alias("row")).select("job_id", "row.*")
+    merged = current.withColumn("_side", F.lit(0)).unionByName(batch.withColumn("_side", F.lit(1)), allowMissingColumns=True)
+    columns = [c for c in merged.columns if c != "_side"]
+    if "batch_seq" not in columns:
+        merged = merged.withColumn("batch_seq", F.lit(None).cast("long"))
+    order = F.struct(F.coalesce("batch_seq", F.lit(-1)).alias("seq"), F.col("_side").alias("side"), F.xxhash64(*columns).alias("hash"))
+    ranked = merged.withColumn("_order", order)
+    winner = ranked.groupBy("job_id").agg(F.max("_order").alias("_order"))
+    # Rows that tie on all of this are equal.
+    return ranked.join(winner, ["job_id", "_order"], "left_semi").dropDuplicates(["job_id"]).select(*columns)
 
 
 def upsert_profiles(current: DataFrame, batch: DataFrame, now: Column) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -56,13 +56,21 @@ def stream_exact_dedupe(stream: DataFrame, delay: str) -> DataFrame:
 
 
 def stream_near_dedupe(
-    source: DataFrame, stored: DataFrame, path: str, checkpoint: str, n: int = 500, available_now: bool = True
+    source: DataFrame,
+    stored: Callable[[], DataFrame],
+    path: str,
+    checkpoint: str,
+    n: int | None = None,
+    available_now: bool = True,
 ) -> StreamingQuery:
-    """Write the duplicates of each micro-batch, against the stored table and inside the batch."""
+    """Write the duplicates of each micro-batch, against the stored table and inside the batch.
+
+    ``stored`` reads the table anew for each batch, so what an earlier batch has stored is seen.
+    """
 
     def check(batch: DataFrame, batch_id: int) -> None:
         batch.persist()
-        against = check_batch_duplicates(batch, stored, n)
+        against = check_batch_duplicates(batch, stored(), n)
         exact = exact_duplicates(batch).filter("job_id <> first_job_id").select(
             "job_id",
             F.col("first_job_id").alias("existing_job_id"),

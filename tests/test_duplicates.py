@@ -22,10 +22,10 @@ def corpus():
     for _ in range(40):  # a third of all rows are copies of one text
         put("Acme Pvt Ltd", "Data Engineer", " ".join(base))
     chain = [rng.choice(WORDS) for _ in range(150)]
-    for step in range(8):  # each close to the next, the ends far apart
+    for step in range(64):  # each close to the next, the ends far apart
         chain = chain[:]
-        chain[step * 16] = f"n{step}"
-        chain[step * 16 + 8] = f"m{step}"
+        chain[step * 2] = f"n{step}"
+        chain[step * 2 + 1] = f"m{step}"
         put("Beta Inc", "Cloud Lead" if step % 2 else "Lead Cloud", " ".join(chain))
     for _ in range(20):
         put("Acme Ltd", "Data Engineer", " ".join(rng.choice(WORDS) for _ in range(60)))
@@ -69,7 +69,7 @@ def by_force(prepared):
     return edges, {min(g): g for g in groups.values() if len(g) > 1}
 
 
-@pytest.mark.parametrize("block_rows", [2])
+@pytest.mark.parametrize("block_rows", [2, 3, 2000])
 def test_groups_and_pairs_equal_brute_force(spark, monkeypatch, block_rows):
     monkeypatch.setattr(skew, "BLOCK_ROWS", block_rows)
     src = spark.createDataFrame(corpus(), "job_id string, fingerprint string, company string, title string, description string")
