@@ -626,6 +626,8 @@ ASK = """rq AS (SELECT job_id, 'must_have' AS kind, unnest(range(0, len(must_hav
 PREP = FEATURES + [TEV, ASK]
 add("skill_evidence", [t.RAW_SQL, REQ_SQL, t.profile_sql("customer", "c_custkey"), t.FIELD_SQL, "want AS (SELECT DISTINCT unnest(list_concat(ms, ps)) AS skill FROM req)", TEV],
     "SELECT profile_id, skill, rank, field_path, snip AS text FROM prof JOIN tev USING (tpl)")
+add("verify_evidence", [t.RAW_SQL, REQ_SQL, t.profile_sql("customer", "c_custkey"), t.FIELD_SQL, "want AS (SELECT DISTINCT unnest(list_concat(ms, ps)) AS skill FROM req)", TEV],
+    "SELECT profile_id, field_path, skill, snip || ' \u2020' AS text FROM prof JOIN tev USING (tpl) WHERE pkey % 7 = 0")
 add("cv_emphasis", PREP, """, f AS (SELECT ask.*, tev.rank, tev.field_path, row_number() OVER (PARTITION BY job_id, profile_id, kind, req_pos, field_path ORDER BY skill_pos, rank) AS n
     FROM ask JOIN tev ON tev.tpl = ask.tpl AND tev.skill = ask.skill), g AS (
   SELECT job_id, profile_id, kind, req_pos, requirement, list(field_path ORDER BY skill_pos, rank)[1:5] AS paths FROM f WHERE n = 1 GROUP BY ALL), h AS (
@@ -664,7 +666,6 @@ add("handoff_queue", RAW, f"""SELECT job_id, {_STORED_URL} AS official_url, {_OF
     ELSE 'Review the listing at source URL: ' || ({_STORED_URL}) END AS first_step, 8 AS steps,
   'screening_answers|salary_declaration|notice_period|personal_information_changes|final_submit' AS human_only,
   CASE WHEN source_url IS NOT NULL AND NOT {_OFFICIAL} THEN 'URL_NOT_OFFICIAL' ELSE '' END AS warnings FROM raw""")
-add("verify_evidence", [], "SELECT '' AS profile_id, '' AS field_path, '' AS skill, '' AS text FROM documents WHERE false")
 
 # ---------------------------------------------------------------- store
 

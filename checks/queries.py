@@ -560,7 +560,10 @@ def q_handoff_queue(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def q_verify_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
     people = t.profiles(spark, sf_dir, "customer", "c_custkey")
-    broken = preparation.verify_evidence(_evidence(spark, sf_dir, people), people)
+    # Every seventh profile's evidence is spoilt, so that there is something to find.
+    spoilt = F.when(F.pmod(F.conv(F.right("profile_id", F.lit(12)), 16, 10).cast("long"), F.lit(7)) == 0, F.concat("text", F.lit(" \u2020")))
+    evidence = _evidence(spark, sf_dir, people).withColumn("text", F.coalesce(spoilt, "text"))
+    broken = preparation.verify_evidence(evidence, people)
     return broken.select("profile_id", "field_path", "skill", "text")
 
 

@@ -92,12 +92,12 @@ def skill_name_pattern(skill: Column) -> Column:
 
 
 def word_tokens(col: Column) -> Column:
-    """Distinct lower-case word tokens, plus '' so that all-symbol phrases can be joined."""
-    found = F.regexp_extract_all(F.lower(col), F.lit("[a-z0-9_]+"), F.lit(0))
-    return F.array_distinct(F.concat(found, F.array(F.lit(""))))
+    """Distinct lower-case ASCII words, and every other character that is no space by itself."""
+    return F.array_distinct(F.regexp_extract_all(F.lower(col), F.lit(r"[a-z0-9_]+|[^a-z0-9_\s]"), F.lit(0)))
 
 
 def lead_token(col: Column) -> Column:
-    """First word token of a phrase. A delimited phrase can only occur in a text that
-    holds this token whole, which makes it an exact equi-join key."""
-    return F.regexp_extract(F.lower(col), "[a-z0-9_]+", 0)
+    """First ASCII word of a phrase, or its first character where it has none. A delimited phrase can
+    only occur in a text that holds this token, which makes it an exact equi-join key."""
+    word = F.regexp_extract(F.lower(col), "[a-z0-9_]+", 0)
+    return F.when(word != "", word).otherwise(F.regexp_extract(F.lower(col), r"\S", 0))

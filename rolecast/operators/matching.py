@@ -149,16 +149,15 @@ def profile_skill_hits(profiles: DataFrame, skills: DataFrame) -> DataFrame:
         "profile_id", F.lower(js_trim(F.col("name"))).alias("folded")
     )
     by_name = listed.join(wanted, "folded").select("profile_id", "skill")
-    texts = profiles.select("profile_id", F.explode("roles").alias("role")).select(
+    texts = profiles.select("profile_id", F.posexplode("roles").alias("role_no", "role")).select(
         "profile_id",
-        F.explode(F.concat(F.array("role.title"), F.coalesce("role.highlights", F.array().cast("array<string>")))).alias("text"),
-    )
-    by_text = (
-        texts.withColumn("token", F.explode(word_tokens(F.col("text"))))
-        .join(wanted, "token")
-        .filter(F.expr("text rlike pattern"))
-        .select("profile_id", "skill")
+        "role_no",
+        F.posexplode(F.concat(F.array("role.title"), F.coalesce("role.highlights", F.array().cast("array<string>")))).alias("no", "text"),
     )
+    place = ["profile_id", "role_no", "no"]
+    # Words meet skills without the texts; a text is fetched once per skill it may name.
+    met = texts.select(*place, F.explode(word_tokens(F.col("text"))).alias("token")).join(wanted, "token").drop("token", "folded")
+    by_text = met.join(texts, place).filter(F.expr("text rlike pattern")).select("profile_id", "skill")
     return by_name.unionByName(by_text).distinct()
 
 
@@ -369,13 +368,12 @@ def phrase_hits(postings: DataFrame, phrases: DataFrame) -> DataFrame:
         F.transform("constraints", lambda c: c.text),
     )
     # Items may be cut in length, so each text is searched by itself.
+    searched = postings.select("job_id", texts.alias("_texts"))
     tokens = F.array_distinct(F.flatten(F.transform("_texts", word_tokens)))
-    candidates = (
-        postings.select("job_id", texts.alias("_texts"))
-        .withColumn("token", F.explode(tokens))
-        .join(wanted, "token")
-    )
-    return candidates.filter(F.exists("_texts", lambda t: F.rlike(t, F.col("pattern")))).select("job_id", "phrase")
+    # Words meet phrases without the texts; a posting's texts are fetched once per phrase it may hold.
+    met = searched.select("job_id", F.explode(tokens).alias("token")).join(wanted, "token").drop("token")
+    found = met.join(searched, "job_id").filter(F.exists("_texts", lambda t: F.rlike(t, F.col("pattern"))))
+    return found.select("job_id", "phrase")
 
 
 def deal_breakers(pairs: DataFrame, postings: DataFrame, profiles: DataFrame) -> DataFrame:

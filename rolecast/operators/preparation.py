@@ -169,10 +169,15 @@ def skill_evidence(profiles: DataFrame, skills: DataFrame, k: int = MAX_EVIDENCE
         .join(wanted, "folded")
         .select(columns)
     )
-    told = (
-        fields.filter("kind = 'text'")
-        .withColumn("token", F.explode(word_tokens(F.col("text"))))
+    texts = fields.filter("kind = 'text'")
+    # Words meet skills without the texts; a text is fetched once per skill it may show.
+    met = (
+        texts.select("profile_id", "place", F.explode(word_tokens(F.col("text"))).alias("token"))
         .join(wanted, "token")
+        .drop("token", "folded")
+    )
+    told = (
+        met.join(texts, ["profile_id", "place"])
         .withColumn("position", F.expr("regexp_instr(text, pattern)"))
         .filter("position > 0")
         .withColumn("text", snippet(F.col("text"), F.col("position"), F.length("name")))
