@@ -14,6 +14,7 @@ from rolecast.functions.urls import check_urls
 from rolecast.providers import DEFAULT_PROVIDERS, Provider, official_hosts
 from rolecast.plans.stage import stage
 from rolecast.schemas import MAX_RECORD_BYTES, ORIGINS, TEXT_LIMITS, WARNING
+from rolecast.session import cut_lineage
 
 MAX_FLAGS = 50
 
@@ -76,9 +77,17 @@ def screen_postings(src: DataFrame, providers: Sequence[Provider] = DEFAULT_PROV
     return df.withColumns({"reject_code": code, "screen_warnings": warnings}).drop("_early", "_url")
 
 
-def split_valid(src: DataFrame, providers: Sequence[Provider] = DEFAULT_PROVIDERS) -> tuple[DataFrame, DataFrame]:
-    """(good rows with cleaned text, rejected input rows with ``reject_code``)."""
+def split_valid(
+    src: DataFrame, providers: Sequence[Provider] = DEFAULT_PROVIDERS, once: bool = False
+) -> tuple[DataFrame, DataFrame]:
+    """(good rows with cleaned text, rejected input rows with ``reject_code``).
+
+    With ``once`` the cleaned rows are written to the shared folder, so that reading both outputs
+    does not clean the texts twice.
+    """
     screened = stage(screen_postings(src, providers))
+    if once:
+        screened = cut_lineage(screened)
     ok = screened.filter("reject_code IS NULL").drop("raw", "reject_code")
     rejects = screened.filter("reject_code IS NOT NULL").select("raw.*", "reject_code")
     return ok, rejects
@@ -105,7 +114,7 @@ def attach_provenance(src: DataFrame, now: Column) -> DataFrame:
 
 
 def attach_warnings(src: DataFrame) -> DataFrame:
-    """Put the warnings of all steps in order into ``flags`` and keep the first 50.
+    """Put the warnings of all steps in order into ``flags``, at most 50; the mark of untrusted text is never cut.
 
     Reads screen_warnings, parse_warnings, discrimination_warnings and, where present,
     duplicate_warnings; every posting is marked as untrusted content.
@@ -117,5 +126,5 @@ def attach_warnings(src: DataFrame) -> DataFrame:
 
     extraction = F.slice(F.concat(of("parse_warnings"), of("discrimination_warnings")), 1, MAX_FLAGS)
     untrusted = warning("UNTRUSTED_CONTENT", "Job description is untrusted third-party content")
-    every = F.concat(of("screen_warnings"), extraction, of("duplicate_warnings"), F.array(untrusted))
-    return src.withColumn("flags", F.slice(every, 1, MAX_FLAGS))
+    every = F.concat(of("screen_warnings"), extraction, of("duplicate_warnings"))
+    return src.withColumn("flags", F.concat(F.slice(every, 1, MAX_FLAGS - 1), F.array(untrusted)))

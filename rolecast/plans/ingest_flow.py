@@ -8,10 +8,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rolecast.functions.skills import Taxonomy
+from rolecast.operators.duplicates import check_batch_duplicates, duplicate_warnings
 from rolecast.operators.ingest import attach_provenance, attach_warnings, split_valid
 from rolecast.operators.postings import normalize_postings
 from rolecast.operators.requirements import discrimination_warnings, extract_requirements, posting_skills
 from rolecast.providers import DEFAULT_PROVIDERS, Provider
+from rolecast.schemas import WARNING
+from rolecast.session import cut_lineage
 
 
 def enrich_postings(
@@ -23,8 +26,25 @@ def enrich_postings(
 
 
 def ingest_postings(
-    src: DataFrame, taxonomy: Taxonomy, now: Column, providers: Sequence[Provider] = DEFAULT_PROVIDERS
+    src: DataFrame,
+    taxonomy: Taxonomy,
+    now: Column,
+    providers: Sequence[Provider] = DEFAULT_PROVIDERS,
+    existing: DataFrame | None = None,
+    look_back: int | None = None,
 ) -> tuple[DataFrame, DataFrame]:
-    """(stored-form postings with flags, rejected rows)."""
-    ok, rejects = split_valid(src, providers)
-    return attach_warnings(enrich_postings(ok, taxonomy, now, providers)), rejects
+    """(stored-form postings with flags, rejected rows).
+
+    With ``existing`` each posting is held against the stored ones, all or the ``look_back`` latest,
+    and marked where it repeats one of them.
+    """
+    ok, rejects = split_valid(src, providers, once=existing is not None)
+    full = enrich_postings(ok, taxonomy, now, providers)
+    if existing is not None:
+        full = cut_lineage(full)
+        found = check_batch_duplicates(full, existing, look_back).filter("job_id <> existing_job_id")
+        marks = duplicate_warnings(found, existing).select(
+            "job_id", F.array("warning").cast(f"array<{WARNING}>").alias("duplicate_warnings")
+        )
+        full = full.join(marks, "job_id", "left")
+    return attach_warnings(full), rejects

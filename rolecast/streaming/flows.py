@@ -25,14 +25,17 @@ def stream_ingest(
 ) -> StreamingQuery:
     """Ingest arriving postings into ``path/postings`` and rejected ones into ``path/rejects``.
 
-    Each micro-batch owns one folder and overwrites it, so a batch that is replayed after a lost
+    Each micro-batch is held against what the batches before it have stored, and marked where it
+    repeats a posting. Each micro-batch owns one folder and overwrites it, so a batch that is replayed after a lost
     executor or driver leaves no second copy. ``latest_postings`` reads the table.
     """
 
     def store(batch: DataFrame, batch_id: int) -> None:
         now = F.coalesce(F.col("ingested_at"), F.current_timestamp()) if "ingested_at" in batch.columns else F.current_timestamp()
-        good, rejects = ingest_postings(batch, taxonomy, now, providers)
-        good.drop("signals", "sanitized_fields", "url_check").write.mode("overwrite").parquet(
+        # The table is read anew for each batch; a batch that is replayed does not meet itself.
+        stored = latest_postings(batch.sparkSession, path, batch_id) if batch_id else None
+        good, rejects = ingest_postings(batch, taxonomy, now, providers, stored)
+        good.drop("signals", "sanitized_fields", "url_check", "duplicate_warnings").write.mode("overwrite").parquet(
             f"{path}/postings/batch_seq={batch_id}"
         )
         rejects.write.mode("overwrite").parquet(f"{path}/rejects/batch_seq={batch_id}")
@@ -41,9 +44,11 @@ def stream_ingest(
     return (writer.trigger(availableNow=True) if available_now else writer).start()
 
 
-def latest_postings(spark: SparkSession, path: str) -> DataFrame:
-    """The table written by ``stream_ingest``, last write per posting."""
+def latest_postings(spark: SparkSession, path: str, before: int | None = None) -> DataFrame:
+    """The table written by ``stream_ingest``, last write per posting, of all batches or those before one."""
     stored = spark.read.parquet(f"{path}/postings")
+    if before is not None:
+        stored = stored.filter(F.col("batch_seq") < before)
     return upsert_postings(stored.limit(0), stored)
 
 
