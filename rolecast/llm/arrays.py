@@ -42,7 +42,7 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 def powers(n: int, inverse: bool = False) -> np.ndarray:
     """The first n powers of the hash base, or of its inverse, modulo 2^64."""
-    if len(_powers.get(inverse, ())) < n:
+    if inverse not in _powers or len(_powers[inverse]) < n:
         made = np.full(max(n, CHUNK_BYTES + 1), _INVERSE if inverse else _BASE, dtype=np.uint64)
         made[0] = 1
         _powers[inverse] = np.cumprod(made, dtype=np.uint64)

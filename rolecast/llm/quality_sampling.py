@@ -90,7 +90,7 @@ def weights(source: DataFrame, ratio: np.ndarray, seed: int) -> DataFrame:
             for first, data, offsets in text_chunks(batch.column(1)):
                 n = len(offsets) - 1
                 doc, bucket = ngram_buckets(data, offsets)
-                weight = np.bincount(doc, weights=ratio[bucket], minlength=n)
+                weight = np.bincount(doc, weights=ratio[bucket], minlength=n).astype(np.float64)
                 uniform = ((noise_seed[first : first + n] >> np.uint64(12)).astype(np.float64) + 0.5) / (1 << 52)
                 key = weight - np.log(-np.log(uniform))
                 yield pa.RecordBatch.from_arrays(
