@@ -7,7 +7,10 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from rolecast.functions.skills import Taxonomy
+from rolecast.operators.governance import append_audit
+from rolecast.operators.store import erase_all, retention_action
 from rolecast.schemas import ORIGINS, POSTING, PROFILE, RAW_POSTING, TAXONOMY
+from rolecast.session import cut_lineage, drop_files
 
 
 def _strict_json(spark: SparkSession, path: str, ddl: str) -> tuple[DataFrame, DataFrame]:
@@ -126,5 +129,41 @@ def write_postings(jobs: DataFrame, path: str) -> None:
     jobs.withColumn("ingest_day", F.to_date("ingested_at")).write.mode("overwrite").partitionBy("ingest_day").parquet(path)
 
 
+def delete_stored(spark: SparkSession, path: str, ids: DataFrame) -> int:
+    """Delete postings by ``job_id`` from the table of ``write_postings``; only days that hold one are rewritten."""
+    stored = spark.read.parquet(path)
+    gone = cut_lineage(stored.join(ids.select("job_id").distinct(), "job_id", "left_semi").select("job_id", "ingest_day"))
+    # One value per partition of the table.
+    days = [r.ingest_day for r in gone.select("ingest_day").distinct().collect()]
+    if not days:
+        return 0
+    within = F.col("ingest_day").isin([d for d in days if d is not None])
+    touched = stored.filter(within | F.col("ingest_day").isNull() if None in days else within)
+    kept = cut_lineage(touched.join(gone.select("job_id"), "job_id", "left_anti"))
+    kept.write.option("partitionOverwriteMode", "dynamic").mode("overwrite").partitionBy("ingest_day").parquet(path)
+    left = {r.ingest_day for r in kept.select("ingest_day").distinct().collect()}
+    for day in set(days) - left:
+        drop_files(spark, f"{path}/ingest_day={'__HIVE_DEFAULT_PARTITION__' if day is None else day}")
+    return gone.count()
+
+
+def retain_stored(spark: SparkSession, path: str, now: Column) -> int:
+    """Delete what retention drops from the stored postings."""
+    stored = spark.read.parquet(path)
+    return delete_stored(spark, path, cut_lineage(stored.filter(retention_action(now).isNotNull()).select("job_id")))
+
+
+def erase_stored(spark: SparkSession, paths: dict[str, str], now: Column) -> dict[str, int]:
+    """Empty the stored tables; the audit table keeps one row that records the erasure. Returns the rows purged."""
+    tables = {name: spark.read.parquet(path) for name, path in paths.items()}
+    counts, emptied = erase_all({name: df.drop("day") for name, df in tables.items()}, now)
+    purged = {r.table_name: r.purged for r in counts.collect()}
+    for name, path in paths.items():
+        drop_files(spark, path)
+        if name == "audit":
+            append_audit(emptied[name], path)
+    return purged
+
+
 def read_stored(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(POSTING).parquet(path)

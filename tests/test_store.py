@@ -49,3 +49,27 @@ def test_boards_share_capability_ids(spark):
     requests = spark.createDataFrame([(1, "one", "view"), (2, "two", "view"), (3, "three", "view")], "id int, provider string, capability_id string")
     decided = governance.gate_requests(requests, policies, F.lit("2024-01-02").cast("date")).collect()
     assert sorted((r.id, r.allowed) for r in decided) == [(1, True), (2, False), (3, False)]
+
+
+def test_deletes_rewrite_their_days_only(spark, tmp_path):
+    import glob
+
+    from rolecast.sources import tables
+
+    path = str(tmp_path / "postings")
+    rows = [("a", "2024-01-01", "pinned"), ("b", "2024-01-01", "session"), ("c", "2024-01-02", "pinned"), ("d", "2024-01-03", "standard_180d")]
+    jobs = spark.createDataFrame(rows, "job_id string, at string, retention_class string").withColumn("ingested_at", F.to_timestamp("at"))
+    tables.write_postings(jobs, path)
+    untouched = glob.glob(f"{path}/ingest_day=2024-01-01/*.parquet")
+    ids = spark.createDataFrame([("c",), ("unknown",)], "job_id string")
+    assert tables.delete_stored(spark, path, ids) == 1
+    assert not glob.glob(f"{path}/ingest_day=2024-01-02") and glob.glob(f"{path}/ingest_day=2024-01-01/*.parquet") == untouched
+    assert tables.retain_stored(spark, path, F.lit("2024-12-01").cast("timestamp")) == 2
+    assert [r.job_id for r in spark.read.parquet(path).collect()] == ["a"]
+
+    audit = str(tmp_path / "audit")
+    entry = "1L id, timestamp'2024-01-01 00:00:00' at, 't' tool, 'r' request_id, 'ok' outcome, string(null) error_code, string(null) subject_hash"
+    governance.append_audit(spark.range(1).selectExpr(*entry.split(", ")), audit)
+    purged = tables.erase_stored(spark, {"jobs": path, "audit": audit}, F.lit("2024-12-01").cast("timestamp"))
+    assert purged == {"jobs": 1, "audit": 1} and not glob.glob(f"{path}/*")
+    assert [r.tool for r in spark.read.parquet(audit).collect()] == ["data_purge"]
