@@ -10,9 +10,12 @@ from pyspark.sql import functions as F
 from rolecast.functions.skills import Taxonomy
 from rolecast.operators.matching import WEIGHTS, score_pairs
 from rolecast.operators.store import MAX_RECENT, checked, filter_postings, recent
+from rolecast.session import cut_lineage
 
 MAX_SHORTLIST = 50
 MAX_REASONS = 3
+#: Slots of two short columns that are sent to every task.
+BROADCAST_SLOTS = 10_000
 
 # Reason texts.
 PLAIN_REASONS = {
@@ -65,11 +68,13 @@ def shortlist(
     per profile however large the posting table is.
     """
     pool = checked(look_back, 1, None, "look_back")
-    latest = filter_postings(recent(postings, pool), filters, empty_excludes=True)
+    # The ids are picked first; the rows are then read once for the four branches that need them.
+    picked = recent(postings.select("job_id", "ingested_at"), pool).select("job_id")
+    latest = cut_lineage(filter_postings(postings.join(picked, "job_id", "left_semi"), filters, empty_excludes=True))
     slots = latest.select("job_id", F.expr("row_number() OVER (ORDER BY ingested_at DESC, job_id DESC)").alias("slot"))
     pairs = (
         profiles.select("profile_id", F.explode(F.sequence(F.lit(1), F.lit(pool))).alias("slot"))
-        .join(slots, "slot")
+        .join(F.broadcast(slots) if pool <= BROADCAST_SLOTS else slots, "slot")
         .select("job_id", "profile_id")
     )
     scored = score_pairs(pairs, latest, profiles, taxonomy)
