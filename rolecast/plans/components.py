@@ -1,4 +1,4 @@
-"""Connected components by repeated minimum labels."""
+"""Connected components by contraction."""
 
 from __future__ import annotations
 
@@ -9,31 +9,38 @@ from rolecast.plans.skew import salted_join
 from rolecast.session import cut_lineage
 
 
+def _ordered(edges: DataFrame) -> DataFrame:
+    """Each pair of different nodes once, the smaller one first."""
+    return edges.filter("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+
 def connected_components(edges: DataFrame) -> DataFrame:
-    """(node, label) for every node of ``edges(a, b)``; the label is the smallest node reached.
+    """(node, label) for every node of ``edges(a, b)`` that has another; the label is the smallest node reached.
 
-    Each round takes the smallest label among the neighbours and then follows that label one
-    step, so distances roughly double. Hub nodes are salted on the way in and pre-aggregated on
-    the way out. The only driver-side value is the count of labels that still changed.
+    Each round every node follows its smallest neighbour two steps. Edges are then drawn between the
+    labels, and those within one label go, so each round works on a far smaller graph than the one
+    before. At the end the rounds' labels are read one through the other. Hub nodes are salted. The
+    only driver-side value is whether an edge is left.
     """
-    both = cut_lineage(
-        edges.select(F.col("a").alias("node"), F.col("b").alias("peer"))
-        .unionByName(edges.select(F.col("b").alias("node"), F.col("a").alias("peer")))
-        .filter("node <> peer")
-        .distinct()
-    )
-    merged = cut_lineage(
-        both.groupBy("node")
-        .agg(F.min("peer").alias("peer"))
-        .select("node", F.col("node").alias("label"), F.least("node", "peer").alias("new_label"))
-    )
-    while merged.filter("new_label <> label").limit(1).count():
-        labels = merged.select("node", F.col("new_label").alias("label"))
-        seen = salted_join(both, labels.withColumnRenamed("node", "peer"), ["peer"], "node").select("node", "label")
-        lowest = labels.unionByName(seen).groupBy("node").agg(F.min("label").alias("label"))
-        step = lowest.select(F.col("node").alias("label"), F.col("label").alias("further"))
-        jumped = salted_join(lowest, step, ["label"], "node", "left").select(
-            "node", F.least("label", F.coalesce("further", "label")).alias("new_label")
+    current = cut_lineage(_ordered(edges))
+    rounds = []
+    while True:
+        ends = current.select(F.col("a").alias("node"), F.col("b").alias("peer")).unionByName(
+            current.select(F.col("b").alias("node"), F.col("a").alias("peer"))
         )
-        merged = cut_lineage(jumped.join(labels, "node"), replaces=merged)
-    return merged.select("node", F.col("new_label").alias("label"))
+        # An edge's larger end always has a smaller neighbour; a smallest node keeps itself.
+        parent = cut_lineage(ends.groupBy("node").agg(F.min("peer").alias("peer")).select("node", F.least("node", "peer").alias("label")))
+        step = parent.select(F.col("node").alias("label"), F.col("label").alias("further"))
+        label = cut_lineage(salted_join(parent, step, ["label"], "node").select("node", F.col("further").alias("label")), replaces=parent)
+        rounds.append(label)
+        left = salted_join(current, label.select(F.col("node").alias("a"), F.col("label").alias("la")), ["a"], "b")
+        both = salted_join(left, label.select(F.col("node").alias("b"), F.col("label").alias("lb")), ["b"], "a")
+        current = cut_lineage(_ordered(both.select(F.col("la").alias("a"), F.col("lb").alias("b"))), replaces=current)
+        if current.isEmpty():
+            break
+    # From the smallest graph back to the first one.
+    found = rounds.pop()
+    while rounds:
+        further = found.select(F.col("node").alias("label"), F.col("label").alias("last"))
+        found = salted_join(rounds.pop(), further, ["label"], "node", "left").select("node", F.coalesce("last", "label").alias("label"))
+    return cut_lineage(found)
