@@ -38,7 +38,8 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that overlap with no benchmark item. A row without an id is not looked at and stays."""
-    found = cut_lineage(overlaps(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet")).select("doc_id").distinct())
+    benchmark = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
+    found = cut_lineage(overlaps(docs, benchmark, replaced_in_short=True).select("doc_id").distinct())
     return docs.join(found, "doc_id", "left_anti").select(*COLUMNS)
 
 

@@ -9,6 +9,7 @@ diagonal as long as enough words agree.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -19,8 +20,9 @@ from pyspark.sql import functions as F
 from rolecast.llm.arrays import borders, mix, owners, span_hashes, text_chunks
 from rolecast.session import cut_lineage
 
-#: Words under a one count, words under a zero may differ.
-MASKS = ("11101011", "110100110101", "1100101000110011")
+#: Words under a one count, words under a zero may differ. Wherever up to a fifth of 13 or more words
+#: differ, one of these hits: 13 to 25 words by enumeration, and of more some part is such a stretch.
+MASKS = ("11101011", "10011111", "11001000111", "101000100111")
 #: An overlap has at least so many words, or the whole of a shorter item, ...
 MIN_WORDS = 13
 #: ... of which this share agrees in place.
@@ -29,10 +31,12 @@ MIN_SHARE = 0.8
 MIN_ITEM_WORDS = 5
 #: Bits of the table that keeps most documents' hashes from the join: 8 MB, however large the benchmark.
 FILTER_BITS = 26
+#: Short items are taken in so many parts, of which as many as words may differ are left out.
+PARTS = 5
 #: Word characters: ASCII letters and digits, and all beyond ASCII.
 _WORD = np.zeros(256, dtype=bool)
 _WORD[[*range(0x30, 0x3A), *range(0x61, 0x7B), *range(0x80, 0x100)]] = True
-SEEDS = "id long, seed long, place int, solid int"
+SEEDS = "id long, seed long, place int, size int"
 
 
 def words_of(column: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
@@ -49,7 +53,7 @@ def seed_hashes(words: np.ndarray, row: np.ndarray, mask: str) -> tuple[np.ndarr
     n = len(words) - len(mask) + 1
     if n <= 0:
         return np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.uint64)
-    total = np.full(n, len(mask) * 31 + mask.count("1"), dtype=np.uint64)
+    total = np.full(n, int(mask, 2), dtype=np.uint64)
     for k, bit in enumerate(mask):
         if bit == "1":
             total = total * np.uint64(0x9E3779B97F4A7C15) + words[k : k + n]
@@ -57,9 +61,20 @@ def seed_hashes(words: np.ndarray, row: np.ndarray, mask: str) -> tuple[np.ndarr
     return place, mix(total[place])
 
 
-def item_seeds(items: DataFrame, masks: tuple[str, ...]) -> DataFrame:
-    """Seeds of the test items. An item shorter than a mask is one solid seed of all its words."""
-    shortest = min(map(len, masks))
+def short_masks(size: int, replaced: bool) -> list[tuple[int, str]]:
+    """(place, mask) of the seeds of an item of ``size`` words: one solid seed, or those that hit whichever fifth differs."""
+    if not replaced:
+        return [(0, "1" * size)]
+    at = [round(size * k / PARTS) for k in range(PARTS + 1)]
+    found = []
+    for out in combinations(range(PARTS), size // PARTS):
+        mask = "".join(("0" if k in out else "1") * (at[k + 1] - at[k]) for k in range(PARTS))
+        found.append((mask.index("1"), mask.strip("0")))
+    return found
+
+
+def item_seeds(items: DataFrame, masks: tuple[str, ...], sizes: range, replaced: bool) -> DataFrame:
+    """Seeds of the test items. Items of ``sizes`` words have seeds of their own too."""
 
     def seeds(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -69,22 +84,23 @@ def item_seeds(items: DataFrame, masks: tuple[str, ...]) -> DataFrame:
                 for mask in masks:
                     place, seed = seed_hashes(words, row, mask)
                     yield _seed_rows(ids, first + row[place], seed, place - begin[row[place]], 0)
-                for size in range(MIN_ITEM_WORDS, shortest):
-                    place, seed = seed_hashes(words, row, "1" * size)
-                    short = counts[row[place]] == size
-                    place, seed = place[short], seed[short]
-                    yield _seed_rows(ids, first + row[place], seed, place * 0, size)
+                for size in sizes:
+                    for at, mask in short_masks(size, replaced):
+                        place, seed = seed_hashes(words, row, mask)
+                        within = place - begin[row[place]]
+                        short = (counts[row[place]] == size) & (within == at)
+                        yield _seed_rows(ids, first + row[place[short]], seed[short], within[short], size)
 
     return items.mapInArrow(seeds, SEEDS)
 
 
-def _seed_rows(ids: pa.Array, rows: np.ndarray, seed: np.ndarray, place: np.ndarray, solid: int) -> pa.RecordBatch:
+def _seed_rows(ids: pa.Array, rows: np.ndarray, seed: np.ndarray, place: np.ndarray, size: int) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays(
         [
             ids.take(pa.array(rows)), pa.array(seed.view(np.int64)), pa.array(place.astype(np.int32)),
-            pa.array(np.full(len(rows), solid, dtype=np.int32)),
+            pa.array(np.full(len(rows), size, dtype=np.int32)),
         ],
-        ["id", "seed", "place", "solid"],
+        ["id", "seed", "place", "size"],
     )
 
 
@@ -144,6 +160,7 @@ def best_overlap(same: np.ndarray, at: int, share: float) -> tuple[int, int]:
 def overlaps(
     docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id",
     item_text_col: str = "text", masks: tuple[str, ...] = MASKS, min_words: int = MIN_WORDS, min_share: float = MIN_SHARE,
+    replaced_in_short: bool = False,
 ) -> DataFrame:
     """(doc_id, item_id, doc_word, item_word, n_words, n_same): overlaps of documents with test items.
 
@@ -151,7 +168,9 @@ def overlaps(
     word ``doc_word`` of the document and ``item_word`` of the item: at least ``min_words`` words
     (or all of a shorter item) of which ``min_share`` agree in place. Items of under five words,
     null and empty texts give nothing; neither do rows whose id is null, as nothing could be named.
-    Repeated rows give repeated overlaps once. Other columns are not read.
+    Repeated rows give repeated overlaps once. Other columns are not read. With
+    ``replaced_in_short``, as in the query and the pipeline, items under ``min_words`` words are found with
+    replaced words too; without it those under the shortest mask are found whole only.
     """
     source = docs.select(
         F.col(id_col).cast("long").alias("row"),
@@ -159,9 +178,12 @@ def overlaps(
         F.col(text_col).cast("string").alias("text"),
     ).filter("row is not null")
     tests = items.select(F.col(item_col).cast("long").alias("id"), F.col(item_text_col).cast("string").alias("text")).filter("id is not null")
-    seeds = cut_lineage(item_seeds(tests, masks))
-    solid = sorted(r.solid for r in seeds.filter("solid > 0").select("solid").distinct().collect())
-    found = document_seeds(source, (*masks, *("1" * n for n in solid)), seed_filter(seeds))
+    sizes = range(MIN_ITEM_WORDS, min_words if replaced_in_short else min(map(len, masks)))
+    seeds = cut_lineage(item_seeds(tests, masks, sizes, replaced_in_short))
+    short = sorted(r.size for r in seeds.filter("size > 0").select("size").distinct().collect())
+    # A mask that two sizes share is hashed once.
+    used = dict.fromkeys([*masks, *(mask for n in short for _, mask in short_masks(n, replaced_in_short))])
+    found = document_seeds(source, tuple(used), seed_filter(seeds))
     hits = (
         found.join(seeds.select("id", "seed", F.col("place").alias("item_place")), "seed")
         .groupBy("row", "tie", "id", (F.col("place") - F.col("item_place")).alias("diagonal"))
