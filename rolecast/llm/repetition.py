@@ -129,9 +129,9 @@ def chunk_rules(data: np.ndarray, offsets: np.ndarray, max_repeat_share: float,
     n_dup = lines - np.bincount(line_doc[used][first], minlength=docs)
     word_chars = letters[offsets[1:]] - letters[offsets[:-1]]
     failed = (n_words < min_words) | (100 * n_repeat > 30 * n_words)
-    # A repeat is too long only where it also makes up a good part of its text.
     drowned = repeat_chars > max_repeat_share * word_chars
-    endless = (longest > max_repeat_words) & (2 * longest > max_repeat_share * n_words)
+    # Whatever the text's length: two copies apart that make up much of a text fail by what they cover.
+    endless = longest > max_repeat_words
     return {
         "n_words": n_words,
         "word_chars": word_chars,
@@ -153,7 +153,7 @@ def repetition_rules(
 
     Rejected: under ``min_words`` words; over 30 of 100 words within repeats of eight words or
     more; over ``max_repeat_share`` of the word characters within such repeats; or one repeat of
-    over ``max_repeat_words`` words that takes up half of that share.
+    over ``max_repeat_words`` words, however long the text.
     A null or empty text has no words and is rejected. A null id is passed on; repeated rows
     are judged each on its own. ``carry`` names input columns that are passed on, in a struct
     ``carried`` of fields c0, c1, ...; others are not read, whatever their names.

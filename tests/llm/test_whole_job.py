@@ -4,6 +4,7 @@ import random
 from itertools import combinations
 
 from rolecast.llm import contamination
+from rolecast.llm.repetition import repetition_rules
 
 # ------------------------------------------------------------------ 3
 
@@ -47,3 +48,18 @@ def test_contamination_by_agreement_alone(spark):
     got = contamination.overlaps(*frames, replaced_in_short=True).collect()
     assert {(r.doc_id, r.item_id, r.doc_word - r.item_word) for r in got} == wanted
     assert len({d for d, _, _ in wanted}) > 60
+
+
+# ------------------------------------------------------------------ 8
+
+
+def test_a_long_repeat_alone_rejects(spark):
+    def twice(size, block):
+        words = [f"w{k}" for k in range(size - block)]
+        return " ".join([*words, *words[:block]])
+
+    docs = [(1, twice(7000, 1000)), (2, twice(20_000, 101)), (3, twice(20_000, 100)), (4, twice(20_000, 0))]
+    got = {r.doc_id: r for r in repetition_rules(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    assert {k: r.longest_repeat for k, r in got.items()} == {1: 1000, 2: 101, 3: 100, 4: 0}
+    assert not any(r.base_failed or 10 * r.repeat_chars > 3 * r.word_chars for r in got.values())
+    assert {k: r.kept for k, r in got.items()} == {1: False, 2: False, 3: True, 4: True}
