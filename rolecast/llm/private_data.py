@@ -3,7 +3,7 @@
 The fixed kinds are seeds. The words around a seed form lexical patterns; patterns and the
 tokens they meet form a graph, which is scored in turns: a pattern by the share of known tokens
 it meets, a token by its best pattern. Patterns of high confidence then name tokens that no
-fixed kind describes. Only column functions are used.
+fixed kind describes, and these are seeds for further patterns. Only column functions are used.
 """
 
 from __future__ import annotations
@@ -117,26 +117,41 @@ def with_patterns(spans: DataFrame) -> DataFrame:
 
 
 def trusted_patterns(spans: DataFrame) -> DataFrame:
-    """(pattern) of high confidence, after some rounds of scoring patterns and values in turn."""
+    """(pattern) of high confidence. Patterns and values are scored in turn, for some rounds at a time.
+
+    The values of trusted patterns are seeds of the next rounds, until no further pattern is trusted.
+    """
     edges = cut_lineage(
         spans.select(F.explode("patterns").alias("pattern"), "value", (F.col("kind") != FOUND).cast("int").alias("seed"))
         .groupBy("pattern", "value")
         .agg(F.max("seed").alias("seed"))
     )
-    # A pattern without any seed can neither earn nor give a score.
-    seeded = edges.groupBy("pattern").agg(F.sum("seed").alias("seeds")).filter(F.col("seeds") >= MIN_SEEDS).select("pattern")
-    edges = cut_lineage(edges.join(seeded, "pattern"))
-    values = cut_lineage(edges.groupBy("value").agg(F.max("seed").cast("double").alias("score")))
-    patterns = None
-    for _ in range(ROUNDS):
-        scored = edges.join(values, "value").groupBy("pattern").agg(
-            (F.sum("score") / (F.count(F.lit(1)) + 1)).alias("confidence"), F.sum("seed").alias("seeds")
-        )
-        patterns = cut_lineage(scored)
-        values = cut_lineage(
-            edges.join(patterns, "pattern").groupBy("value").agg(F.max(F.greatest("confidence", F.col("seed").cast("double"))).alias("score"))
-        )
-    return patterns.filter((F.col("seeds") >= MIN_SEEDS) & (F.col("confidence") >= MIN_CONFIDENCE)).select("pattern")
+    # A pattern of fewer values can never have enough seeds, so it neither earns trust nor gives a score.
+    sizes = edges.groupBy("pattern").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= MIN_SEEDS)
+    edges = cut_lineage(edges.join(sizes, "pattern"))
+    base = edges.filter("seed = 1").select("value", F.lit(1).alias("known")).distinct()
+    known, count = cut_lineage(base), 0
+    while True:
+        values = known.withColumn("score", F.lit(1.0))
+        for _ in range(ROUNDS):
+            # Values without a score add nothing; ``n`` counts them.
+            patterns = cut_lineage(
+                edges.join(values, "value").groupBy("pattern", "n").agg(F.sum("score").alias("score"), F.sum("known").alias("seeds"))
+                .filter(F.col("seeds") >= MIN_SEEDS)
+                .select("pattern", (F.col("score") / (F.col("n") + 1)).alias("confidence"))
+            )
+            reached = edges.join(patterns, "pattern").groupBy("value").agg(F.max("confidence").alias("confidence"))
+            values = cut_lineage(
+                reached.join(known, "value", "full_outer")
+                .select("value", F.coalesce("known", F.lit(0)).alias("known"), F.when(F.col("known") == 1, 1.0).otherwise(F.col("confidence")).alias("score"))
+            )
+        trusted = cut_lineage(patterns.filter(F.col("confidence") >= MIN_CONFIDENCE).select("pattern"))
+        # Trust only grows with the seeds: as many patterns as before are the same ones.
+        before, count = count, trusted.count()
+        if count == before:
+            return trusted
+        found = edges.join(trusted, "pattern", "left_semi").select("value", F.lit(1).alias("known"))
+        known = cut_lineage(base.unionByName(found).distinct())
 
 
 def personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -3,7 +3,7 @@
 import random
 from itertools import combinations
 
-from rolecast.llm import contamination
+from rolecast.llm import contamination, private_data
 from rolecast.llm.repetition import repetition_rules
 
 # ------------------------------------------------------------------ 3
@@ -63,3 +63,23 @@ def test_a_long_repeat_alone_rejects(spark):
     assert {k: r.longest_repeat for k, r in got.items()} == {1: 1000, 2: 101, 3: 100, 4: 0}
     assert not any(r.base_failed or 10 * r.repeat_chars > 3 * r.word_chars for r in got.values())
     assert {k: r.kept for k, r in got.items()} == {1: False, 2: False, 3: True, 4: True}
+
+
+# ------------------------------------------------------------------ 2
+
+
+def test_identifiers_over_several_hops(spark):
+    member = [f"MBR-{n * 977:06d}" for n in range(1, 7)]
+    desk = [f"MBR-{n * 613 + 500_000:06d}" for n in range(6)]
+    docs = [(n, f"foo bar my member number x{n}@y.org thanks a lot") for n in range(8)]
+    docs += [(100 + n, f"foo bar my member number {v} thanks a lot") for n, v in enumerate(member)]
+    # No fixed kind ever stands in the two other forms; they meet the first one through found values only.
+    docs += [(200 + n, f"we took form sheet {v} from the desk") for n, v in enumerate([*member, *desk[:2]])]
+    docs += [(300 + n, f"seen under old entry {v} since last year") for n, v in enumerate([*member, *desk])]
+    docs += [(400 + n, f"the price was about {n * 7919 + 100_000} in all") for n in range(9)]
+    got = {r.doc_id: r for r in private_data.personal_data(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    for d, text in docs:
+        value = next((w for w in text.split() if w.startswith("MBR-")), None)
+        assert got[d].n_found == (value is not None), text
+        if value:
+            assert got[d].spans == f"id:{text.index(value)}:{text.index(value) + len(value)}"
