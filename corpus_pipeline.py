@@ -27,7 +27,7 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without lines that an earlier document has; ``n_chars`` follows the text."""
-    cut = dedup_lines(docs, carry=("lang", "source"))
+    cut = dedup_lines(docs, carry=("lang", "source"), short_copies=True)
     return cut.withColumn("n_chars", F.char_length("text").cast("long")).select(*COLUMNS)
 
 

@@ -54,7 +54,7 @@ def op3_contamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return dedup_lines(table(spark, sf_dir, "documents"))
+    return dedup_lines(table(spark, sf_dir, "documents"), short_copies=True)
 
 
 def op2_private_data(spark: SparkSession, sf_dir: str) -> DataFrame:

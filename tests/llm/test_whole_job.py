@@ -3,7 +3,7 @@
 import random
 from itertools import combinations
 
-from rolecast.llm import contamination, private_data
+from rolecast.llm import contamination, line_dedup, private_data
 from rolecast.llm.repetition import repetition_rules
 
 # ------------------------------------------------------------------ 3
@@ -83,3 +83,12 @@ def test_identifiers_over_several_hops(spark):
         assert got[d].n_found == (value is not None), text
         if value:
             assert got[d].spans == f"id:{text.index(value)}:{text.index(value) + len(value)}"
+
+
+# ------------------------------------------------------------------ 4
+
+
+def test_exact_copies_of_short_lines_go(spark):
+    docs = [(1, "Contents\nSee also\n---\n\nan own line of words"), (2, "contents!\nsee, also\n---\n\nsee alsos"), (3, "日本語の行\nSee\nSee"), (4, "日本語の行\nan own line of words")]
+    got = line_dedup.dedup_lines(spark.createDataFrame(docs, "doc_id long, text string"), short_copies=True).collect()
+    assert {r.doc_id: r.text for r in got} == {1: docs[0][1], 2: "---\n\nsee alsos", 3: "日本語の行\nSee", 4: ""}
