@@ -17,6 +17,9 @@ from rolecast.llm.contamination import overlaps
 from rolecast.llm.line_dedup import dedup_lines
 from rolecast.llm.private_data import personal_data
 from rolecast.llm.quality_sampling import importance_sample
+from rolecast.llm.target_resampling import resample
+from rolecast.llm.language import identify_languages
+from rolecast.llm.whitening import whiten
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -65,7 +68,19 @@ def op1_importance_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
     return importance_sample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), F.col("quality") == 1)
 
 
-LLM_QUERIES: dict[str, Query] = {f.__name__: f for f in [op8_repetition_rules, op9_near_duplicates, op5_url_rules, op10_page_texts, op6_packing, op7_repeated_passages, op3_contamination, op4_line_dedup, op2_private_data, op1_importance_sample]}
+def op11_target_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op12_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return identify_languages(table(spark, sf_dir, "documents"))
+
+
+def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whiten(table(spark, sf_dir, "embeddings"))
+
+
+LLM_QUERIES: dict[str, Query] = {f.__name__: f for f in [op8_repetition_rules, op9_near_duplicates, op5_url_rules, op10_page_texts, op6_packing, op7_repeated_passages, op3_contamination, op4_line_dedup, op2_private_data, op1_importance_sample, op11_target_resampling, op12_language, op13_whitening]}
 # Whole rules against whole parts; lower() is held to A-Z, as the query's is.
 OP5_SQL = r"""
 WITH rules(verdict, host, path) AS (

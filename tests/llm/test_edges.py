@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 import corpus_pipeline
 from rolecast.llm.chunk_dedup import repeated_passages
 from rolecast.llm.contamination import overlaps
+from rolecast.llm.language import identify_languages
 from rolecast.llm.line_dedup import dedup_lines
 from rolecast.llm.near_dup import first_documents, near_duplicates
 from rolecast.llm.packing import pack
@@ -13,6 +14,7 @@ from rolecast.llm.page_text import page_texts
 from rolecast.llm.private_data import personal_data
 from rolecast.llm.quality_sampling import importance_sample
 from rolecast.llm.repetition import repetition_rules
+from rolecast.llm.target_resampling import resample
 from rolecast.llm.url_rules import RULES, rule_table, url_verdicts
 
 LONG = " ".join(f"w{n}" for n in range(20_000))
@@ -43,6 +45,8 @@ OPERATORS = {
     "op7": (lambda s, d: repeated_passages(d), 0),
     "op8": (lambda s, d: repetition_rules(d, carry=("kept",)), 10),
     "op9": (lambda s, d: near_duplicates(d), 10),
+    "op11": (lambda s, d: resample(d, benchmark(s)), 10),
+    "op12": (lambda s, d: identify_languages(d.withColumn("lang", F.when(F.col("doc_id") < 4, "en").when(F.col("doc_id") < 6, "de"))), 10),
     "first_documents": (lambda s, d: first_documents(d), 6),
 }
 
