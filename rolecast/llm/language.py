@@ -24,9 +24,9 @@ from rolecast.session import cut_lineage
 BUCKETS = 1 << 15
 WIDTHS = (1, 2, 3)
 #: Documents per language from which the weights are trained at most: those with the smallest hash.
-MAX_PER_LANGUAGE = 4_000
+MAX_PER_LANGUAGE = 2_000
 #: Documents per language for the temperature at most.
-MAX_CALIBRATION = 1_000
+MAX_CALIBRATION = 500
 #: Learning rate, its offset, and the penalties on the sum of weights and of their squares.
 ALPHA, BETA, L1, L2 = 2.0, 1.0, 0.02, 0.02
 SHARDS, ROUNDS = 8, 6
@@ -169,19 +169,14 @@ def inverse_frequencies(texts: DataFrame) -> np.ndarray:
     return np.log((1 + seen[BUCKETS]) / (1 + seen[:BUCKETS])) + 1
 
 
-def flat(lists: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
-    """(all values, borders between rows) of lists without nulls."""
-    whole = lists.combine_chunks() if isinstance(lists, pa.ChunkedArray) else lists
-    lengths = pc.list_value_length(whole).to_numpy(zero_copy_only=False)
-    return whole.flatten().to_numpy(), np.concatenate(([0], np.cumsum(lengths))).astype(np.int64)
-
-
 def training_sample(labelled: DataFrame, idf: np.ndarray, languages: list[str], per_language: dict[str, int]) -> DataFrame:
-    """(role, shard, hash, label, buckets, values): at most about MAX_PER_LANGUAGE distinct documents a language.
+    """(role, shard, label, cut, bucket, value): one row of arrays per shard, of at most about MAX_PER_LANGUAGE documents a language.
 
-    A document takes part by its own hash alone, so the draw needs no sort, and a large language none.
+    A document takes part by its own hash alone, so the draw needs no sort, and of equal rows one is
+    taken. A shard is as large as its share of the bounded sample; being one row, it stays whole
+    however files are split, and no round has to deal the sample out again.
     """
-    hashed = labelled.withColumn("hash", F.xxhash64("doc_id", "text"))
+    hashed = labelled.withColumn("hash", F.xxhash64("doc_id", "text", "lang"))
     role = F.when(F.pmod(F.xxhash64("hash"), F.lit(CALIBRATION_FOLDS)) == 0, "calibrate").otherwise("train")
     # Uniform in 0 to 1.
     draw = F.shiftrightunsigned(F.xxhash64(F.lit("draw"), "hash"), 11) / F.lit(float(1 << 53))
@@ -190,24 +185,50 @@ def training_sample(labelled: DataFrame, idf: np.ndarray, languages: list[str],
         share = min(1.0, MAX_PER_LANGUAGE / max(per_language[name] * (1 - 1 / CALIBRATION_FOLDS), 1))
         checked = min(1.0, MAX_CALIBRATION * CALIBRATION_FOLDS / max(per_language[name], 1))
         enough = F.when(F.col("lang") == name, draw < F.when(F.col("role") == "train", F.lit(share)).otherwise(F.lit(checked))).otherwise(enough)
-    drawn = hashed.withColumn("role", role).filter(enough).dropDuplicates(["hash", "lang"]).select("role", "hash", "lang", "text")
+    shard = F.pmod(F.xxhash64("hash", F.lit("shard")), F.lit(SHARDS)).cast("int")
+    drawn = hashed.withColumn("role", role).filter(enough).select("role", shard.alias("shard"), "hash", "lang", "text")
     place = {name: k for k, name in enumerate(languages)}
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen = set()
         for batch in batches:
+            hashes = batch.column(2).to_pylist()
+            rows = [k for k, h in enumerate(hashes) if not (h in seen or seen.add(h))]
             buckets, values = [], []
-            for text in batch.column(3):
-                b, c = gram_counts(text.as_py())
-                buckets.append(b)
-                values.append(tfidf(b, c, idf))
-            labels = [place[x.as_py()] for x in batch.column(2)]
+            for k in rows:
+                b, c = gram_counts(batch.column(4)[k].as_py())
+                buckets.append(b.astype(np.int32))
+                values.append(tfidf(b, c, idf).astype(np.float32))
+            labels = [place[batch.column(3)[k].as_py()] for k in rows]
+            kept = pa.array(rows, pa.int64())
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), pa.array(labels, pa.int32()), pa.array(buckets, pa.list_(pa.int64())), pa.array(values, pa.list_(pa.float64()))],
-                ["role", "hash", "label", "buckets", "values"],
+                [*(batch.column(c).take(kept) for c in range(3)), pa.array(labels, pa.int32()), pa.array(buckets, pa.list_(pa.int32())), pa.array(values, pa.list_(pa.float32()))],
+                ["role", "shard", "hash", "label", "bucket", "value"],
             )
 
-    made = drawn.mapInArrow(features, "role string, hash long, label int, buckets array<long>, values array<double>")
-    return cut_lineage(made.filter(F.size("buckets") > 0).withColumn("shard", F.pmod(F.xxhash64("hash", F.lit("shard")), F.lit(SHARDS)).cast("int")))
+    def pack(rows: pa.Table) -> pa.Table:
+        _, first = np.unique(rows.column("hash").to_numpy(), return_index=True)
+        rows = rows.take(pa.array(first))
+        bucket, value = (rows.column(c).combine_chunks() for c in ("bucket", "value"))
+        cut = np.concatenate(([0], np.cumsum(pc.list_value_length(bucket).to_numpy(zero_copy_only=False))))
+        row = {"role": rows.column("role")[0].as_py(), "shard": rows.column("shard")[0].as_py(), "label": rows.column("label").to_numpy(),
+               "cut": cut, "bucket": bucket.flatten().to_numpy(), "value": value.flatten().to_numpy()}
+        return pa.table({name: [x] for name, x in row.items()}, pa.schema(
+            [("role", pa.string()), ("shard", pa.int32()), ("label", pa.list_(pa.int32())), ("cut", pa.list_(pa.int64())),
+             ("bucket", pa.list_(pa.int32())), ("value", pa.list_(pa.float32()))]))
+
+    made = drawn.mapInArrow(features, "role string, shard int, hash long, label int, bucket array<int>, value array<float>")
+    packed = made.filter(F.size("bucket") > 0).groupBy("role", "shard").applyInArrow(
+        pack, "role string, shard int, label array<int>, cut array<long>, bucket array<int>, value array<float>"
+    )
+    return cut_lineage(packed)
+
+
+def _documents(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, list[np.ndarray], list[np.ndarray]]]:
+    """(labels, buckets of each document, its values) of every shard in (label, cut, bucket, value) rows."""
+    for k in range(batch.num_rows):
+        labels, cut, bucket, value = (batch.column(c)[k].values.to_numpy(zero_copy_only=False) for c in range(4))
+        yield labels, np.split(bucket.astype(np.int64), cut[1:-1]), np.split(value.astype(np.float64), cut[1:-1])
 
 
 def train(sample: DataFrame, classes: int, rounds: int = ROUNDS) -> np.ndarray:
@@ -215,27 +236,29 @@ def train(sample: DataFrame, classes: int, rounds: int = ROUNDS) -> np.ndarray:
     context = sample.sparkSession.sparkContext
     z = np.zeros((BUCKETS + 1, classes))
     n = np.zeros((BUCKETS + 1, classes))
-    rows = sample.filter("role = 'train'").select("shard", "hash", "label", "buckets", "values")
-    total = rows.count()
+    shards = sample.filter("role = 'train'").select("label", "cut", "bucket", "value")
+    total = shards.agg(F.sum(F.size("label")).alias("n")).first().n
     if not total:
         return z
     for number in range(rounds):
         state = context.broadcast((z, n))
 
-        def shard_steps(table: pa.Table) -> pa.Table:
-            # Each round has an order of its own, the same wherever it runs.
-            order = np.argsort(table.column("hash").to_numpy() * np.int64(2 * number + 1), kind="stable")
+        def shard_steps(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             z0, n0 = state.value
-            zs, ns = z0.copy(), n0.copy()
-            labels, (buckets, at), (values, _) = table.column("label").to_numpy(), flat(table.column("buckets")), flat(table.column("values"))
-            for k in order:
-                follow(zs, ns, buckets[at[k] : at[k + 1]], values[at[k] : at[k + 1]], int(labels[k]))
-            share = table.num_rows / total
-            dz, dn = np.rint((zs - z0) * share * _UNIT).ravel(), np.rint((ns - n0) * share * _UNIT).ravel()
-            moved = np.flatnonzero((dz != 0) | (dn != 0))
-            return pa.table({"key": moved, "z": dz[moved].astype(np.int64), "n": dn[moved].astype(np.int64)})
-
-        steps = rows.groupBy("shard").applyInArrow(shard_steps, "key long, z long, n long")
+            for batch in batches:
+                for labels, buckets, values in _documents(batch):
+                    zs, ns = z0.copy(), n0.copy()
+                    # Each round has an order of its own, the same wherever it runs.
+                    for k in np.random.default_rng(number).permutation(len(labels)):
+                        follow(zs, ns, buckets[k], values[k], int(labels[k]))
+                    share = len(labels) / total
+                    dz, dn = np.rint((zs - z0) * share * _UNIT).ravel(), np.rint((ns - n0) * share * _UNIT).ravel()
+                    moved = np.flatnonzero((dz != 0) | (dn != 0))
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(moved), pa.array(dz[moved].astype(np.int64)), pa.array(dn[moved].astype(np.int64))], ["key", "z", "n"]
+                    )
+
+        steps = shards.mapInArrow(shard_steps, "key long, z long, n long")
         moved = steps.groupBy("key").agg(F.sum("z").alias("z"), F.sum("n").alias("n")).toPandas()
         z, n = z.copy(), n.copy()
         at = moved["key"].to_numpy(dtype=np.int64)
@@ -251,16 +274,14 @@ def calibrate(sample: DataFrame, model: LanguageModel) -> float:
     def losses(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(len(_TEMPERATURES))
         for batch in batches:
-            buckets, at = flat(batch.column(1))
-            values, _ = flat(batch.column(2))
-            for k, label in enumerate(batch.column(0).to_numpy()):
-                logits = model.logits(buckets[at[k] : at[k + 1]], values[at[k] : at[k + 1]])
-                scaled = logits[None, :] / _TEMPERATURES[:, None]
-                top = scaled.max(axis=1, keepdims=True)
-                total += top[:, 0] + np.log(np.exp(scaled - top).sum(axis=1)) - scaled[:, label]
+            for labels, buckets, values in _documents(batch):
+                for label, b, v in zip(labels, buckets, values):
+                    scaled = model.logits(b, v)[None, :] / _TEMPERATURES[:, None]
+                    top = scaled.max(axis=1, keepdims=True)
+                    total += top[:, 0] + np.log(np.exp(scaled - top).sum(axis=1)) - scaled[:, label]
         yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(total))), pa.array(np.rint(total * _UNIT / (1 << 20)).astype(np.int64))], ["k", "loss"])
 
-    rows = sample.filter("role = 'calibrate'").select("label", "buckets", "values")
+    rows = sample.filter("role = 'calibrate'").select("label", "cut", "bucket", "value")
     found = rows.mapInArrow(losses, "k long, loss long").groupBy("k").agg(F.sum("loss").alias("loss")).collect()
     if not any(r.loss for r in found):
         return 1.0
