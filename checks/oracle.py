@@ -428,15 +428,6 @@ add("discrimination_report", REQ, """, one AS (SELECT job_id, unnest(flags).cate
 add("skill_demand", REQ, f""", one AS (SELECT unnest(required) AS skill, 1 AS r, 0 AS w FROM req UNION ALL SELECT unnest(preferred), 0, 1 FROM req)
   SELECT skill, CAST(sum(r) AS BIGINT) AS required_in, CAST(sum(w) AS BIGINT) AS preferred_in, {_CAT_MAP}[skill] AS category FROM one GROUP BY 1""")
 
-_CODES = f"""list_concat(CASE WHEN clean <> raw0.description THEN ['CONTENT_SANITIZED:description'] ELSE [] END,
-  CASE WHEN raw0.doc_id % 4 IN (1, 2) THEN ['URL_NOT_OFFICIAL:'] ELSE [] END,
-  list_transform(typed.unparsed, lambda f: 'FIELD_UNPARSED:' || f),
-  list_transform(req.flags, lambda f: 'POTENTIALLY_DISCRIMINATORY_REQUIREMENT:'), ['UNTRUSTED_CONTENT:'])"""
-add("attach_warnings", [t.RAW_SQL.replace("raw AS", "raw0 AS", 1), clean_sql("raw0", "description", "doc_id, job_id").replace("s0 AS", "z0 AS", 1).replace("FROM s0)", "FROM z0)"),
-    "raw AS (SELECT raw0.* REPLACE (clean AS description) FROM raw0 JOIN tidy USING (doc_id) WHERE length(raw0.description) <= 50000)",
-    TYPED_SQL, REQ_SQL, f"coded AS (SELECT raw0.job_id, {_CODES} AS codes FROM raw0 JOIN tidy USING (doc_id) JOIN typed ON typed.doc_id = raw0.doc_id JOIN req ON req.job_id = raw0.job_id)"],
-    "SELECT job_id, least(len(codes), 50) AS flag_count, array_to_string(codes[1:50], '|') AS codes FROM coded")
-
 # ---------------------------------------------------------------- duplicates
 
 COMPANY = "trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(lower(coalesce(company, '')), '[^a-z0-9_\\s]', ' ', 'g'), '\\b(?:private\\s+limited|pvt\\s+ltd|pvt|private|limited|ltd|incorporated|inc|llc|corporation|corp)\\b', ' ', 'g'), '[^a-z0-9\\s]', ' ', 'g'), '\\s+', ' ', 'g'))"
@@ -478,16 +469,26 @@ GROUPS = CLASSES + ["""edge AS (SELECT a, b FROM near UNION SELECT b, a FROM nea
 add("duplicate_groups", GROUPS, "SELECT group_id, job_id, group_size FROM gm JOIN gs USING (label)")
 add("group_evidence", GROUPS, """, reason AS (SELECT min(job_id) AS job_id, 'Identical fingerprint: ' || fp AS evidence FROM cp GROUP BY fp HAVING count(*) > 1
   UNION ALL SELECT job_id_a, evidence FROM ev) SELECT DISTINCT group_id, evidence FROM reason JOIN gm USING (job_id) JOIN gs USING (label)""")
-BATCH = COPIES + ["""old AS (SELECT * FROM cp), w1 AS (SELECT job_id, co, unnest(sh) AS s FROM cp), w2 AS (
-  SELECT job_id, co, unnest(sh) AS s FROM old), m0 AS (SELECT w1.job_id AS a, w2.job_id AS b, count(*) AS shared FROM w1 JOIN w2 USING (co, s) GROUP BY 1, 2), m1 AS (
-  SELECT a, b, x.co, len(list_intersect(x.tt, y.tt))::DOUBLE / (len(x.tt) + len(y.tt) - len(list_intersect(x.tt, y.tt))) AS ts,
-    shared::DOUBLE / (len(x.sh) + len(y.sh) - shared) AS ds FROM m0 JOIN cp x ON x.job_id = a JOIN old y ON y.job_id = b WHERE x.fp <> y.fp), dup AS (
-  SELECT a AS job_id, b AS existing_job_id, 'Heuristic match: company ''' || co || ''', title similarity ' || format('{:.2f}', ts) || ', description similarity ' || format('{:.2f}', ds) AS reason
-    FROM m1 WHERE ts >= 0.8 AND ds >= 0.85
-  UNION ALL SELECT cp.job_id, old.job_id, 'Identical fingerprint: ' || cp.fp FROM cp JOIN old ON cp.fp = old.fp)"""]
+# Ids rise with the time of arrival. Who was seen before: a fingerprint, else a class, else similar classes.
+SEEN = """pf1 AS (SELECT fp, min(job_id) AS first FROM cp GROUP BY 1), dup AS (
+  SELECT job_id, first AS existing_job_id, 'Identical fingerprint: ' || fp AS reason FROM cp JOIN pf1 USING (fp) WHERE job_id <> first
+  UNION ALL SELECT mem.job_id, rep, 'Heuristic match: company ''' || co || ''', title similarity 1.00, description similarity 1.00'
+    FROM mem JOIN pf1 USING (fp) WHERE mem.job_id <> rep AND mem.job_id = first AND co <> ''
+  UNION ALL SELECT b, a, 'Heuristic match: company ''' || co || ''', title similarity ' || format('{:.2f}', ts) || ', description similarity ' || format('{:.2f}', ds) FROM near WHERE co <> '')"""
+BATCH = CLASSES + [SEEN]
 add("check_batch_duplicates", BATCH, "SELECT job_id, existing_job_id, reason FROM dup")
-add("duplicate_warnings", BATCH, """SELECT dup.job_id, 'Job appears to be a duplicate of existing job(s): ' || string_agg(existing_job_id, ', ' ORDER BY old.ingested_at DESC, existing_job_id DESC) AS message
-  FROM dup JOIN old ON old.job_id = existing_job_id GROUP BY 1""")
+add("duplicate_warnings", BATCH, """SELECT dup.job_id, 'Job appears to be a duplicate of existing job(s): ' || string_agg(existing_job_id, ', ' ORDER BY existing_job_id DESC) AS message
+  FROM dup GROUP BY 1""")
+
+_CODES = f"""list_concat(CASE WHEN clean <> raw0.description THEN ['CONTENT_SANITIZED:description'] ELSE [] END,
+  CASE WHEN raw0.doc_id % 4 IN (1, 2) THEN ['URL_NOT_OFFICIAL:'] ELSE [] END,
+  list_transform(typed.unparsed, lambda f: 'FIELD_UNPARSED:' || f),
+  list_transform(req.flags, lambda f: 'POTENTIALLY_DISCRIMINATORY_REQUIREMENT:'),
+  CASE WHEN raw0.job_id IN (SELECT job_id FROM dup) THEN ['DUPLICATE_SUSPECTED:'] ELSE [] END, ['UNTRUSTED_CONTENT:'])"""
+add("attach_warnings", [t.RAW_SQL.replace("raw AS", "raw0 AS", 1), clean_sql("raw0", "description", "doc_id, job_id").replace("s0 AS", "z0 AS", 1).replace("FROM s0)", "FROM z0)"),
+    "raw AS (SELECT raw0.* REPLACE (clean AS description) FROM raw0 JOIN tidy USING (doc_id) WHERE length(raw0.description) <= 50000)",
+    TYPED_SQL, REQ_SQL, *CLASSES[1:], SEEN, f"coded AS (SELECT raw0.job_id, {_CODES} AS codes FROM raw0 JOIN tidy USING (doc_id) JOIN typed ON typed.doc_id = raw0.doc_id JOIN req ON req.job_id = raw0.job_id)"],
+    "SELECT job_id, len(codes) AS flag_count, array_to_string(codes, '|') AS codes FROM coded")
 
 # ---------------------------------------------------------------- matching
 
@@ -723,11 +724,13 @@ add("outcome_report", AUDIT, "SELECT tool, outcome, error_code, count(*) AS call
 
 # ---------------------------------------------------------------- streaming
 
-add("stream_ingest", [t.PAGE_SQL], f"SELECT job_id, {VERDICT} AS verdict, CASE WHEN ({VERDICT}) = 'OK' THEN source_url END AS source_url FROM raw")
+# Every page comes again under another id; pages of the same text meet in the first round already.
+add("stream_ingest", [t.PAGE_SQL, f"""judged AS (SELECT *, {VERDICT} AS verdict FROM raw), told AS (SELECT job_id, verdict, CASE WHEN verdict = 'OK' THEN source_url END AS source_url,
+  CASE WHEN verdict = 'OK' THEN job_id <> min(job_id) OVER (PARTITION BY verdict, title, description, location) END AS marked FROM judged)"""],
+    """SELECT job_id, verdict, source_url, marked FROM told
+  UNION ALL SELECT 'job_f' || substr(job_id, 6), verdict, source_url, CASE WHEN verdict = 'OK' THEN true END FROM told""")
 add("stream_exact_dedupe", COPIES, "SELECT DISTINCT fp AS fingerprint FROM cp")
-add("stream_near_dedupe", CLASSES + BATCH[len(COPIES):], """SELECT 'stored' AS scope, job_id, existing_job_id, reason FROM dup
-  UNION ALL SELECT 'batch', job_id_b, job_id_a, evidence FROM ev
-  UNION ALL SELECT 'batch', cp.job_id, f.first, 'Identical fingerprint: ' || cp.fp FROM cp JOIN (SELECT fp, min(job_id) AS first FROM cp GROUP BY 1) f ON f.fp = cp.fp WHERE cp.job_id <> f.first""")
+add("stream_near_dedupe", BATCH, "SELECT job_id, existing_job_id, reason FROM dup")
 
 # A CTE list that continues in the select starts with a comma there.
 for _key, _sql in ORACLE.items():

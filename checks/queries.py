@@ -12,7 +12,7 @@ from rolecast.functions import parsing, similarity, text, urls
 from rolecast.functions.injection import injection_signals
 from rolecast.functions.sections import with_section_items
 from rolecast.functions.skills import Taxonomy, match_skills
-from rolecast.operators import duplicates, governance, ingest, matching, preparation, requirements, store
+from rolecast.operators import duplicates, governance, ingest, matching, preparation, requirements, similarity_index, store
 from rolecast.operators.postings import normalize_postings
 from rolecast.operators.shortlist import match_reasons, shortlist
 from rolecast.plans.ingest_flow import ingest_postings
@@ -433,16 +433,24 @@ def q_group_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return duplicates.group_evidence(src, duplicates.duplicate_groups(src))
 
 
+def _halves(src: DataFrame) -> list[DataFrame]:
+    """All rows as two batches: those of the earlier and of the later half of the time covered."""
+    ends = src.agg(F.min("ingested_at").alias("first"), F.max("ingested_at").alias("last")).first()
+    middle = F.lit(ends.first + (ends.last - ends.first) / 2)
+    return [src.filter(F.col("ingested_at") < middle), src.filter(F.col("ingested_at") >= middle)]
+
+
 def q_check_batch_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All postings against the 500 latest ones (a posting always finds itself there)."""
-    src = copies(spark, sf_dir)
-    return duplicates.check_batch_duplicates(src, src)
+    """All postings in two batches, against a kept index and within each batch."""
+    path = work_dir(spark, "index")
+    first, second = [similarity_index.check_and_extend(batch, path, seq) for seq, batch in enumerate(_halves(copies(spark, sf_dir)))]
+    return first.unionByName(second)
 
 
 def q_duplicate_warnings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    src = copies(spark, sf_dir)
-    found = duplicates.check_batch_duplicates(src, src)
-    return duplicates.duplicate_warnings(found, src).select("job_id", "warning.message")
+    first, second = _halves(copies(spark, sf_dir))
+    found = similarity_index.check_batch_duplicates(first).unionByName(similarity_index.check_batch_duplicates(second, first))
+    return similarity_index.duplicate_warnings(found, copies(spark, sf_dir)).select("job_id", "warning.message")
 
 
 # ---------------------------------------------------------------- matching
@@ -693,12 +701,25 @@ def _stream(spark: SparkSession, sf_dir: str, build: Callable[[SparkSession, str
     return spark.readStream.schema(spark.read.parquet(path).schema).parquet(path)
 
 
+def _two_runs(spark: SparkSession, batches: list[DataFrame], name: str, start: Callable[[DataFrame], None]) -> None:
+    """The batches arrive one after the other; the stream is started for each and goes on from its checkpoint."""
+    path = work_dir(spark, name)
+    for batch in batches:
+        batch.write.mode("append").parquet(path)
+        start(spark.readStream.schema(batch.schema).parquet(path))
+
+
 def q_stream_ingest(spark: SparkSession, sf_dir: str) -> DataFrame:
-    source = _stream(spark, sf_dir, t.page_postings, "arriving")
-    path = work_dir(spark, "streamed")
-    flows.stream_ingest(source, taxonomy(), path, work_dir(spark, "progress")).awaitTermination()
-    good = flows.latest_postings(spark, path).select("job_id", F.lit("OK").alias("verdict"), F.col("source_url"))
-    bad = spark.read.parquet(f"{path}/rejects").select("job_id", F.col("reject_code").alias("verdict"), F.lit(None).cast("string").alias("source_url"))
+    """Every page twice: first as it is, then again under another id."""
+    arriving = t.page_postings(spark, sf_dir)
+    again = arriving.withColumn("job_id", F.regexp_replace("job_id", "^job_0", "job_f"))
+    path, progress = work_dir(spark, "streamed"), work_dir(spark, "progress")
+    _two_runs(spark, [arriving, again], "arriving", lambda stream: flows.stream_ingest(stream, taxonomy(), path, progress).awaitTermination())
+    marked = F.exists("flags", lambda w: w.code == "DUPLICATE_SUSPECTED")
+    good = flows.latest_postings(spark, path).select("job_id", F.lit("OK").alias("verdict"), "source_url", marked.alias("marked"))
+    bad = spark.read.parquet(f"{path}/rejects").select(
+        "job_id", F.col("reject_code").alias("verdict"), F.lit(None).cast("string").alias("source_url"), F.lit(None).cast("boolean").alias("marked")
+    )
     return good.unionByName(bad)
 
 
@@ -712,11 +733,10 @@ def q_stream_exact_dedupe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def q_stream_near_dedupe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    stream = _stream(spark, sf_dir, copies, "arriving-copies")
-    path = work_dir(spark, "found-copies")
-    flows.stream_near_dedupe(stream, lambda: copies(spark, sf_dir), path, work_dir(spark, "progress")).awaitTermination()
-    found = spark.read.parquet(path)
-    return found.select("scope", "job_id", "existing_job_id", "reason")
+    path, progress = work_dir(spark, "found-copies"), work_dir(spark, "progress")
+    batches = _halves(copies(spark, sf_dir))
+    _two_runs(spark, batches, "arriving-copies", lambda stream: flows.stream_near_dedupe(stream, path, progress).awaitTermination())
+    return spark.read.parquet(f"{path}/found").select("job_id", "existing_job_id", "reason")
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -11,13 +11,13 @@ cost one comparison per member, however large they are.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from decimal import Decimal
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rolecast.functions.similarity import normalize_company, shingles, title_tokens
-from rolecast.operators.store import recent
 from rolecast.plans.candidates import prefix_buckets
 from rolecast.plans.components import connected_components
 from rolecast.plans.skew import bucket_pairs, salted_join
@@ -47,14 +47,15 @@ def near_evidence(company: Column, title: Column, description: Column) -> Column
     )
 
 
-def prepare_postings(src: DataFrame, max_chars: int | None = None) -> DataFrame:
-    """Comparison keys of each posting, computed once: company, token set, shingle set, class."""
+def prepare_postings(src: DataFrame, max_chars: int | None = None, carry: Sequence[Column] = ()) -> DataFrame:
+    """Comparison keys of each posting, computed once: company, token set, shingle set, class; ``carry`` goes along."""
     keyed = src.select(
         "job_id",
         "fingerprint",
         normalize_company(F.col("company")).alias("company"),
         F.array_sort(title_tokens(F.col("title"))).alias("title_set"),
         F.array_sort(shingles(F.col("description"), max_chars)).alias("shingle_set"),
+        *carry,
     )
     content = F.sha2(
         F.concat_ws("\u0001", "company", F.array_join("title_set", " "), F.array_join("shingle_set", "\u0002")), 256
@@ -102,7 +103,7 @@ def _buckets(classes: DataFrame) -> DataFrame:
     return by_text.withColumn("kind", F.lit("text")).unionByName(by_title.withColumn("kind", F.lit("title")))
 
 
-def _verify(pairs: DataFrame, classes: DataFrame) -> DataFrame:
+def verified_pairs(pairs: DataFrame, classes: DataFrame) -> DataFrame:
     """Keep the pairs (class_key_a, class_key_b) that reach both thresholds, with counts."""
 
     def shared(column: str) -> Column:
@@ -136,9 +137,9 @@ def _verify(pairs: DataFrame, classes: DataFrame) -> DataFrame:
     return counted(texts.filter(close), "shingle_set").filter(reaches("shingle_set", DESCRIPTION_THRESHOLD))
 
 
-def _similar_classes(classes: DataFrame) -> DataFrame:
+def similar_classes(classes: DataFrame) -> DataFrame:
     pairs = bucket_pairs(_buckets(classes), ["company", "kind", "bucket"], "class_key")
-    return _verify(pairs.select("class_key_a", "class_key_b").distinct(), classes)
+    return verified_pairs(pairs.select("class_key_a", "class_key_b").distinct(), classes)
 
 
 def near_duplicate_pairs(src: DataFrame, max_chars: int | None = None) -> DataFrame:
@@ -154,7 +155,7 @@ def near_duplicate_pairs(src: DataFrame, max_chars: int | None = None) -> DataFr
     a = names.toDF("class_key_a", "job_id_1", "company", "min_fp_a", "max_fp_a")
     b = names.drop("company").toDF("class_key_b", "job_id_2", "min_fp_b", "max_fp_b")
     across = (
-        _similar_classes(classes)
+        similar_classes(classes)
         .join(a, "class_key_a")
         .join(b, "class_key_b")
         .filter("NOT (min_fp_a = max_fp_a AND min_fp_b = max_fp_b AND min_fp_a = min_fp_b)")
@@ -204,7 +205,7 @@ def _leader_edges(buckets: DataFrame, labels: DataFrame | None, round_no: int, c
             "label <> leader_label"
         )
     pairs = met.select("class_key_a", F.col("class_key").alias("class_key_b")).filter("class_key_a <> class_key_b")
-    return _verify(pairs.distinct(), classes).select(F.col("class_key_a").alias("a"), F.col("class_key_b").alias("b"))
+    return verified_pairs(pairs.distinct(), classes).select(F.col("class_key_a").alias("a"), F.col("class_key_b").alias("b"))
 
 
 def _with_labels(buckets: DataFrame, labels: DataFrame) -> DataFrame:
@@ -232,7 +233,7 @@ def _near_edges(classes: DataFrame, base: DataFrame) -> DataFrame:
         edges = cut_lineage(edges.unionByName(_leader_edges(labelled, labelled, round_no, classes)))
     rest = _with_labels(buckets, connected_components(edges))
     pairs = bucket_pairs(rest, ["company", "kind", "bucket"], "class_key", ["label"]).filter("label_a <> label_b")
-    verified = _verify(pairs.select("class_key_a", "class_key_b").distinct(), classes)
+    verified = verified_pairs(pairs.select("class_key_a", "class_key_b").distinct(), classes)
     found = verified.select(F.col("class_key_a").alias("a"), F.col("class_key_b").alias("b"))
     # The components read the edges twice; the comparison behind them should run once.
     return cut_lineage(edges.unionByName(found))
@@ -280,88 +281,3 @@ def group_evidence(src: DataFrame, groups: DataFrame, max_chars: int | None = No
     by_similarity = near_duplicate_pairs(src, max_chars).select(F.col("job_id_a").alias("job_id"), "evidence")
     reasons = by_fingerprint.unionByName(by_similarity).distinct()
     return groups.select("group_id", "job_id").join(reasons, "job_id").select("group_id", "evidence").distinct()
-
-
-def check_batch_duplicates(
-    new: DataFrame, existing: DataFrame, n: int | None = None, max_chars: int | None = None
-) -> DataFrame:
-    """(job_id, existing_job_id, reason) of new postings against all stored ones, or the n latest."""
-    looked_at = existing if n is None else recent(existing, n)
-    # Both sides are read by several joins; their sets are made once.
-    latest = cut_lineage(prepare_postings(looked_at, max_chars).drop("class_key"))
-    stored = latest.select(*[F.col(c).alias(f"old_{c}") for c in latest.columns])
-    fresh = cut_lineage(prepare_postings(new, max_chars).drop("class_key"))
-    same = fresh.join(stored, F.col("fingerprint") == F.col("old_fingerprint")).select(
-        "job_id",
-        F.col("old_job_id").alias("existing_job_id"),
-        F.concat(F.lit("Identical fingerprint: "), "fingerprint").alias("reason"),
-    )
-    named = fresh.filter("company <> ''")
-    # A close pair shares one of the rarest shingles of the stored side, under any order. The
-    # stored prefixes are short and rare first; the new side is only exploded and probed.
-    index = prefix_buckets(
-        latest.withColumnRenamed("job_id", "old_job_id"),
-        "old_job_id", "company", "shingle_set", *DESCRIPTION_THRESHOLD, only_shared=False,
-    )
-    probes = named.select("job_id", "company", F.explode("shingle_set").alias("s")).select(
-        "job_id", "company", F.xxhash64("s").alias("bucket")
-    )
-    by_text = probes.join(index, ["company", "bucket"]).select("job_id", "old_job_id")
-    wordless = latest.filter(F.size("shingle_set") == 0).select("company", F.col("job_id").alias("old_job_id"))
-    by_company = named.filter(F.size("shingle_set") == 0).join(wordless, "company").select("job_id", "old_job_id")
-    met = (
-        by_text.unionByName(by_company)
-        .distinct()
-        .join(stored, "old_job_id")
-        .join(fresh, "job_id")
-        .filter("fingerprint <> old_fingerprint")
-    )
-
-    def counted(df: DataFrame, column: str) -> DataFrame:
-        df = df.withColumn("_both", F.size(F.array_intersect(column, f"old_{column}")))
-        total = F.size(column) + F.size(f"old_{column}") - F.col("_both")
-        return df.withColumns(
-            {
-                f"{column}_shared": F.when(total == 0, 1).otherwise(F.col("_both")),
-                f"{column}_total": F.when(total == 0, 1).otherwise(total),
-            }
-        )
-
-    met = counted(met, "title_set").filter(
-        F.col("title_set_shared") * TITLE_THRESHOLD[1] >= F.col("title_set_total") * TITLE_THRESHOLD[0]
-    )
-    met = counted(met, "shingle_set").filter(
-        F.col("shingle_set_shared") * DESCRIPTION_THRESHOLD[1] >= F.col("shingle_set_total") * DESCRIPTION_THRESHOLD[0]
-    )
-    near = met.select(
-        "job_id",
-        F.col("old_job_id").alias("existing_job_id"),
-        near_evidence(
-            F.col("company"),
-            two_places(F.col("title_set_shared"), F.col("title_set_total")),
-            two_places(F.col("shingle_set_shared"), F.col("shingle_set_total")),
-        ).alias("reason"),
-    )
-    return same.unionByName(near)
-
-
-def duplicate_warnings(matches: DataFrame, existing: DataFrame) -> DataFrame:
-    """(job_id, warning): one DUPLICATE_SUSPECTED message per posting, latest match first.
-
-    The message names every match, so give ``check_batch_duplicates`` an ``n`` where a posting may
-    have more matches than a message should hold.
-    """
-    order = existing.select(F.col("job_id").alias("existing_job_id"), "ingested_at")
-    item = F.struct("ingested_at", "existing_job_id")
-    listed = matches.join(order, "existing_job_id").groupBy("job_id").agg(
-        F.sort_array(F.collect_list(item), asc=False).alias("found")
-    )
-    ids = F.array_join(F.transform("found", lambda x: x.existing_job_id), ", ")
-    return listed.select(
-        "job_id",
-        F.struct(
-            F.lit("DUPLICATE_SUSPECTED").alias("code"),
-            F.concat(F.lit("Job appears to be a duplicate of existing job(s): "), ids).alias("message"),
-            F.lit(None).cast("string").alias("field"),
-        ).alias("warning"),
-    )

@@ -12,12 +12,11 @@ from rolecast.functions.regex import utf16_length
 from rolecast.functions.text import sanitize_text, sanitize_warnings
 from rolecast.functions.urls import check_urls
 from rolecast.providers import DEFAULT_PROVIDERS, Provider, official_hosts
+from rolecast.operators.store import checked
 from rolecast.plans.stage import stage
 from rolecast.schemas import MAX_RECORD_BYTES, ORIGINS, TEXT_LIMITS, WARNING
 from rolecast.session import cut_lineage
 
-MAX_FLAGS = 50
-
 
 def warning(code: str, message: Column | str, field: str | None = None) -> Column:
     text = F.lit(message) if isinstance(message, str) else message
@@ -114,7 +113,7 @@ def attach_provenance(src: DataFrame, now: Column) -> DataFrame:
 
 
 def attach_warnings(src: DataFrame) -> DataFrame:
-    """Put the warnings of all steps in order into ``flags``, at most 50; the mark of untrusted text is never cut.
+    """Put the warnings of all steps in order into ``flags``; the mark of untrusted text comes last.
 
     Reads screen_warnings, parse_warnings, discrimination_warnings and, where present,
     duplicate_warnings; every posting is marked as untrusted content.
@@ -124,7 +123,11 @@ def attach_warnings(src: DataFrame) -> DataFrame:
     def of(name: str) -> Column:
         return F.coalesce(F.col(name), none) if name in src.columns else none
 
-    extraction = F.slice(F.concat(of("parse_warnings"), of("discrimination_warnings")), 1, MAX_FLAGS)
     untrusted = warning("UNTRUSTED_CONTENT", "Job description is untrusted third-party content")
-    every = F.concat(of("screen_warnings"), extraction, of("duplicate_warnings"))
-    return src.withColumn("flags", F.concat(F.slice(every, 1, MAX_FLAGS - 1), F.array(untrusted)))
+    steps = ["screen_warnings", "parse_warnings", "discrimination_warnings", "duplicate_warnings"]
+    return src.withColumn("flags", F.concat(*[of(name) for name in steps], F.array(untrusted)))
+
+
+def shown(values: Column, limit: int | None) -> Column:
+    """The first ``limit`` elements of a list, for display; the tables hold them all."""
+    return values if limit is None else F.slice(values, 1, checked(limit, 1, None, "limit"))

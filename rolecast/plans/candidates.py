@@ -21,12 +21,14 @@ def prefix_size(n: Column, numerator: int, denominator: int) -> Column:
 
 
 def prefix_buckets(
-    sets: DataFrame, node: str, block: str, elements: str, numerator: int, denominator: int, only_shared: bool = True
+    sets: DataFrame, node: str, block: str, elements: str, numerator: int, denominator: int, only_shared: bool = True,
+    known: DataFrame | None = None,
 ) -> DataFrame:
     """(block, bucket, node) rows: the rare-first prefix of each non-empty set.
 
     For a join of the sets with each other, elements of a single set are left out of the result
-    (``only_shared``). To probe with other sets, keep them.
+    (``only_shared``). To probe with other sets, keep them. ``known(block, bucket, known)`` counts
+    elements of sets that are not part of this call, so that common ones come last here too.
 
     Elements are compared by 64-bit hash here only; a collision can add a candidate but never
     lose one, and candidates are verified on the elements themselves.
@@ -35,7 +37,10 @@ def prefix_buckets(
         node, block, F.explode(F.array_distinct(F.transform(F.col(elements), lambda e: F.xxhash64(e)))).alias("bucket")
     )
     # An element of a single set orders first and needs no lookup.
-    shared = hashed.groupBy(block, "bucket").agg(F.count(F.lit(1)).alias("df")).filter("df > 1")
+    counts = hashed.groupBy(block, "bucket").agg(F.count(F.lit(1)).alias("df"))
+    if known is not None:
+        counts = counts.join(known, [block, "bucket"], "left").withColumn("df", F.col("df") + F.coalesce("known", F.lit(0))).drop("known")
+    shared = counts.filter("df > 1")
     ranked = salted_join(hashed, shared, [block, "bucket"], node, "left").select(
         node, block, F.struct(F.coalesce("df", F.lit(1)).alias("df"), F.col("bucket")).alias("element")
     )

@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from rolecast.functions.skills import Taxonomy
-from rolecast.operators.duplicates import check_batch_duplicates, exact_duplicates, near_duplicate_pairs
+from rolecast.operators.similarity_index import check_and_extend
 from rolecast.plans.ingest_flow import ingest_postings
 from rolecast.providers import DEFAULT_PROVIDERS, Provider
 from rolecast.sources.tables import upsert_postings
@@ -25,16 +25,15 @@ def stream_ingest(
 ) -> StreamingQuery:
     """Ingest arriving postings into ``path/postings`` and rejected ones into ``path/rejects``.
 
-    Each micro-batch is held against what the batches before it have stored, and marked where it
-    repeats a posting. Each micro-batch owns one folder and overwrites it, so a batch that is replayed after a lost
-    executor or driver leaves no second copy. ``latest_postings`` reads the table.
+    Each posting is held against those that arrived before it, in this micro-batch or an earlier one,
+    by the index in ``path/index``, and marked where it repeats one. Each micro-batch owns one folder
+    of each table and overwrites it, so a batch that is replayed after a lost executor or driver
+    leaves no second copy. ``latest_postings`` reads the table.
     """
 
     def store(batch: DataFrame, batch_id: int) -> None:
         now = F.coalesce(F.col("ingested_at"), F.current_timestamp()) if "ingested_at" in batch.columns else F.current_timestamp()
-        # The table is read anew for each batch; a batch that is replayed does not meet itself.
-        stored = latest_postings(batch.sparkSession, path, batch_id) if batch_id else None
-        good, rejects = ingest_postings(batch, taxonomy, now, providers, stored)
+        good, rejects = ingest_postings(batch, taxonomy, now, providers, index=(f"{path}/index", batch_id))
         good.drop("signals", "sanitized_fields", "url_check", "duplicate_warnings").write.mode("overwrite").parquet(
             f"{path}/postings/batch_seq={batch_id}"
         )
@@ -60,36 +59,16 @@ def stream_exact_dedupe(stream: DataFrame, delay: str) -> DataFrame:
     return stream.withWatermark("ingested_at", delay).dropDuplicatesWithinWatermark(["fingerprint"])
 
 
-def stream_near_dedupe(
-    source: DataFrame,
-    stored: Callable[[], DataFrame],
-    path: str,
-    checkpoint: str,
-    n: int | None = None,
-    available_now: bool = True,
-) -> StreamingQuery:
-    """Write the duplicates of each micro-batch, against the stored table and inside the batch.
+def stream_near_dedupe(source: DataFrame, path: str, checkpoint: str, available_now: bool = True) -> StreamingQuery:
+    """Write (job_id, existing_job_id, reason) of each micro-batch below ``path/found``.
 
-    ``stored`` reads the table anew for each batch, so what an earlier batch has stored is seen.
+    Each posting is held against all that arrived before it, by the index in ``path/index``, which
+    may hold earlier postings already. A micro-batch that is replayed overwrites its rows.
     """
 
     def check(batch: DataFrame, batch_id: int) -> None:
-        batch.persist()
-        against = check_batch_duplicates(batch, stored(), n)
-        exact = exact_duplicates(batch).filter("job_id <> first_job_id").select(
-            "job_id",
-            F.col("first_job_id").alias("existing_job_id"),
-            F.concat(F.lit("Identical fingerprint: "), "fingerprint").alias("reason"),
-        )
-        near = near_duplicate_pairs(batch).select(
-            F.col("job_id_b").alias("job_id"), F.col("job_id_a").alias("existing_job_id"), F.col("evidence").alias("reason")
-        )
-        found = (
-            against.withColumn("scope", F.lit("stored"))
-            .unionByName(exact.unionByName(near).withColumn("scope", F.lit("batch")))
-        )
-        found.write.mode("overwrite").parquet(f"{path}/batch_seq={batch_id}")
-        batch.unpersist()
+        found = check_and_extend(batch, f"{path}/index", batch_id)
+        found.write.mode("overwrite").parquet(f"{path}/found/batch_seq={batch_id}")
 
     writer = source.writeStream.foreachBatch(check).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if available_now else writer).start()
