@@ -290,8 +290,8 @@ ITEMS_SQL = f"""ln0 AS (SELECT job_id, list_filter(list_transform({_LINES}, lamb
   SELECT job_id, i, CASE s WHEN 'tags' THEN 'must' WHEN 'details' THEN 'metadata' ELSE s END AS section,
     list_filter(CASE WHEN label = 'tags' THEN {_TAGS} ELSE {_SENT} END, lambda s: s <> '') AS sents FROM ln3), ln5 AS (
   SELECT job_id, i, section, unnest(range(1, len(sents) + 1)) AS j, unnest(sents) AS text FROM ln4), item0 AS (
-  SELECT job_id, row_number() OVER (PARTITION BY job_id ORDER BY i, j) - 1 AS pos, section, text, left(text, 500) AS short FROM ln5), {skills_sql('item0', 'short', '*', 'item1')}, item2 AS (
-  SELECT * REPLACE (list_slice(skills, 1, 20) AS skills), {hits([(n, has('short', r)) for n, r, _ in DISCRIMINATION])} AS categories,
+  SELECT job_id, row_number() OVER (PARTITION BY job_id ORDER BY i, j) - 1 AS pos, section, text, text AS short FROM ln5), {skills_sql('item0', 'short', '*', 'item1')}, item2 AS (
+  SELECT *, {hits([(n, has('short', r)) for n, r, _ in DISCRIMINATION])} AS categories,
     {case([(has('short', r), lit(n)) for n, r, _ in CONSTRAINTS])} AS kind FROM item1), item AS (
   SELECT *, CASE WHEN len(categories) > 0 THEN 'flagged' WHEN kind IS NOT NULL AND len(skills) = 0 THEN 'constraint'
     WHEN section = 'metadata' THEN 'metadata'
@@ -302,17 +302,17 @@ ITEMS_SQL = f"""ln0 AS (SELECT job_id, list_filter(list_transform({_LINES}, lamb
 
 # One row per posting with its requirement lists.
 REQ_SQL = f"""{ITEMS_SQL}, grp AS (SELECT job_id,
-    list_slice(coalesce(list({{'text': short, 'skills': skills}} ORDER BY pos) FILTER (target = 'must'), []), 1, 100) AS must_have,
-    list_slice(coalesce(list({{'text': short, 'skills': skills}} ORDER BY pos) FILTER (target = 'preferred'), []), 1, 100) AS pref,
-    list_slice(coalesce(list(left(text, 1000) ORDER BY pos) FILTER (target = 'responsibility'), []), 1, 100) AS duties,
-    list_slice(coalesce(list({{'kind': kind, 'text': short}} ORDER BY pos) FILTER (len(categories) = 0 AND kind IS NOT NULL), []), 1, 50) AS constraints,
-    list_slice(flatten(list(list_transform(categories, lambda c: {{'text': short, 'category': c}}) ORDER BY pos)), 1, 50) AS flags
+    coalesce(list({{'text': short, 'skills': skills}} ORDER BY pos) FILTER (target = 'must'), []) AS must_have,
+    coalesce(list({{'text': short, 'skills': skills}} ORDER BY pos) FILTER (target = 'preferred'), []) AS pref,
+    coalesce(list(text ORDER BY pos) FILTER (target = 'responsibility'), []) AS duties,
+    coalesce(list({{'kind': kind, 'text': short}} ORDER BY pos) FILTER (len(categories) = 0 AND kind IS NOT NULL), []) AS constraints,
+    flatten(list(list_transform(categories, lambda c: {{'text': short, 'category': c}}) ORDER BY pos)) AS flags
   FROM item GROUP BY job_id), req0 AS (
   SELECT raw.job_id, coalesce(must_have, []) AS must_have, coalesce(pref, []) AS pref, coalesce(duties, []) AS duties,
     coalesce(constraints, []) AS constraints, coalesce(flags, []) AS flags,
     flatten(list_transform(must_have, lambda r: r.skills)) AS ms, flatten(list_transform(pref, lambda r: r.skills)) AS ps FROM raw LEFT JOIN grp USING (job_id)), req1 AS (
-  SELECT *, list_slice({ordered_distinct('ms')}, 1, 100) AS required, {ordered_distinct('ps')} AS wished FROM req0), req AS (
-  SELECT *, list_slice(list_filter(wished, lambda w: NOT list_contains(required, w)), 1, 100) AS preferred FROM req1)"""
+  SELECT *, {ordered_distinct('ms')} AS required, {ordered_distinct('ps')} AS wished FROM req0), req AS (
+  SELECT *, list_filter(wished, lambda w: NOT list_contains(required, w)) AS preferred FROM req1)"""
 
 ORACLE: dict[str, str] = {}
 
@@ -420,7 +420,7 @@ def listed(column: str) -> str:
 
 add("extract_requirements", REQ, f"""SELECT job_id, {listed('must_have')} AS must_have, {listed('pref')} AS preferred, len(duties) AS duties,
   md5({joined('duties')}) AS duty_text, len(constraints) AS constraints, len(flags) AS flags FROM req""")
-add("posting_skills", REQ, f"SELECT job_id, {joined('required')} AS required, {joined('preferred')} AS preferred, least(len(must_have), 100) AS qualifications FROM req")
+add("posting_skills", REQ, f"SELECT job_id, {joined('required')} AS required, {joined('preferred')} AS preferred, len(must_have) AS qualifications FROM req")
 add("discrimination_warnings", REQ, """SELECT job_id, unnest(range(0, len(flags))) AS n,
   'Potentially discriminatory ' || unnest(flags).category || ' requirement' AS message FROM req""")
 add("discrimination_report", REQ, """, one AS (SELECT job_id, unnest(flags).category AS category FROM req)
@@ -523,7 +523,7 @@ _DOMAIN = f"list_filter({ordered_distinct('every')}, lambda s: {_CAT_MAP}[s] IS
 def _cover(skills: str) -> tuple[str, str, str]:
     got = f"list_filter({skills}, lambda s: list_contains(has, s))"
     lost = f"list_filter({skills}, lambda s: NOT list_contains(has, s))"
-    return f"CASE WHEN len({skills}) > 0 THEN {half_up(f'len({got})::DOUBLE / len({skills})')} END", f"{got}[1:20]", f"{lost}[1:20]"
+    return f"CASE WHEN len({skills}) > 0 THEN {half_up(f'len({got})::DOUBLE / len({skills})')} END", got, lost
 
 
 def _named(values: str) -> str:
@@ -618,7 +618,7 @@ add("shortlist", _SHORT, f""", top AS (SELECT *, row_number() OVER (PARTITION BY
 _SNIP = "CASE WHEN length(text) <= 300 THEN text ELSE substr(text, least(greatest(strpos(lower(text), lower(skill)) - 1 - (300 - length(skill)) // 2, 0), length(text) - 300) + 1, 300) END"
 TEV = f"""tev0 AS (SELECT tpl, skill, section, i, j, field_path, CASE WHEN kind = 'skill' THEN text ELSE {_SNIP} END AS snip FROM field
     JOIN want ON (kind = 'skill' AND lower(trim(text)) = lower(skill)) OR (kind <> 'skill' AND regexp_matches(text, {_PATTERN}, 'i'))), tev AS (
-  SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY tpl, skill ORDER BY section, i, j) AS rank FROM tev0) WHERE rank <= 5)"""
+  SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY tpl, skill ORDER BY section, i, j) AS rank FROM tev0))"""
 ASK = """rq AS (SELECT job_id, 'must_have' AS kind, unnest(range(0, len(must_have))) AS req_pos, unnest(must_have) AS r FROM jobf
   UNION ALL SELECT job_id, 'preferred', unnest(range(0, len(wishes))), unnest(wishes) FROM jobf), rs AS (
   SELECT job_id, kind, req_pos, r.text AS requirement, unnest(range(0, len(r.skills))) AS skill_pos, unnest(r.skills) AS skill FROM rq), ask AS (
@@ -631,15 +631,15 @@ add("verify_evidence", [t.RAW_SQL, REQ_SQL, t.profile_sql("customer", "c_custkey
     "SELECT profile_id, field_path, skill, snip || ' \u2020' AS text FROM prof JOIN tev USING (tpl) WHERE pkey % 7 = 0")
 add("cv_emphasis", PREP, """, f AS (SELECT ask.*, tev.rank, tev.field_path, row_number() OVER (PARTITION BY job_id, profile_id, kind, req_pos, field_path ORDER BY skill_pos, rank) AS n
     FROM ask JOIN tev ON tev.tpl = ask.tpl AND tev.skill = ask.skill), g AS (
-  SELECT job_id, profile_id, kind, req_pos, requirement, list(field_path ORDER BY skill_pos, rank)[1:5] AS paths FROM f WHERE n = 1 GROUP BY ALL), h AS (
+  SELECT job_id, profile_id, kind, req_pos, requirement, list(field_path ORDER BY skill_pos, rank) AS paths FROM f WHERE n = 1 GROUP BY ALL), h AS (
   SELECT *, row_number() OVER (PARTITION BY job_id, profile_id ORDER BY kind, req_pos) AS k FROM g)
-  SELECT job_id, profile_id, kind, req_pos, requirement, array_to_string(paths, '|') AS paths FROM h WHERE k <= 100""")
+  SELECT job_id, profile_id, kind, req_pos, requirement, array_to_string(paths, '|') AS paths FROM h""")
 add("cv_gaps", PREP, """, g AS (SELECT job_id, profile_id, kind, req_pos, requirement, string_agg(skill, '|' ORDER BY skill_pos) AS missing_skills FROM lost GROUP BY 1, 2, 3, 4, 5), h AS (
-  SELECT *, row_number() OVER (PARTITION BY job_id, profile_id ORDER BY kind, req_pos) AS k FROM g) SELECT * EXCLUDE (k) FROM h WHERE k <= 100""")
+  SELECT *, row_number() OVER (PARTITION BY job_id, profile_id ORDER BY kind, req_pos) AS k FROM g) SELECT * EXCLUDE (k) FROM h""")
 add("do_not_claim", PREP, """, g AS (SELECT job_id, profile_id, skill, min((kind, req_pos, skill_pos)) AS place FROM lost GROUP BY 1, 2, 3), h AS (
   SELECT *, row_number() OVER (PARTITION BY job_id, profile_id ORDER BY place) AS k FROM g)
-  SELECT job_id, profile_id, skill, 'No evidence in profile for ' || skill || '; do not claim it.' AS sentence FROM h WHERE k <= 100""")
-add("unassessed", FEATURES, """, u AS (SELECT job_id, list_transform(list_filter(list_concat(must_have, wishes), lambda r: len(r.skills) = 0), lambda r: r.text)[1:100] AS texts FROM jobf), v AS (
+  SELECT job_id, profile_id, skill, 'No evidence in profile for ' || skill || '; do not claim it.' AS sentence FROM h""")
+add("unassessed", FEATURES, """, u AS (SELECT job_id, list_transform(list_filter(list_concat(must_have, wishes), lambda r: len(r.skills) = 0), lambda r: r.text) AS texts FROM jobf), v AS (
   SELECT job_id, CAST(unnest(range(0, len(texts))) AS INTEGER) AS pos, unnest(texts) AS requirement FROM u) SELECT pair.job_id, profile_id, pos, requirement FROM pair JOIN v USING (job_id)""")
 
 

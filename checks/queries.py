@@ -345,9 +345,7 @@ def q_classify_items(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def q_flag_discrimination(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _items(spark, sf_dir).select("job_id", "pos", F.explode("categories").alias("category"), "short").select(
-        "job_id", "pos", "category", F.col("short").alias("text")
-    )
+    return _items(spark, sf_dir).select("job_id", "pos", F.explode("categories").alias("category"), "text")
 
 
 def q_classify_constraints(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -552,7 +550,8 @@ def q_unassessed(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def q_interview_topics(spark: SparkSession, sf_dir: str) -> DataFrame:
-    topics = preparation.interview_topics(*_prepared(spark, sf_dir))
+    # A list to prepare from: the feature has 40 topics and five duties.
+    topics = preparation.interview_topics(*_prepared(spark, sf_dir), topics=40, duties_shown=5)
     return topics.select(
         "job_id", "profile_id", "topic_no", "topic", "source", F.md5("requirement_ref").alias("requirement"),
         F.size("question_seeds").alias("questions"), F.md5(joined(F.col("study_pointers"))).alias("pointers"),

@@ -61,7 +61,6 @@ CITY_SYNONYMS = {
 BLOCKED_SCORE = 0.3
 STRONG, MODERATE = 0.75, 0.5
 LOW_CONFIDENCE = 0.6
-MAX_LISTED = 20
 LISTED_TEXT = 500
 
 DIMENSION = "struct<name:string,weight:double,score:double,status:string,evidence:array<string>,gaps:array<string>>"
@@ -218,7 +217,7 @@ def _coverage(name: str, skills: Column, skill_of, label_of) -> Column:
     missing = F.filter(skills, lambda s: ~F.array_contains(has, skill_of(s)))
 
     def labels(items: Column) -> Column:
-        return F.transform(F.slice(items, 1, MAX_LISTED), lambda s: F.left(label_of(s), F.lit(LISTED_TEXT)))
+        return F.transform(items, lambda s: F.left(label_of(s), F.lit(LISTED_TEXT)))
 
     score = F.when(F.size(skills) > 0, round2(F.size(covered) / F.size(skills)))
     return _dimension(name, score, labels(covered), labels(missing))
@@ -367,7 +366,7 @@ def phrase_hits(postings: DataFrame, phrases: DataFrame) -> DataFrame:
         F.col("responsibilities"),
         F.transform("constraints", lambda c: c.text),
     )
-    # Items may be cut in length, so each text is searched by itself.
+    # A phrase must not reach from one text into the next, so each is searched by itself.
     searched = postings.select("job_id", texts.alias("_texts"))
     tokens = F.array_distinct(F.flatten(F.transform("_texts", word_tokens)))
     # Words meet phrases without the texts; a posting's texts are fetched once per phrase it may hold.
@@ -387,7 +386,7 @@ def deal_breakers(pairs: DataFrame, postings: DataFrame, profiles: DataFrame) ->
     # A profile has at most a score of phrases, so a pair's list is short.
     ordered = F.sort_array(F.collect_list(F.struct("pos", message.alias("message"))))
     return met.groupBy("job_id", "profile_id").agg(
-        F.slice(F.transform(ordered, lambda b: b.message), 1, MAX_LISTED).alias("blockers")
+        F.transform(ordered, lambda b: b.message).alias("blockers")
     )
 
 

@@ -9,13 +9,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from rolecast.functions.regex import js_trim, lead_token, skill_name_pattern, word_tokens
-from rolecast.operators.ingest import warning_if
+from rolecast.operators.ingest import shown, warning_if
 
-MAX_EVIDENCE = 5
 SNIPPET = 300
-MAX_ROWS = 100
-MAX_TOPICS = 40
-MAX_DUTIES = 5
 
 # Texts of the tables.
 TRUTHFULNESS_NOTE = (
@@ -152,8 +148,8 @@ def snippet(text: Column, position: Column, width: Column) -> Column:
     return F.when(F.length(text) <= SNIPPET, text).otherwise(cut)
 
 
-def skill_evidence(profiles: DataFrame, skills: DataFrame, k: int = MAX_EVIDENCE) -> DataFrame:
-    """(profile_id, skill, rank, field_path, text): the first k places that show each skill."""
+def skill_evidence(profiles: DataFrame, skills: DataFrame, k: int | None = None) -> DataFrame:
+    """(profile_id, skill, rank, field_path, text): the places that show each skill, all or the first k."""
     wanted = skills.select("skill").distinct().select(
         "skill",
         js_trim(F.col("skill")).alias("name"),
@@ -184,7 +180,7 @@ def skill_evidence(profiles: DataFrame, skills: DataFrame, k: int = MAX_EVIDENCE
         .select(columns)
     )
     # A profile has a bounded number of fields, so a group is small.
-    places = F.slice(F.sort_array(F.collect_list(F.struct("place", "field_path", "text"))), 1, k)
+    places = shown(F.sort_array(F.collect_list(F.struct("place", "field_path", "text"))), k)
     found = listed.unionByName(told).groupBy("profile_id", "skill").agg(places.alias("places"))
     return found.select("profile_id", "skill", F.posexplode("places").alias("rank", "e")).select(
         "profile_id", "skill", (F.col("rank") + 1).alias("rank"), "e.field_path", "e.text"
@@ -215,28 +211,18 @@ def requirement_skills(postings: DataFrame) -> DataFrame:
     return exploded("must_have").unionByName(exploded("preferred"))
 
 
-def _kept(df: DataFrame, limit: int, *order: Column) -> DataFrame:
-    """First rows of each pair. A pair has a few hundred rows at most."""
-    window = Window.partitionBy("job_id", "profile_id").orderBy(*order)
-    return df.withColumn("_n", F.row_number().over(window)).filter(F.col("_n") <= limit).drop("_n")
-
-
-
-def cv_emphasis(pairs: DataFrame, postings: DataFrame, evidence: DataFrame) -> DataFrame:
-    """(job_id, profile_id, kind, req_pos, requirement, evidence): up to five distinct places each."""
+def cv_emphasis(pairs: DataFrame, postings: DataFrame, evidence: DataFrame, places: int | None = None) -> DataFrame:
+    """(job_id, profile_id, kind, req_pos, requirement, evidence): distinct places, all or the first few."""
     asked = pairs.select("job_id", "profile_id").join(requirement_skills(postings), "job_id")
-    shown = asked.join(evidence, ["profile_id", "skill"])
+    met = asked.join(evidence, ["profile_id", "skill"])
     item = F.struct("skill_pos", "rank", "field_path", "text")
-    grouped = shown.groupBy("job_id", "profile_id", "kind", "req_pos", "requirement").agg(
+    grouped = met.groupBy("job_id", "profile_id", "kind", "req_pos", "requirement").agg(
         F.sort_array(F.collect_list(item)).alias("found")
     )
     grouped = grouped.withColumn("paths", F.transform("found", lambda e: e.field_path))
     first = F.filter("found", lambda e, i: F.array_position(F.col("paths"), e.field_path) == i + 1)
-    items = F.transform(
-        F.slice(first, 1, MAX_EVIDENCE), lambda e: F.struct(e.field_path.alias("field_path"), e.text.alias("text"))
-    )
-    result = grouped.select("job_id", "profile_id", "kind", "req_pos", "requirement", items.alias("evidence"))
-    return _kept(result, MAX_ROWS, F.col("kind"), F.col("req_pos"))
+    items = F.transform(shown(first, places), lambda e: F.struct(e.field_path.alias("field_path"), e.text.alias("text")))
+    return grouped.select("job_id", "profile_id", "kind", "req_pos", "requirement", items.alias("evidence"))
 
 
 def _missing(pairs: DataFrame, postings: DataFrame, evidence: DataFrame) -> DataFrame:
@@ -247,12 +233,11 @@ def _missing(pairs: DataFrame, postings: DataFrame, evidence: DataFrame) -> Data
 def cv_gaps(pairs: DataFrame, postings: DataFrame, evidence: DataFrame) -> DataFrame:
     """(job_id, profile_id, kind, req_pos, requirement, missing_skills)."""
     listed = F.sort_array(F.collect_list(F.struct("skill_pos", "skill")))
-    result = (
+    return (
         _missing(pairs, postings, evidence)
         .groupBy("job_id", "profile_id", "kind", "req_pos", "requirement")
         .agg(F.transform(listed, lambda s: s.skill).alias("missing_skills"))
     )
-    return _kept(result, MAX_ROWS, F.col("kind"), F.col("req_pos"))
 
 
 def do_not_claim(pairs: DataFrame, postings: DataFrame, evidence: DataFrame) -> DataFrame:
@@ -260,15 +245,10 @@ def do_not_claim(pairs: DataFrame, postings: DataFrame, evidence: DataFrame) ->
     top = postings.select("job_id", F.posexplode(F.concat("required_skills", "preferred_skills")).alias("skill_pos", "skill"))
     top = pairs.select("job_id", "profile_id").join(top, "job_id")
     top = top.join(evidence.select("profile_id", "skill").distinct(), ["profile_id", "skill"], "left_anti")
-    place = F.struct(F.col("kind"), F.col("req_pos"), F.col("skill_pos"))
-    columns = ["job_id", "profile_id", "skill", place.alias("place")]
-    # 'top_level' sorts after must_have and preferred.
-    rows = _missing(pairs, postings, evidence).select(columns).unionByName(
-        top.withColumns({"kind": F.lit("top_level"), "req_pos": F.lit(0)}).select(columns)
-    )
-    first = rows.groupBy("job_id", "profile_id", "skill").agg(F.min("place").alias("place"))
+    columns = ["job_id", "profile_id", "skill"]
+    rows = _missing(pairs, postings, evidence).select(columns).unionByName(top.select(columns)).distinct()
     sentence = F.concat(F.lit("No evidence in profile for "), F.col("skill"), F.lit("; do not claim it."))
-    return _kept(first, MAX_ROWS, F.col("place")).select("job_id", "profile_id", "skill", sentence.alias("sentence"))
+    return rows.select(*columns, sentence.alias("sentence"))
 
 
 def unassessed(pairs: DataFrame, postings: DataFrame) -> DataFrame:
@@ -276,7 +256,7 @@ def unassessed(pairs: DataFrame, postings: DataFrame) -> DataFrame:
     plain = F.transform(
         F.filter(F.concat("must_have", "preferred"), lambda r: F.size(r.skills) == 0), lambda r: r.text
     )
-    texts = postings.select("job_id", F.posexplode(F.slice(plain, 1, MAX_ROWS)).alias("pos", "requirement"))
+    texts = postings.select("job_id", F.posexplode(plain).alias("pos", "requirement"))
     return pairs.select("job_id", "profile_id").join(texts, "job_id")
 
 
@@ -291,11 +271,13 @@ def _texts(templates: dict[str, tuple[str, ...]], phase: Column, subject: Column
     return result
 
 
-def interview_topics(pairs: DataFrame, postings: DataFrame, evidence: DataFrame) -> DataFrame:
-    """Up to 40 topics per pair: shown must-haves, must-have gaps, preferred skills, duties."""
+def interview_topics(
+    pairs: DataFrame, postings: DataFrame, evidence: DataFrame, topics: int | None = None, duties_shown: int | None = None
+) -> DataFrame:
+    """Topics per pair: shown must-haves, must-have gaps, preferred skills, duties; all or the first few."""
     asked = pairs.select("job_id", "profile_id").join(requirement_skills(postings), "job_id")
-    shown = evidence.select("profile_id", "skill", F.lit(True).alias("shown")).distinct()
-    asked = asked.join(shown, ["profile_id", "skill"], "left").withColumn("shown", F.coalesce("shown", F.lit(False)))
+    told = evidence.select("profile_id", "skill", F.lit(True).alias("shown")).distinct()
+    asked = asked.join(told, ["profile_id", "skill"], "left").withColumn("shown", F.coalesce("shown", F.lit(False)))
     phase = F.when(F.col("kind") == "preferred", 3).otherwise(F.when(F.col("shown"), 1).otherwise(2))
     place = F.struct(phase.alias("phase"), "req_pos", "skill_pos", "skill", "requirement", "shown")
     skills = (
@@ -308,7 +290,7 @@ def interview_topics(pairs: DataFrame, postings: DataFrame, evidence: DataFrame)
         )
     )
     duties = postings.select(
-        "job_id", F.posexplode(F.slice("responsibilities", 1, MAX_DUTIES)).alias("a", "subject")
+        "job_id", F.posexplode(shown(F.col("responsibilities"), duties_shown)).alias("a", "subject")
     )
     duties = pairs.select("job_id", "profile_id").join(duties, "job_id").select(
         "job_id", "profile_id", F.lit(4).alias("phase"), "a", F.lit(0).alias("b"), "subject",
@@ -322,7 +304,7 @@ def interview_topics(pairs: DataFrame, postings: DataFrame, evidence: DataFrame)
         .when(F.col("phase") == 4, "duty")
         .otherwise(F.when(F.col("shown"), "preferred").otherwise("preferred_gap"))
     )
-    rows = rows.filter(F.col("topic_no") <= MAX_TOPICS).withColumn("_name", name)
+    rows = (rows if topics is None else rows.filter(F.col("topic_no") <= topics)).withColumn("_name", name)
     titles = {key: (title,) for key, title in TOPIC_TITLES.items()}
     return rows.select(
         "job_id", "profile_id", "topic_no",

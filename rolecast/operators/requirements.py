@@ -14,20 +14,12 @@ from rolecast.functions.skills import Taxonomy, match_skills, skill_category
 from rolecast.operators.ingest import warning
 from rolecast.schemas import WARNING
 
-ITEM_TEXT = 500
-DUTY_TEXT = 1_000
-MAX_ITEMS = 100
-MAX_ITEM_SKILLS = 20
-MAX_CONSTRAINTS = 50
-MAX_DISCRIMINATION = 50
-MAX_SKILLS = 100
-
 # First constraint kind that fits an item. The last entry of a row lists text that
 # a match is sure to contain.
 CONSTRAINTS = (
     ("notice_period", r"\b(?:notice period|immediate joiner|join immediately)\b", "notice period|immediate joiner|join immediately"),
     ("shift", r"\b(?:night shift|rotational shift|shifts?)\b", "shift"),
-    ("travel", r"\b(?:travel)\b", "travel"),
+    ("travel", r"\btravel\b", "travel"),
     ("relocation", r"\b(?:relocat(?:e|ion|ing))\b", "relocat"),
     ("work_authorization", r"\b(?:work authorization|authorized to work|visa|work permit)\b", "authoriz|visa|permit"),
     ("certification", r"\b(?:certification|certified|certificate|pmp)\b", "certif|pmp"),
@@ -60,7 +52,7 @@ def constraint_kind(text: Column, lower: Column) -> Column:
 
 
 def with_classified_items(df: DataFrame, taxonomy: Taxonomy, description: str = "description") -> DataFrame:
-    """Add ``items``: array of {pos, section, text, short, categories, kind, skills, target}.
+    """Add ``items``: array of {pos, section, text, categories, kind, skills, target}.
 
     ``target`` says where an item goes: flagged, constraint, metadata, responsibility, must or
     preferred.
@@ -74,7 +66,6 @@ def with_classified_items(df: DataFrame, taxonomy: Taxonomy, description: str =
                 pos.alias("pos"),
                 item.section.alias("section"),
                 item.text.alias("text"),
-                F.left(item.text, F.lit(ITEM_TEXT)).alias("short"),
                 F.lower(item.text).alias("lower"),
             ),
         ),
@@ -87,11 +78,10 @@ def with_classified_items(df: DataFrame, taxonomy: Taxonomy, description: str =
                 i.pos.alias("pos"),
                 i.section.alias("section"),
                 i.text.alias("text"),
-                i.short.alias("short"),
                 i.lower.alias("lower"),
-                discrimination_categories(i.short, i.lower).alias("categories"),
-                constraint_kind(i.short, i.lower).alias("kind"),
-                F.slice(match_skills(i.short, taxonomy), 1, MAX_ITEM_SKILLS).alias("skills"),
+                discrimination_categories(i.text, i.lower).alias("categories"),
+                constraint_kind(i.text, i.lower).alias("kind"),
+                match_skills(i.text, taxonomy).alias("skills"),
             ),
         ),
     )
@@ -113,35 +103,35 @@ def requirement_items(df: DataFrame) -> DataFrame:
 
 
 def extract_requirements(df: DataFrame, taxonomy: Taxonomy, description: str = "description") -> DataFrame:
-    """Add must_have, preferred, responsibilities, constraints and discriminatory_flags."""
+    """Add must_have, preferred, responsibilities, constraints and discriminatory_flags, each in full.
+
+    ``ingest.shown`` cuts a list for display.
+    """
     df = with_classified_items(df, taxonomy, description)
     items = F.col("items")
 
     def requirement(target: str) -> Column:
         chosen = F.filter(items, lambda i: i.target == target)
-        pairs = F.transform(chosen, lambda i: F.struct(i.short.alias("text"), i.skills.alias("skills")))
-        return F.slice(pairs, 1, MAX_ITEMS)
+        return F.transform(chosen, lambda i: F.struct(i.text.alias("text"), i.skills.alias("skills")))
 
-    duties = F.transform(
-        F.filter(items, lambda i: i.target == "responsibility"), lambda i: F.left(i.text, F.lit(DUTY_TEXT))
-    )
+    duties = F.transform(F.filter(items, lambda i: i.target == "responsibility"), lambda i: i.text)
     constraints = F.transform(
         F.filter(items, lambda i: (F.size(i.categories) == 0) & i.kind.isNotNull()),
-        lambda i: F.struct(i.kind.alias("kind"), i.short.alias("text")),
+        lambda i: F.struct(i.kind.alias("kind"), i.text.alias("text")),
     )
     flags = F.flatten(
         F.transform(
             items,
-            lambda i: F.transform(i.categories, lambda c: F.struct(i.short.alias("text"), c.alias("category"))),
+            lambda i: F.transform(i.categories, lambda c: F.struct(i.text.alias("text"), c.alias("category"))),
         )
     )
     return df.withColumns(
         {
             "must_have": requirement("must"),
             "preferred": requirement("preferred"),
-            "responsibilities": F.slice(duties, 1, MAX_ITEMS),
-            "constraints": F.slice(constraints, 1, MAX_CONSTRAINTS),
-            "discriminatory_flags": F.slice(flags, 1, MAX_DISCRIMINATION),
+            "responsibilities": duties,
+            "constraints": constraints,
+            "discriminatory_flags": flags,
         }
     ).drop("items")
 
@@ -152,13 +142,11 @@ def posting_skills(reqs: DataFrame) -> DataFrame:
     def distinct_skills(column: str) -> Column:
         return F.array_distinct(F.flatten(F.transform(column, lambda r: r.skills)))
 
-    reqs = reqs.withColumn("required_skills", F.slice(distinct_skills("must_have"), 1, MAX_SKILLS))
+    reqs = reqs.withColumn("required_skills", distinct_skills("must_have"))
     return reqs.withColumns(
         {
-            "preferred_skills": F.slice(
-                F.array_except(distinct_skills("preferred"), F.col("required_skills")), 1, MAX_SKILLS
-            ),
-            "qualifications": F.slice(F.transform("must_have", lambda r: r.text), 1, MAX_ITEMS),
+            "preferred_skills": F.array_except(distinct_skills("preferred"), F.col("required_skills")),
+            "qualifications": F.transform("must_have", lambda r: r.text),
         }
     )
 

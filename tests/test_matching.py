@@ -100,3 +100,23 @@ def test_no_pairing_of_postings_without_a_key(spark):
     for query in (q.q_near_duplicate_pairs, q.q_fit_scores, q.q_shortlist):
         plan = query(spark, SF)._jdf.queryExecution().executedPlan().toString()
         assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan
+
+
+def test_long_postings_are_not_cut(spark):
+    from pyspark.sql import functions as F
+
+    from checks import queries as q
+    from rolecast.operators import requirements
+    from rolecast.operators.ingest import shown
+
+    lines = "\n".join(f"- Must know tool {n} with Python" for n in range(150))
+    tail = "word " * 120 + "Kubernetes required"
+    flags = "\n".join("only male candidates" for _ in range(60))
+    body = f"Requirements:\n{lines}\n- {tail}\n{flags}\n" + "\n".join("- notice period 30 days" for _ in range(70))
+    posting = spark.createDataFrame([("j", body)], "job_id string, description string")
+    row = requirements.posting_skills(requirements.extract_requirements(posting, q.taxonomy())).select(
+        F.size("must_have").alias("must"), F.size("discriminatory_flags").alias("flags"), F.size("constraints").alias("constraints"),
+        "required_skills", shown(F.col("must_have"), 100).alias("few"),
+    ).first()
+    assert (row.must, row.flags, row.constraints) == (151, 60, 70)
+    assert "Kubernetes" in row.required_skills and len(row.few) == 100
