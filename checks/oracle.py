@@ -324,8 +324,8 @@ def add(name: str, ctes: list[str], select: str) -> None:
 # ---------------------------------------------------------------- sources
 
 RAW = [t.RAW_SQL]
-add("read_postings", RAW, """SELECT job_id, provider, title, md5(description) AS body, company, location, compensation_text, posted_at_text,
-  coalesce(origin, 'user_paste') AS origin, relay_source FROM raw""")
+add("read_postings", RAW, """SELECT fmt, job_id, provider, title, md5(description) AS body, company, location, compensation_text, posted_at_text,
+  coalesce(origin, 'user_paste') AS origin, relay_source FROM raw, (VALUES ('json'), ('csv'), ('parquet')) AS f(fmt)""")
 _SIZES = [t.profile_sql("customer", "c_custkey"), t.FIELD_SQL, t.PREF_SQL]
 
 

@@ -100,13 +100,21 @@ def stamp(value: Column) -> Column:
 
 
 def q_read_postings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    path = work_dir(spark, "raw-json")
-    t.raw_postings(spark, sf_dir).drop("doc_id", "ingested_at", "retention_class").write.json(path)
-    rows, _ = sources.read_postings(spark, path)
-    return rows.select(
-        "job_id", "provider", "title", F.md5("description").alias("body"), "company", "location", "compensation_text",
-        "posted_at_text", "origin", "relay_source",
-    )
+    """All raw postings as JSON lines, as CSV with its columns in another order, and as Parquet."""
+    raw = t.raw_postings(spark, sf_dir).drop("doc_id", "ingested_at", "retention_class")
+    parts = []
+    for fmt in ("json", "csv", "parquet"):
+        path = work_dir(spark, f"raw-{fmt}")
+        writer = raw.select(*sorted(raw.columns)).write
+        if fmt == "csv":
+            writer = writer.options(header=True, escape='"', ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False)
+        writer.format(fmt).save(path)
+        rows, _ = sources.read_postings(spark, path, fmt)
+        parts.append(rows.select(
+            F.lit(fmt).alias("fmt"), "job_id", "provider", "title", F.md5("description").alias("body"), "company", "location",
+            "compensation_text", "posted_at_text", "origin", "relay_source",
+        ))
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
 
 
 def q_read_profiles(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -54,7 +54,7 @@ def find_by_fingerprint(jobs: DataFrame, fingerprints: DataFrame) -> DataFrame:
 
 def recent(jobs: DataFrame, n: int = 50) -> DataFrame:
     """The n newest postings, ties by id from the top."""
-    return newest_first(jobs).limit(checked(n, 1, None, "n"))
+    return newest_first(latest_days(jobs, checked(n, 1, None, "n"))).limit(n)
 
 
 # ---------------------------------------------------------------- paging
@@ -98,9 +98,9 @@ def keyset_page(jobs: DataFrame, cursor: str | None) -> DataFrame:
         return jobs
     moment, job_id = decode_cursor(cursor)
     at = F.to_timestamp(F.lit(moment))
-    return jobs.filter(
-        (F.col("ingested_at") <= at) & ((F.col("ingested_at") < at) | (F.col("job_id") < F.lit(job_id)))
-    )
+    after = (F.col("ingested_at") <= at) & ((F.col("ingested_at") < at) | (F.col("job_id") < F.lit(job_id)))
+    # In a table by days the later ones need not be opened.
+    return jobs.filter(after & (F.col("ingest_day") <= F.to_date(at))) if "ingest_day" in jobs.columns else jobs.filter(after)
 
 
 def filter_postings(jobs: DataFrame, filters: Mapping[str, Sequence[str]] | None, empty_excludes: bool = False) -> DataFrame:
@@ -114,6 +114,24 @@ def filter_postings(jobs: DataFrame, filters: Mapping[str, Sequence[str]] | None
     return jobs
 
 
+def latest_days(jobs: DataFrame, rows: int, cursor: str | None = None) -> DataFrame:
+    """Of a table stored by days, the latest days up to the cursor that hold at least ``rows`` rows; other tables as they are.
+
+    The window takes the last one, two, four, ... stored days until it holds enough or everything,
+    so the files opened do not grow with the table. Which days there are is read off the folders.
+    """
+    folders = {m[1] for f in (jobs.inputFiles() if "ingest_day" in jobs.columns else []) if (m := re.search(r"/ingest_day=(\d{4}-\d\d-\d\d)/", f))}
+    last = decode_cursor(cursor)[0][:10] if cursor else "9999"
+    days = sorted((d for d in folders if d <= last), reverse=True)
+    width = 1
+    while width < len(days):
+        window = jobs.filter(F.col("ingest_day") >= F.lit(days[width - 1]).cast("date"))
+        if window.select("ingest_day").limit(rows).count() >= rows:
+            return window
+        width *= 2
+    return jobs
+
+
 def posting_summary(jobs: DataFrame) -> DataFrame:
     return jobs.select(
         "job_id", "provider", "title", "company", "remote_mode", "employment_type", "ingested_at", "retention_class",
@@ -126,10 +144,10 @@ def posting_summary(jobs: DataFrame) -> DataFrame:
     )
 
 
-def _page(jobs: DataFrame, page_size: int) -> DataFrame:
+def _page(jobs: DataFrame, page_size: int, cursor: str | None) -> DataFrame:
     """At most page_size summaries; the last row carries ``next_cursor`` when more follow."""
     size = checked(page_size, 1, PAGE_LIMIT, "page_size")
-    ahead = newest_first(posting_summary(jobs)).limit(size + 1)
+    ahead = newest_first(posting_summary(latest_days(jobs, size + 1, cursor))).limit(size + 1)
     # One page and a row are left, so one window over all of them is small by construction.
     rank = F.expr("row_number() OVER (ORDER BY ingested_at DESC, job_id DESC)")
     total = F.expr("count(*) OVER ()")
@@ -145,7 +163,7 @@ def list_postings(
     page_size: int = MAX_PAGE,
     cursor: str | None = None,
 ) -> DataFrame:
-    return _page(keyset_page(filter_postings(jobs, filters), cursor), page_size)
+    return _page(keyset_page(filter_postings(jobs, filters), cursor), page_size, cursor)
 
 
 def search_text(jobs: DataFrame) -> Column:
@@ -170,7 +188,7 @@ def search_postings(
         raise ValueError(f"a query has at most {MAX_QUERY} characters")
     needle = query.strip().lower()
     matching = filter_postings(keyset_page(jobs, cursor), filters).filter(F.contains(search_text(jobs), F.lit(needle)))
-    return _page(matching, page_size)
+    return _page(matching, page_size, cursor)
 
 
 # ---------------------------------------------------------------- deletion
