@@ -64,6 +64,8 @@ def _strict_csv(spark: SparkSession, path: str, ddl: str) -> tuple[DataFrame, Da
     Files of one call have one header; another order of columns in a later file is an error.
     """
     options = dict(header=True, multiLine=True, escape='"', ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False)
+    # Only a field without quotes is missing; a quoted empty one is an empty text.
+    options["nullValue"] = "\u0000"
     header = spark.read.options(**options).csv(path).columns
     schema = StructType([StructField(name, StringType()) for name in [*header, "_corrupt"]])
     # Every field is parsed, whichever columns are asked for; else a short row would pass unseen.
