@@ -90,5 +90,5 @@ def test_identifiers_over_several_hops(spark):
 
 def test_exact_copies_of_short_lines_go(spark):
     docs = [(1, "Contents\nSee also\n---\n\nan own line of words"), (2, "contents!\nsee, also\n---\n\nsee alsos"), (3, "日本語の行\nSee\nSee"), (4, "日本語の行\nan own line of words")]
-    got = line_dedup.dedup_lines(spark.createDataFrame(docs, "doc_id long, text string"), short_copies=True).collect()
+    got = line_dedup.dedup_lines(spark.createDataFrame(docs, "doc_id long, text string")).collect()
     assert {r.doc_id: r.text for r in got} == {1: docs[0][1], 2: "---\n\nsee alsos", 3: "日本語の行\nSee", 4: ""}
