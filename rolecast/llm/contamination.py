@@ -14,7 +14,7 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rolecast.llm.arrays import borders, mix, owners, span_hashes, text_chunks
@@ -26,6 +26,10 @@ MASKS = ("11101011", "10011111", "11001000111", "101000100111")
 #: An overlap has at least so many words, or the whole of a shorter item, ...
 MIN_WORDS = 13
 #: ... of which this share agrees in place.
+#: Stands for a null id in comparisons.
+NO_ID = -(1 << 63)
+#: Hits of a document that one row holds, with the texts of their items.
+HITS = 256
 MIN_SHARE = 0.8
 #: Shorter items are too common to be told from chance.
 MIN_ITEM_WORDS = 5
@@ -157,49 +161,45 @@ def best_overlap(same: np.ndarray, at: int, share: float) -> tuple[int, int]:
     return start, start + int(length[start])
 
 
-def overlaps(
-    docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id",
-    item_text_col: str = "text", masks: tuple[str, ...] = MASKS, min_words: int = MIN_WORDS, min_share: float = MIN_SHARE,
-    replaced_in_short: bool = False,
-) -> DataFrame:
-    """(doc_id, item_id, doc_word, item_word, n_words, n_same): overlaps of documents with test items.
-
-    Words are lower-cased runs of letters and digits. Each row is a stretch on one diagonal, from
-    word ``doc_word`` of the document and ``item_word`` of the item: at least ``min_words`` words
-    (or all of a shorter item) of which ``min_share`` agree in place. Items of under five words,
-    null and empty texts give nothing; neither do rows whose id is null, as nothing could be named.
-    Repeated rows give repeated overlaps once. Other columns are not read. With
-    ``replaced_in_short``, as in the query and the pipeline, items under ``min_words`` words are found with
-    replaced words too; without it those under the shortest mask are found whole only.
-    """
-    source = docs.select(
-        F.col(id_col).cast("long").alias("row"),
+def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(row, tie, text): a row is known by its id and the hash of its text, one without an id as well."""
+    return docs.select(
+        F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("row"),
         F.xxhash64(F.col(text_col).cast("string")).alias("tie"),
         F.col(text_col).cast("string").alias("text"),
-    ).filter("row is not null")
-    tests = items.select(F.col(item_col).cast("long").alias("id"), F.col(item_text_col).cast("string").alias("text")).filter("id is not null")
+    )
+
+
+def _found(source: DataFrame, tests: DataFrame, masks: tuple[str, ...], min_words: int, min_share: float, replaced_in_short: bool) -> DataFrame:
+    """(row, tie, item_id, doc_word, item_word, n_words, n_same) of ``source(row, tie, text)`` and ``tests(id, text)``."""
     sizes = range(MIN_ITEM_WORDS, min_words if replaced_in_short else min(map(len, masks)))
     seeds = cut_lineage(item_seeds(tests, masks, sizes, replaced_in_short))
     short = sorted(r.size for r in seeds.filter("size > 0").select("size").distinct().collect())
     # A mask that two sizes share is hashed once.
     used = dict.fromkeys([*masks, *(mask for n in short for _, mask in short_masks(n, replaced_in_short))])
     found = document_seeds(source, tuple(used), seed_filter(seeds))
-    hits = (
+    hits = cut_lineage(
         found.join(seeds.select("id", "seed", F.col("place").alias("item_place")), "seed")
         .groupBy("row", "tie", "id", (F.col("place") - F.col("item_place")).alias("diagonal"))
         .agg(F.sort_array(F.collect_set("item_place")).alias("places"))
     )
-    # A document's hits: bounded by its own length times the items that share its words.
+    # A phrase may stand in any number of items: a document with many hits is worked on in several parts.
+    many = (
+        hits.groupBy("row", "tie").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > HITS)
+        .select("row", "tie", F.ceil(F.col("n") / HITS).cast("int").alias("parts"))
+    )
+    part = F.pmod(F.xxhash64("id", "diagonal"), F.coalesce("parts", F.lit(1))).cast("int")
     listed = cut_lineage(
-        hits.join(tests.select("id", F.col("text").alias("item_text")), "id")
-        .groupBy("row", "tie")
+        hits.join(many, ["row", "tie"], "left")
+        .join(tests.select("id", F.col("text").alias("item_text")), "id")
+        .groupBy("row", "tie", part.alias("part"))
         .agg(F.collect_list(F.struct("id", "diagonal", "places", "item_text")).alias("hits"))
     )
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out: list[tuple] = []
-            for doc, text, hits in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2)):
+            for doc, tie, text, hits in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), batch.column(3)):
                 (_, words, _, _), = words_of(pa.array([text.as_py()], pa.large_string()))
                 known: dict[str, np.ndarray] = {}
                 for hit in hits.as_py():
@@ -215,16 +215,58 @@ def overlaps(
                             continue
                         start, stop = best_overlap(same, at - low, min_share)
                         if stop - start >= min(min_words, len(item)):
-                            out.append((doc, hit["id"], start + low + hit["diagonal"], start + low, stop - start, int(same[start:stop].sum())))
+                            out.append((doc, tie, hit["id"], start + low + hit["diagonal"], start + low, stop - start, int(same[start:stop].sum())))
                             done = stop + low
-            columns = zip(*out) if out else [[]] * 6
+            columns = zip(*out) if out else [[]] * 7
             yield pa.RecordBatch.from_arrays(
-                [pa.array(list(c), pa.int64()) for c in columns], ["doc_id", "item_id", "doc_word", "item_word", "n_words", "n_same"]
+                [pa.array(list(c), pa.int64()) for c in columns], ["row", "tie", "item_id", "doc_word", "item_word", "n_words", "n_same"]
             )
 
     return (
         source.join(listed, ["row", "tie"])
-        .select("row", "text", "hits")
-        .mapInArrow(verify, "doc_id long, item_id long, doc_word long, item_word long, n_words long, n_same long")
+        .select("row", "tie", "text", "hits")
+        .mapInArrow(verify, "row long, tie long, item_id long, doc_word long, item_word long, n_words long, n_same long")
         .distinct()
     )
+
+
+def _tests(items: DataFrame, item_col: str, item_text_col: str) -> DataFrame:
+    """One row per different (id, text); those without an id have one number in common, with texts of their own."""
+    named = items.select(F.coalesce(F.col(item_col).cast("long"), F.lit(NO_ID)).alias("item_id"), F.col(item_text_col).cast("string").alias("text"))
+    return named.filter("text is not null").distinct().withColumn("id", F.xxhash64("item_id", "text"))
+
+
+def overlaps(
+    docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id",
+    item_text_col: str = "text", masks: tuple[str, ...] = MASKS, min_words: int = MIN_WORDS, min_share: float = MIN_SHARE,
+    replaced_in_short: bool = True,
+) -> DataFrame:
+    """(doc_id, item_id, doc_word, item_word, n_words, n_same): overlaps of documents with test items.
+
+    Words are lower-cased runs of letters and digits. Each row is a stretch on one diagonal, from
+    word ``doc_word`` of the document and ``item_word`` of the item: at least ``min_words`` words
+    (or all of a shorter item) of which ``min_share`` agree in place. Items of under five words,
+    null and empty texts give nothing. Documents and items without an id are looked at like others;
+    the id is null in their rows. Repeated rows give repeated overlaps once. Other columns are not
+    read. Without ``replaced_in_short`` items under the shortest mask are found whole only.
+    """
+    tests = _tests(items, item_col, item_text_col)
+    found = _found(_keyed(docs, id_col, text_col), tests.select("id", "text"), masks, min_words, min_share, replaced_in_short)
+    named = found.withColumnRenamed("item_id", "id").join(tests.select("id", "item_id"), "id")
+
+    def shown(column: str) -> Column:
+        return F.nullif(F.col(column), F.lit(NO_ID))
+
+    return named.select(shown("row").alias("doc_id"), shown("item_id").alias("item_id"), "doc_word", "item_word", "n_words", "n_same").distinct()
+
+
+def without_overlaps(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of ``docs``, all columns, whose text overlaps with no test item.
+
+    A row goes by its own text: one that shares its id, or the lack of one, with it stays.
+    """
+    tests = _tests(items, "item_id", "text")
+    found = _found(_keyed(docs, id_col, text_col), tests.select("id", "text"), MASKS, MIN_WORDS, MIN_SHARE, True)
+    gone = cut_lineage(found.select(F.col("row").alias("_row"), F.col("tie").alias("_tie")).distinct())
+    same = (F.coalesce(docs[id_col].cast("long"), F.lit(NO_ID)) == F.col("_row")) & (F.xxhash64(docs[text_col].cast("string")) == F.col("_tie"))
+    return docs.join(gone, same, "left_anti")

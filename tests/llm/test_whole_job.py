@@ -3,6 +3,8 @@
 import random
 from itertools import combinations
 
+from pyspark.sql import functions as F
+
 from rolecast.llm import contamination, line_dedup, private_data
 from rolecast.llm.repetition import repetition_rules
 
@@ -92,3 +94,19 @@ def test_exact_copies_of_short_lines_go(spark):
     docs = [(1, "Contents\nSee also\n---\n\nan own line of words"), (2, "contents!\nsee, also\n---\n\nsee alsos"), (3, "日本語の行\nSee\nSee"), (4, "日本語の行\nan own line of words")]
     got = line_dedup.dedup_lines(spark.createDataFrame(docs, "doc_id long, text string")).collect()
     assert {r.doc_id: r.text for r in got} == {1: docs[0][1], 2: "---\n\nsee alsos", 3: "日本語の行\nSee", 4: ""}
+
+
+def test_overlaps_without_ids_and_with_shared_ids(spark, monkeypatch):
+    monkeypatch.setattr(contamination, "HITS", 3)
+    item = "alpha beta gamma delta epsilon zeta eta theta iota kappa lambda mu nu xi"
+    docs = spark.createDataFrame(
+        [(None, f"before {item} after"), (None, "nothing of that kind"), (7, f"{item} again"), (7, "a clean text"), (8, None)],
+        "doc_id long, text string",
+    ).withColumn("row", F.lit("kept"))
+    # The phrase stands in many items, some without an id.
+    items = spark.createDataFrame([(k if k < 20 else None, f"{item} number {k}") for k in range(25)], "item_id long, text string")
+    got = contamination.overlaps(docs, items).collect()
+    assert {(r.doc_id, r.item_id) for r in got} == {(d, i) for d in (None, 7) for i in (*range(20), None)}
+    left = contamination.without_overlaps(docs, items)
+    assert left.columns == docs.columns
+    assert sorted((str(r.doc_id), str(r.text)) for r in left.collect()) == [("7", "a clean text"), ("8", "None"), ("None", "nothing of that kind")]
