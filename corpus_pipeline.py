@@ -7,12 +7,12 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rolecast.llm.contamination import overlaps
+from rolecast.llm.contamination import without_overlaps
 from rolecast.llm.line_dedup import dedup_lines
 from rolecast.llm.near_dup import first_documents
 from rolecast.llm.packing import pack
 from rolecast.llm.repetition import repetition_rules
-from rolecast.session import cut_lineage, work_dir
+from rolecast.session import work_dir
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 #: Columns of documents; every stage but the last returns them.
@@ -37,10 +37,8 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that overlap with no benchmark item. A row without an id is not looked at and stays."""
-    benchmark = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
-    found = cut_lineage(overlaps(docs, benchmark, replaced_in_short=True).select("doc_id").distinct())
-    return docs.join(found, "doc_id", "left_anti").select(*COLUMNS)
+    """Documents whose text overlaps with no benchmark item."""
+    return without_overlaps(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet")).select(*COLUMNS)
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
