@@ -2,9 +2,10 @@
 
 Pages of a host are ordered by path; each is held against the neighbour whose path shares the
 longer beginning. Text lines of the two are aligned by a longest common subsequence, and lines
-that both have are template, not content. Markup says which lines are certainly not content
-(menus, forms, scripts and the like) and which certainly are: those of an article element, which
-stay even where another page quotes them.
+that both have are template, not content. Markup is evidence: elements that cannot hold content
+(menus, forms, scripts and the like) are out, names of classes put lines in doubt or out, and the
+plain text of the main article, told by how much text it has, stays even where another page quotes
+it. All other lines are left to the differencing.
 """
 
 from __future__ import annotations
@@ -12,7 +13,9 @@ from __future__ import annotations
 import html
 import re
 from bisect import bisect_left
+from collections import Counter
 from collections.abc import Iterator
+from functools import lru_cache
 
 import pyarrow as pa
 import xxhash
@@ -38,7 +41,6 @@ BLOCK = set(
     "table tbody td tfoot th thead tr ul".split()
 )
 HEADINGS = {"h1", "h2", "h3", "h4", "h5", "h6"}
-MAIN = {"article", "main"}
 #: Elements that hold no content of a page.
 ASIDE = {"nav", "footer", "aside", "form", "head", "menu", "dialog", "button", "select", "svg", "object", "canvas", "audio", "video", "search"}
 ASIDE_ROLES = {"navigation", "banner", "contentinfo", "complementary", "search", "form", "dialog", "alertdialog", "alert", "menu", "menubar"}
@@ -47,62 +49,129 @@ ASIDE_WORDS = set(
     "ad ads adbox adsense advert adverts advertisement advertising sponsor sponsored promo promoted promotion sidebar cookie cookies "
     "consent gdpr notice notices disclaimer comment comments commentlist disqus respond reply replies newsletter subscribe signup "
     "popup modal overlay menu nav navbar navigation breadcrumb breadcrumbs toolbar pagination pager share sharing social related "
-    "recommended recommendations widget login banner masthead footer".split()
+    "recommended recommendations widget login banner masthead footer teaser teasers".split()
 )
 #: Marks of a template part only outside of an article, where a header holds no title of its own.
 OUTER_WORDS = {"header", "top", "bottom", "skip"}
+#: Words that say what shape a part has, not what it is about.
+SHAPE_WORDS = set(
+    "area bar block body bottom box button buttons card cards container footer form group header holder inner item items label left "
+    "link links list outer page panel post right row section site slot space text title top unit user wrap wrapper zone".split()
+)
+#: What markup says of a part: nothing against it, in doubt, no content.
+PLAIN, DOUBT, OUT = range(3)
+#: Places outside of any article: in the main element, or anywhere else.
+IN_MAIN, ELSEWHERE = -1, -2
+
+
+def _named(value: str, in_article: bool) -> int:
+    """What the names in a class or id say: OUT if one tells of nothing but template, DOUBT if it also tells of other things."""
+    says = PLAIN
+    for name in value.split():
+        words = set(WORD.findall(name))
+        marks = words & ASIDE_WORDS if in_article else words & (ASIDE_WORDS | OUTER_WORDS)
+        if marks:
+            rest = words - ASIDE_WORDS - SHAPE_WORDS - OUTER_WORDS
+            says = max(says, OUT if all(w.isdigit() for w in rest) else DOUBT)
+    return says
 
 
-def _aside(name: str, attributes: str, in_main: bool) -> bool:
-    if name in ASIDE or (name == "header" and not in_main):
-        return True
-    if not attributes or name in ("html", "body", *MAIN):
-        return False
+@lru_cache(maxsize=4096)
+def _evidence(name: str, attributes: str, in_article: bool) -> int:
+    """PLAIN, DOUBT or OUT for what stands in an element.
+
+    Inside an article an id may name the topic of a section, so that it gives a doubt at most.
+    """
+    if name in ASIDE or (name == "header" and not in_article):
+        return OUT
+    if not attributes or name in ("html", "body", "main"):
+        return PLAIN
+    says = PLAIN
     for m in ATTRIBUTE.finditer(attributes):
         key = m[1].lower()
         value = (m[2] or m[3] or m[4] or "").lower()
-        if key in ("class", "id"):
-            words = set(WORD.findall(value))
-            if words & ASIDE_WORDS or (not in_main and words & OUTER_WORDS):
-                return True
+        if key == "class":
+            says = max(says, _named(value, in_article))
+        elif key == "id":
+            says = max(says, min(_named(value, in_article), DOUBT if in_article else OUT))
         elif key == "role" and value in ASIDE_ROLES:
-            return True
+            return OUT
         elif key == "hidden" or (key == "aria-hidden" and value == "true"):
-            return True
+            return OUT
         elif key == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value):
-            return True
-    return False
+            return OUT
+    return says
+
+
+def _content_places(prose: Counter[int], inner: set[int]) -> set[int]:
+    """The places that hold the page's content, by their letters outside of links.
+
+    That is the longest article, with others that stand beside it and are half as long; an article
+    within another (a reader's answer, say) counts only if it is the longest. Where text outside of
+    articles is over twice as long, the articles are teasers and that text is the content.
+    """
+    articles = [a for a in prose if a >= 0]
+    main, elsewhere = prose[IN_MAIN], prose[ELSEWHERE]
+    if articles:
+        best = max(articles, key=lambda a: (prose[a], -a))
+        if 2 * prose[best] >= max(main, elsewhere):
+            return {best, *(a for a in articles if a not in inner and 2 * prose[a] >= prose[best])}
+    return {IN_MAIN} if IN_MAIN in prose and 2 * main >= elsewhere else {ELSEWHERE}
 
 
 def page_lines(page: str) -> list[tuple[str, bool, bool]]:
-    """(text, content, certain) of each block: ``content`` unless markup says no, ``certain`` within an article."""
-    lines: list[tuple[str, bool, bool]] = []
+    """(text, content, certain) of each block: ``content`` unless markup says no, ``certain`` if it is also in no doubt.
+
+    Certain are plain lines of an article, other than those that are links as a whole.
+    """
+    lines: list[tuple[str, int, int, bool]] = []
     parts: list[str] = []
-    #: Open elements: name, then how they change what is inside.
-    open_tags: list[tuple[str, bool, bool]] = []
-    aside = header = main = 0
-    has_main = False
-    at = 0
+    #: Open elements: name, what they say, whether a header of an article, the article they open (or none).
+    open_tags: list[tuple[str, int, bool, int | None]] = []
+    #: How many elements of a name are open, and how many say DOUBT or OUT.
+    opened: Counter[str] = Counter()
+    said = [0, 0, 0]
+    header = 0
+    articles: list[int] = []
+    inner: set[int] = set()
+    #: Letters outside of links by place; an article that says OUT is none.
+    prose: Counter[int] = Counter()
+    linked = plain = False
+    at = count = 0
 
     def flush() -> None:
+        nonlocal plain
         text = " ".join(html.unescape("".join(parts)).split()) if parts else ""
         parts.clear()
         if text:
-            heading = any(t[0] in HEADINGS for t in open_tags[-4:]) if header else True
-            lines.append((text, not aside and heading, bool(main)))
+            level = OUT if said[OUT] else DOUBT if said[DOUBT] else PLAIN
+            if header and not any(t[0] in HEADINGS for t in open_tags[-4:]):
+                level = OUT
+            place = articles[-1] if articles else IN_MAIN if opened["main"] else ELSEWHERE
+            lines.append((text, level, place, plain))
+            if level < OUT:
+                prose[place] += len(text) if plain else 0
+        plain = False
+
+    def add(text: str) -> None:
+        nonlocal plain
+        parts.append(text)
+        plain = plain or (not linked and not text.isspace())
 
     def close(position: int) -> None:
-        nonlocal aside, header, main
-        for name, is_aside, is_header in open_tags[position:]:
-            aside -= is_aside
+        nonlocal header
+        for name, says, is_header, article in open_tags[position:]:
+            opened[name] -= 1
+            said[says] -= 1
             header -= is_header
-            main -= name in MAIN
+            if article is not None:
+                articles.pop()
         del open_tags[position:]
 
     # What is found inside raw text is no tag, so the search goes on from where that ends.
     while m := TAG.search(page, at):
         if m.start() > at:
-            parts.append(page[at : m.start()])
+            add(page[at : m.start()])
         at = m.end()
         if m[2] is None:
             continue
@@ -112,10 +181,11 @@ def page_lines(page: str) -> list[tuple[str, bool, bool]]:
         elif name == "br":
             parts.append(" ")
         if m[1]:
-            for position in range(len(open_tags) - 1, -1, -1):
-                if open_tags[position][0] == name:
-                    close(position)
-                    break
+            if name == "a":
+                linked = False
+            # Without the count, stray end tags would each search all open elements.
+            if opened[name]:
+                close(next(k for k in range(len(open_tags) - 1, -1, -1) if open_tags[k][0] == name))
             continue
         if name in RAW:
             end = re.compile(rf"</{re.escape(name)}(?=[\s/>]|\Z)", re.I).search(page, at)
@@ -125,19 +195,32 @@ def page_lines(page: str) -> list[tuple[str, bool, bool]]:
             continue
         if name in BLOCK and open_tags and open_tags[-1][0] == "p":
             close(len(open_tags) - 1)
-        is_aside = _aside(name, m[3], bool(main))
-        is_header = name == "header" and main > 0 and not is_aside
-        open_tags.append((name, is_aside, is_header))
-        aside += is_aside
+        if name == "a":
+            linked = "href" in m[3].lower()
+        says = _evidence(name, m[3], bool(articles))
+        is_header = name == "header" and bool(articles)
+        article = None
+        if name == "article":
+            article, count = count, count + 1
+            if articles:
+                inner.add(article)
+            articles.append(article)
+            if says < OUT and not said[OUT]:
+                prose[article] += 0
+        elif name == "main" and not said[OUT]:
+            prose[IN_MAIN] += 0
+        open_tags.append((name, says, is_header, article))
+        opened[name] += 1
+        said[says] += 1
         header += is_header
-        main += name in MAIN
-        has_main |= name in MAIN and not aside
     if at < len(page):
-        parts.append(page[at:])
+        add(page[at:])
     flush()
-    if not has_main:
-        return [(text, content, False) for text, content, _ in lines]
-    return [(text, content and certain, certain) for text, content, certain in lines]
+    places = _content_places(prose, inner)
+    return [
+        (text, level < OUT and place in places, level == PLAIN and place in places and place >= 0 and plain)
+        for text, level, place, plain in lines
+    ]
 
 
 def common_lines(a: list[int], b: list[int]) -> list[int]:
@@ -222,7 +305,7 @@ def page_texts(pages: DataFrame, id_col: str = "page_id", url_col: str = "url",
 
     Pages are paired over the distinct (host, path) of a host, so that copies of one page are not
     held against each other; the page with the smallest key stands for its place. Pages without a
-    host have no neighbour and keep their unshared lines. A null page is an empty one; null or
+    host have no neighbour and keep all lines that markup does not rule out. A null page is an empty one; null or
     repeated ids and repeated rows are worked on each by itself, equal rows alike. Other columns
     are not read.
     """

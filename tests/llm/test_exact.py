@@ -3,6 +3,7 @@
 import collections
 import hashlib
 import html
+import os
 import random
 import re
 import zlib
@@ -435,6 +436,69 @@ def test_shared_lines_go_where_no_article_is_marked(spark):
     assert got == {**{n: f"Text {n}\nMore of {n}" for n in range(6)}, 9: "Top of all pages\nOnly <here>"}
 
 
+STORY = "<h1>Title</h1><p>" + "Words of the story. " * 6 + "</p>"
+TOLD = ["Title", ("Words of the story. " * 6).strip()]
+
+
+@pytest.mark.parametrize(
+    "page, expected",
+    [
+        # Comments, adverts and teasers in articles of their own, beside and inside.
+        (f"<article>{STORY}</article><article class='comment'><p>Great!</p></article><article class='ad promo'>Buy</article>", TOLD),
+        (f"<article>{STORY}<article><p>An answer</p></article></article>", TOLD),
+        (f"<main><article>{STORY}</article><article><h2><a href='/x'>Another story</a></h2></article></main>", TOLD),
+        # An article that is an advert, or little beside the text around it, is not the content.
+        ("<article class='ad'>Buy now</article><div><p>The body text</p></div>", ["The body text"]),
+        (f"<div>{STORY}</div><article><h2>More</h2></article>", TOLD),
+        # Names that also tell of a topic, and ids inside an article, take nothing away.
+        (
+            f"<article>{STORY}<section class='notice-period'><p>Three months.</p></section><section id='social'><p>On clubs.</p></section></article>",
+            [*TOLD, "Three months.", "On clubs."],
+        ),
+        (f"<article>{STORY}<div class='share-buttons'>Send</div><div class='comment-list'>First!</div></article>", TOLD),
+        # Two articles of like length are both content.
+        (f"<article>{STORY}</article><article>{STORY}</article>", TOLD * 2),
+    ],
+)
+def test_main_article(page, expected):
+    assert [text for text, content, _ in page_text.page_lines(page) if content] == expected
+
+
+def test_many_stray_tags():
+    for page in ("<b>" * 50_000 + "</i>" * 50_000, "<div>" * 50_000 + "</p>" * 50_000, "<article>" * 20_000):
+        assert page_text.page_lines(page + "end")[0][0] == "end"
+
+
+def test_differencing_against_brute_force(spark):
+    """Lines in doubt go where the page of the nearest URL has them, in articles and outside; the others stay."""
+    rng = random.Random(21)
+    frame = [f"Frame line {k}" for k in range(12)]
+    rows, told = [], {}
+    for n in range(60):
+        host, path = f"h{n % 3}.example", f"/{rng.choice('abc')}/{rng.choice('xyz')}/{n}"
+        # Shared lines keep their order, so that the longest common subsequence is all of them.
+        lines = [x for x in frame if rng.random() < 0.6]
+        for k in range(4):
+            lines.insert(rng.randrange(len(lines) + 1), f"Own line {n} {k}")
+        article = n % 2
+        # In every article the even frame lines are plain, the odd ones links as a whole.
+        linked = {x for x in frame[1::2]} if article else set()
+        blocks = "".join(f"<p><a href='/'>{x}</a></p>" if x in linked else f"<p>{x}</p>" for x in lines)
+        rows.append((n, f"http://{host}{path}", f"<article>{blocks}</article>" if article else f"<body>{blocks}</body>"))
+        told[n] = (host, path, lines, linked if article else set(lines))
+    expected = {}
+    for n, (host, path, lines, doubtful) in told.items():
+        order = sorted((p, m) for m, (h, p, _, _) in told.items() if h == host)
+        at = order.index((path, n))
+        near = [order[k] for k in (at - 1, at + 1) if 0 <= k < len(order)]
+        # The longer common beginning; the earlier page among equals.
+        other = told[max(near, key=lambda pm: (len(os.path.commonprefix([path, pm[0]])), -order.index(pm)))[1]][2]
+        expected[n] = "\n".join(x for x in lines if x not in doubtful or x not in other)
+    got = page_text.page_texts(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
+    assert {r.page_id: r.text for r in got} == expected
+    assert any(len(expected[n].split("\n")) < len(told[n][2]) for n in told if n % 2)
+
+
 # ------------------------------------------------------------------ 1
 
 
