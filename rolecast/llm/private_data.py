@@ -1,13 +1,16 @@
-"""Personal data: four fixed kinds, and identifiers found by the contexts that those stand in.
+"""Personal data: four fixed kinds, and identifiers found by the contexts that known ones stand in.
 
-The fixed kinds are seeds. The words around a seed form lexical patterns; patterns and the
-tokens they meet form a graph, which is scored in turns: a pattern by the share of known tokens
-it meets, a token by its best pattern. Patterns of high confidence then name tokens that no
-fixed kind describes, and these are seeds for further patterns. Only column functions are used.
+The fixed kinds and tokens shaped like credentials are seeds. The words around a seed form lexical
+patterns; patterns and the tokens they meet form a graph, which is scored in turns: a pattern by
+the share of known tokens it meets, a token by its best pattern. Patterns of high confidence then
+name tokens, and these are seeds for further patterns. A token of a credential's shape is named
+by its context too, never by its shape alone. Only column functions are used.
 """
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -28,6 +31,15 @@ TOKEN = r"(?<![^\x20\x09-\x0D])[^\x20\x09-\x0D0-9]*+[0-9][^\x20\x09-\x0D]*+"
 LEADING, TRAILING = r"""^[(\[{<"']++""", r"""(?<![)\]}>"'.,;:!?])[)\]}>"'.,;:!?]++$"""
 MIN_TOKEN = 6
 FOUND = "id"
+#: Tokens of these shapes are seeds besides the fixed kinds: digests and keys in hex, keys with a
+#: short prefix of letters, signed tokens of three parts, and account numbers of two letters and two digits.
+SEED_SHAPES = (
+    r"[0-9a-f]{32,}",
+    r"[0-9A-F]{32,}",
+    r"[A-Za-z]{2,8}[_-][A-Za-z0-9_-]{20,}",
+    r"[A-Za-z0-9_-]{16,}\.[A-Za-z0-9_-]{16,}\.[A-Za-z0-9_-]{16,}",
+    r"[A-Z]{2}[0-9]{2}[A-Z0-9]{11,30}",
+)
 #: Characters of the text on either side that patterns may see.
 CONTEXT = 80
 ROUNDS = 3
@@ -116,13 +128,16 @@ def with_patterns(spans: DataFrame) -> DataFrame:
     return shaped.withColumn("patterns", F.array_compact(patterns)).drop("left", "right", "before", "after")
 
 
-def trusted_patterns(spans: DataFrame) -> DataFrame:
+def trusted_patterns(spans: DataFrame, seed_shapes: Sequence[str] = SEED_SHAPES) -> DataFrame:
     """(pattern) of high confidence. Patterns and values are scored in turn, for some rounds at a time.
 
-    The values of trusted patterns are seeds of the next rounds, until no further pattern is trusted.
+    Values of the fixed kinds and of the given shapes are seeds. The values of trusted patterns are seeds of the next rounds, until no further pattern is trusted.
     """
+    seed = F.col("kind") != FOUND
+    if seed_shapes:
+        seed = seed | F.col("value").rlike(f"^(?:{'|'.join(seed_shapes)})$")
     edges = cut_lineage(
-        spans.select(F.explode("patterns").alias("pattern"), "value", (F.col("kind") != FOUND).cast("int").alias("seed"))
+        spans.select(F.explode("patterns").alias("pattern"), "value", seed.cast("int").alias("seed"))
         .groupBy("pattern", "value")
         .agg(F.max("seed").alias("seed"))
     )
@@ -154,11 +169,14 @@ def trusted_patterns(spans: DataFrame) -> DataFrame:
         known = cut_lineage(base.unionByName(found).distinct())
 
 
-def personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def personal_data(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", seed_shapes: Sequence[str] = SEED_SHAPES
+) -> DataFrame:
     """(doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans, n_found), one row per document.
 
     ``spans`` lists ``kind:start:end`` in code points by start, then kind; identifiers found by
     context have the kind ``id`` and come last. ``base_sha256`` is the digest of the list without them.
+    ``seed_shapes`` are patterns of whole tokens that are seeds besides the fixed kinds.
     A null or empty text has no spans. A null id is passed on; equal rows are judged once and all
     listed. Other columns are not read.
     """
@@ -167,7 +185,7 @@ def personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
         F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("row"), F.xxhash64(text).alias("tie"), text.alias("text")
     )
     spans = cut_lineage(with_patterns(placed_spans(source)))
-    trusted = trusted_patterns(spans)
+    trusted = trusted_patterns(spans, seed_shapes)
     named = (
         spans.filter(F.col("kind") == FOUND)
         .select("row", "tie", "kind", "start", "end", F.explode("patterns").alias("pattern"))

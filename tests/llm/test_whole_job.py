@@ -87,6 +87,20 @@ def test_identifiers_over_several_hops(spark):
             assert got[d].spans == f"id:{text.index(value)}:{text.index(value) + len(value)}"
 
 
+def test_credentials_are_seeds_of_their_contexts(spark):
+    keys = [f"{n * 0x9E3779B97F4A7C15 + 7:040x}" for n in range(1, 7)]
+    docs = [(n, f'some words and token = "{k}" more words') for n, k in enumerate(keys)]
+    # Found by the context alone, as no shape fits; a lone key in no known context is not named.
+    docs += [(50, 'here token = "pass-77-word" follows'), (51, f"the commit {keys[0][::-1]} was late"), (52, "it cost 1234567 in all")]
+    frame = spark.createDataFrame(docs, "doc_id long, text string")
+    got = {r.doc_id: r for r in private_data.personal_data(frame).collect()}
+    for d, text in docs[: len(keys) + 1]:
+        start = text.index('"') + 1
+        assert got[d].spans == f"id:{start}:{text.index(chr(34), start)}"
+    assert got[51].n_found == got[52].n_found == 0
+    assert all(r.n_found == 0 for r in private_data.personal_data(frame, seed_shapes=()).collect())
+
+
 # ------------------------------------------------------------------ 4
 
 
