@@ -309,6 +309,37 @@ def test_passages(spark):
         assert kept + texts[r.doc_id][at:] == r.text
 
 
+def test_short_passages_in_unlike_surroundings(spark):
+    rng = random.Random(11)
+
+    def letters(n):
+        return "".join(rng.choices("abcdefghijklmnop ", k=n))
+
+    rows, size = [], {}
+    for k in range(600):
+        size[2 * k + 1] = (250, 300, 150)[k % 3]
+        passage = letters(size[2 * k + 1])
+        rows += [(2 * k, f"{letters(300)}<{passage}>{letters(300)}"), (2 * k + 1, f"{letters(90)}({passage}){letters(400)}")]
+    texts = dict(rows)
+    # An equal row is treated alike.
+    got = chunk_dedup.repeated_passages(spark.createDataFrame([*rows, rows[1]], "doc_id long, text string")).collect()
+    caught = {r.doc_id for r in got}
+    assert all(d in size for d in caught)
+    for length, least in ((250, 0.97), (300, 0.99)):
+        held = [d for d, n in size.items() if n == length]
+        assert sum(d in caught for d in held) >= least * len(held), length
+    for r in got:
+        for s in r.spans:
+            assert texts[r.doc_id][s.start : s.end] in texts[r.doc_id - 1] and r.first_docs == [r.doc_id - 1]
+            assert s.end - s.start >= 100
+    print({n: sum(d in caught for d in size if size[d] == n) / 200 for n in (150, 250, 300)})
+
+
+def test_common_start():
+    for a, b, n in ((b"", b"x", 0), (b"abc", b"abc", 3), (b"abcd", b"abxd", 2), (b"abc", b"abcdef", 3), (b"x", b"y", 0)):
+        assert chunk_dedup.common_start(a, b) == n
+
+
 def test_cuts_follow_the_bytes_nearby():
     rng = random.Random(10)
     data = bytes(rng.randrange(256) for _ in range(3000))
