@@ -91,13 +91,23 @@ def skill_name_pattern(skill: Column) -> Column:
     return F.concat(F.lit(f"(?iu){NOT_AFTER_WORD}"), escape_regex(trimmed), tail)
 
 
+#: Letters that patterns take for an ASCII one when they ignore case, but that lower case keeps apart.
+_KIN = ("\u0130\u0131\u017f", "iis")
+
+
 def word_tokens(col: Column) -> Column:
     """Distinct lower-case ASCII words, and every other character that is no space by itself."""
-    return F.array_distinct(F.regexp_extract_all(F.lower(col), F.lit(r"[a-z0-9_]+|[^a-z0-9_\s]"), F.lit(0)))
+    # Lower case makes a sigma at the end of a word another letter.
+    lower = F.translate(F.lower(F.translate(col, *_KIN)), "\u03c2", "\u03c3")
+    return F.array_distinct(F.regexp_extract_all(lower, F.lit(r"[a-z0-9_]+|[^a-z0-9_\s]"), F.lit(0)))
+
+
+def needed_tokens(phrase: Column) -> Column:
+    """ASCII words of a phrase, or its characters where it has none. A delimited phrase can only occur
+    in a text that holds each of these tokens, so any of them is an exact equi-join key."""
 
+    def chosen(tokens: Column) -> Column:
+        named = F.filter(tokens, lambda t: t.rlike("^[a-z0-9_]"))
+        return F.when(F.size(named) > 0, named).otherwise(tokens)
 
-def lead_token(col: Column) -> Column:
-    """First ASCII word of a phrase, or its first character where it has none. A delimited phrase can
-    only occur in a text that holds this token, which makes it an exact equi-join key."""
-    word = F.regexp_extract(F.lower(col), "[a-z0-9_]+", 0)
-    return F.when(word != "", word).otherwise(F.regexp_extract(F.lower(col), r"\S", 0))
+    return F.transform(F.array(word_tokens(phrase)), chosen)[0]

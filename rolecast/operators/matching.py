@@ -14,7 +14,6 @@ from pyspark.sql import functions as F
 
 from rolecast.functions.regex import (
     js_trim,
-    lead_token,
     phrase_pattern,
     rx,
     skill_name_pattern,
@@ -23,6 +22,7 @@ from rolecast.functions.regex import (
 )
 from rolecast.functions.similarity import round2
 from rolecast.functions.skills import Taxonomy, skill_category
+from rolecast.plans.phrases import may_hold
 
 SCORING_VERSION = "fit-v1"
 DISCLAIMER = "Decision support only; not a prediction of hiring outcome."
@@ -135,13 +135,12 @@ def wanted_skills(features: DataFrame) -> DataFrame:
 def profile_skill_hits(profiles: DataFrame, skills: DataFrame) -> DataFrame:
     """(profile_id, skill) where the profile lists the skill or names it in a role.
 
-    A skill name can only occur in a text that holds its first word whole, so skills and texts
-    meet on that word and only those few are matched by pattern.
+    A skill name can only occur in a text that holds each of its words whole, so skills and texts
+    meet on the rarest of them and only those few are matched by pattern.
     """
     wanted = skills.select(
         "skill",
         F.lower(js_trim(F.col("skill"))).alias("folded"),
-        lead_token(F.col("skill")).alias("token"),
         skill_name_pattern(F.col("skill")).alias("pattern"),
     ).filter("folded <> ''")
     listed = profiles.select("profile_id", F.explode("skills.name").alias("name")).select(
@@ -155,7 +154,8 @@ def profile_skill_hits(profiles: DataFrame, skills: DataFrame) -> DataFrame:
     )
     place = ["profile_id", "role_no", "no"]
     # Words meet skills without the texts; a text is fetched once per skill it may name.
-    met = texts.select(*place, F.explode(word_tokens(F.col("text"))).alias("token")).join(wanted, "token").drop("token", "folded")
+    worded = texts.select(*place, word_tokens(F.col("text")).alias("tokens"))
+    met = may_hold(worded, place, wanted.select("skill", "pattern"), "skill")
     by_text = met.join(texts, place).filter(F.expr("text rlike pattern")).select("profile_id", "skill")
     return by_name.unionByName(by_text).distinct()
 
@@ -353,12 +353,10 @@ def deal_breaker_phrases(profiles: DataFrame) -> DataFrame:
 def phrase_hits(postings: DataFrame, phrases: DataFrame) -> DataFrame:
     """(job_id, phrase) where a posting text holds the phrase as whole words.
 
-    Phrases meet postings on their first word; the phrase list is distinct and normally small
+    Phrases meet postings on their rarest word; the phrase list is distinct and normally small
     enough for the optimizer to broadcast by measured size.
     """
-    wanted = phrases.select("phrase").distinct().select(
-        "phrase", lead_token(F.col("phrase")).alias("token"), phrase_pattern(F.col("phrase")).alias("pattern")
-    )
+    wanted = phrases.select("phrase").distinct().select("phrase", phrase_pattern(F.col("phrase")).alias("pattern"))
     texts = F.concat(
         F.array("title", "description"),
         F.transform("must_have", lambda r: r.text),
@@ -370,7 +368,7 @@ def phrase_hits(postings: DataFrame, phrases: DataFrame) -> DataFrame:
     searched = postings.select("job_id", texts.alias("_texts"))
     tokens = F.array_distinct(F.flatten(F.transform("_texts", word_tokens)))
     # Words meet phrases without the texts; a posting's texts are fetched once per phrase it may hold.
-    met = searched.select("job_id", F.explode(tokens).alias("token")).join(wanted, "token").drop("token")
+    met = may_hold(searched.select("job_id", tokens.alias("tokens")), ["job_id"], wanted, "phrase")
     found = met.join(searched, "job_id").filter(F.exists("_texts", lambda t: F.rlike(t, F.col("pattern"))))
     return found.select("job_id", "phrase")
 

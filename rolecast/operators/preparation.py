@@ -8,8 +8,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from rolecast.functions.regex import js_trim, lead_token, skill_name_pattern, word_tokens
+from rolecast.functions.regex import js_trim, skill_name_pattern, word_tokens
 from rolecast.operators.ingest import shown, warning_if
+from rolecast.plans.phrases import may_hold
 
 SNIPPET = 300
 
@@ -154,7 +155,6 @@ def skill_evidence(profiles: DataFrame, skills: DataFrame, k: int | None = None)
         "skill",
         js_trim(F.col("skill")).alias("name"),
         F.lower(js_trim(F.col("skill"))).alias("folded"),
-        lead_token(F.col("skill")).alias("token"),
         skill_name_pattern(F.col("skill")).alias("pattern"),
     )
     fields = profile_text(profiles)
@@ -167,11 +167,8 @@ def skill_evidence(profiles: DataFrame, skills: DataFrame, k: int | None = None)
     )
     texts = fields.filter("kind = 'text'")
     # Words meet skills without the texts; a text is fetched once per skill it may show.
-    met = (
-        texts.select("profile_id", "place", F.explode(word_tokens(F.col("text"))).alias("token"))
-        .join(wanted, "token")
-        .drop("token", "folded")
-    )
+    worded = texts.select("profile_id", "place", word_tokens(F.col("text")).alias("tokens"))
+    met = may_hold(worded, ["profile_id", "place"], wanted.select("skill", "name", "pattern"), "skill")
     told = (
         met.join(texts, ["profile_id", "place"])
         .withColumn("position", F.expr("regexp_instr(text, pattern)"))
