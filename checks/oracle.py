@@ -730,6 +730,8 @@ add("stream_ingest", [t.PAGE_SQL, f"""judged AS (SELECT *, {VERDICT} AS verdict
     """SELECT job_id, verdict, source_url, marked FROM told
   UNION ALL SELECT 'job_f' || substr(job_id, 6), verdict, source_url, CASE WHEN verdict = 'OK' THEN true END FROM told""")
 add("stream_exact_dedupe", COPIES, "SELECT DISTINCT fp AS fingerprint FROM cp")
+add("stream_repeats", COPIES, """SELECT job_id, first_job_id, fp AS fingerprint FROM (
+  SELECT job_id, fp, first_value(job_id) OVER (PARTITION BY fp ORDER BY ingested_at, job_id) AS first_job_id FROM cp) WHERE job_id <> first_job_id""")
 add("stream_near_dedupe", BATCH, "SELECT job_id, existing_job_id, reason FROM dup")
 
 # A CTE list that continues in the select starts with a comma there.

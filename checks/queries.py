@@ -739,6 +739,15 @@ def q_stream_exact_dedupe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(path).select("fingerprint")
 
 
+def q_stream_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Copies that a stream drops, each with the posting that stays."""
+    stream = _stream(spark, sf_dir, copies, "arriving-copies")
+    path = work_dir(spark, "later-copies")
+    writer = flows.stream_repeats(stream, "3650 days").writeStream.format("parquet").option("path", path)
+    writer.option("checkpointLocation", work_dir(spark, "progress")).trigger(availableNow=True).start().awaitTermination()
+    return spark.read.parquet(path).select("job_id", "first_job_id", "fingerprint")
+
+
 def q_stream_near_dedupe(spark: SparkSession, sf_dir: str) -> DataFrame:
     path, progress = work_dir(spark, "found-copies"), work_dir(spark, "progress")
     batches = _halves(copies(spark, sf_dir))

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from rolecast.functions.skills import Taxonomy
 from rolecast.operators.similarity_index import check_and_extend
@@ -59,6 +61,46 @@ def stream_exact_dedupe(stream: DataFrame, delay: str) -> DataFrame:
     return stream.withWatermark("ingested_at", delay).dropDuplicatesWithinWatermark(["fingerprint"])
 
 
+def _name_first(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+    if state.hasTimedOut:
+        state.remove()
+        return
+    first, until = state.get if state.exists else (None, 0)
+    # Part by part, so a fingerprint of very many postings is never held as a whole.
+    for part in parts:
+        part = part.sort_values(["at", "job_id"])
+        named = []
+        for job_id, at, ends in zip(part["job_id"], part["at"], part["until"]):
+            if first is None or at >= until:
+                first, until = job_id, int(ends)
+                named.append(None)
+            else:
+                named.append(first)
+        part = part.assign(first_job_id=named)
+        yield part.loc[part["first_job_id"].notna(), ["job_id", "first_job_id", "fingerprint", "ingested_at"]]
+    state.update((first, until))
+    state.setTimeoutTimestamp(until // 1000 + 1)
+
+
+def stream_repeats(stream: DataFrame, delay: str) -> DataFrame:
+    """(job_id, first_job_id, fingerprint, ingested_at) of each posting that repeats an earlier one within ``delay``.
+
+    The counterpart of ``stream_exact_dedupe``: what that drops, with the posting that stays. State is
+    one (posting, end of its time) per fingerprint and goes when the watermark passes that end. A
+    repost at that end or later is a new first. Of one micro-batch the earliest posting is the
+    first; postings behind the watermark are dropped, and so are those without a fingerprint or time.
+    """
+    timed = stream.filter("fingerprint IS NOT NULL AND ingested_at IS NOT NULL").withWatermark("ingested_at", delay).select(
+        "fingerprint", "job_id", "ingested_at",
+        F.unix_micros("ingested_at").alias("at"),
+        F.unix_micros(F.expr(f"ingested_at + INTERVAL '{delay}'")).alias("until"),
+    )
+    return timed.groupBy("fingerprint").applyInPandasWithState(
+        _name_first, "job_id string, first_job_id string, fingerprint string, ingested_at timestamp",
+        "first_job_id string, until long", "append", GroupStateTimeout.EventTimeTimeout,
+    )
+
+
 def stream_near_dedupe(source: DataFrame, path: str, checkpoint: str, available_now: bool = True) -> StreamingQuery:
     """Write (job_id, existing_job_id, reason) of each micro-batch below ``path/found``.
 
