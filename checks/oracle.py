@@ -722,6 +722,15 @@ add("audit_rows", AUDIT, f"SELECT id, {stamp('aud.at')} AS at, tool, request_id,
 add("recent_audit", AUDIT, "SELECT id, tool, outcome, error_code FROM aud ORDER BY id DESC LIMIT 1000")
 add("outcome_report", AUDIT, "SELECT tool, outcome, error_code, count(*) AS calls FROM aud GROUP BY 1, 2, 3")
 
+# ---------------------------------------------------------------- checks across fields
+
+add("posting_violations", [t.RAW_SQL, TYPED_SQL, REQ_SQL], """SELECT job_id, 'experience_range' AS rule FROM typed WHERE exp_min < exp_max
+  UNION ALL SELECT job_id, 'compensation_range' FROM typed WHERE pay_min < pay_max
+  UNION ALL SELECT job_id, 'preferred_is_required' FROM req WHERE len(required) > 0
+  UNION ALL SELECT job_id, 'flagged_requirement' FROM req WHERE len(flags) > 0""")
+add("match_violations", FIT, """SELECT job_id, profile_id, 'unknown_without_score' AS rule FROM fit WHERE n_unknown > 0
+  UNION ALL SELECT job_id, profile_id, unnest(['dimension_list', 'blocked_score']) FROM fit WHERE len(blockers) > 0""")
+
 # ---------------------------------------------------------------- streaming
 
 # Every page comes again under another id; pages of the same text meet in the first round already.

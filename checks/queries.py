@@ -12,7 +12,7 @@ from rolecast.functions import parsing, similarity, text, urls
 from rolecast.functions.injection import injection_signals
 from rolecast.functions.sections import with_section_items
 from rolecast.functions.skills import Taxonomy, match_skills
-from rolecast.operators import duplicates, governance, ingest, matching, preparation, requirements, similarity_index, store
+from rolecast.operators import consistency, duplicates, governance, ingest, matching, preparation, requirements, similarity_index, store
 from rolecast.operators.postings import normalize_postings
 from rolecast.operators.shortlist import match_reasons, shortlist
 from rolecast.plans.ingest_flow import ingest_postings
@@ -698,6 +698,36 @@ def q_outcome_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return governance.outcome_report(_audit(spark, sf_dir))
 
 
+# ---------------------------------------------------------------- checks across fields
+
+
+def q_posting_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Postings with ranges turned round, required skills also preferred, and flagged texts also asked for."""
+    none = F.array().cast("array<string>")
+    spoilt = postings(spark, sf_dir).withColumns(
+        {
+            "experience": F.struct(F.col("experience.max_years").alias("min_years"), F.col("experience.min_years").alias("max_years")),
+            "compensation": F.struct(F.col("compensation.max").alias("min"), F.col("compensation.min").alias("max")),
+            "preferred_skills": F.concat("preferred_skills", F.slice("required_skills", 1, 1)),
+            "preferred": F.transform("discriminatory_flags", lambda f: F.struct(f.text.alias("text"), none.alias("skills"))),
+        }
+    )
+    return consistency.posting_violations(spoilt)
+
+
+def q_match_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Results whose unknown dimensions are called missing; blocked pairs list a dimension twice and go over the cap."""
+    blocked = F.size("blockers") > 0
+    called = F.transform("dimensions", lambda d: d.withField("status", F.when(d.status == "unknown", "missing").otherwise(d.status)))
+    spoilt = _scored(spark, sf_dir).withColumn("dimensions", called).withColumns(
+        {
+            "dimensions": F.when(blocked, F.concat("dimensions", F.slice("dimensions", 1, 1))).otherwise(F.col("dimensions")),
+            "fit_score": F.when(blocked, 0.31).otherwise(F.col("fit_score")),
+        }
+    )
+    return consistency.match_violations(spoilt)
+
+
 # ---------------------------------------------------------------- streaming
 
 
