@@ -332,7 +332,6 @@ def test_short_passages_in_unlike_surroundings(spark):
         for s in r.spans:
             assert texts[r.doc_id][s.start : s.end] in texts[r.doc_id - 1] and r.first_docs == [r.doc_id - 1]
             assert s.end - s.start >= 100
-    print({n: sum(d in caught for d in size if size[d] == n) / 200 for n in (150, 250, 300)})
 
 
 def test_common_start():
