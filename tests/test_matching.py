@@ -120,3 +120,10 @@ def test_long_postings_are_not_cut(spark):
     ).first()
     assert (row.must, row.flags, row.constraints) == (151, 60, 70)
     assert "Kubernetes" in row.required_skills and len(row.few) == 100
+
+
+def test_no_join_takes_place_once_dimensions_are_made(spark):
+    scored = matching.score_pairs(t.pairs(spark, SF), q.postings(spark, SF), t.profiles(spark, SF), q.taxonomy())
+    lines = scored._jdf.queryExecution().optimizedPlan().toString().splitlines()
+    made = max(n for n, line in enumerate(lines) if "must_have_skills" in line)
+    assert not [line for line in lines[:made] if "Join" in line]
