@@ -127,3 +127,12 @@ def test_no_join_takes_place_once_dimensions_are_made(spark):
     lines = scored._jdf.queryExecution().optimizedPlan().toString().splitlines()
     made = max(n for n, line in enumerate(lines) if "must_have_skills" in line)
     assert not [line for line in lines[:made] if "Join" in line]
+
+
+@pytest.mark.parametrize("name", list(matching.DIMENSIONS))
+def test_skills_are_looked_up_for_dimensions_that_read_them(spark, monkeypatch, name):
+    asked = []
+    look_up = matching.profile_skill_hits
+    monkeypatch.setattr(matching, "profile_skill_hits", lambda *a: asked.append(name) or look_up(*a))
+    q._features(spark, SF, (name,))
+    assert bool(asked) == (name in ("must_have_skills", "preferred_skills", "domain"))
