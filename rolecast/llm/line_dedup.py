@@ -5,7 +5,8 @@ line is cut into blocks of a few words, from its start and from its end, and eac
 the SimHash of its words. Changed words spoil the blocks they lie in and leave the others whole, so
 two lines with fewer changed words than blocks meet in one. Lines that meet and whose own SimHashes
 differ in few bits are held against each other: linked are those of an edit similarity of at least
-0.8. Of each connected group the first line of the corpus stays.
+0.8. Of a large block each line is held against two others first; what these links do not join is held
+against all close lines of the block. Of each connected group the first line of the corpus stays.
 """
 
 from __future__ import annotations
@@ -19,7 +20,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from rolecast.llm.arrays import borders, majority_bits, mix, range_hashes, running, span_hashes, text_chunks
+from rolecast.llm.arrays import borders, majority_bits, mix, range_hashes, span_hashes, text_chunks
 from rolecast.llm.contamination import _WORD as WORD
 from rolecast.plans.components import connected_components
 from rolecast.plans.skew import salted_join
@@ -31,10 +32,12 @@ MAX_BITS, MAX_BITS_SHORT = 14, 20
 #: Words of a block, and of a line that is short enough to be looked up without each of its words in turn.
 BLOCK_WORDS = 4
 SHORT_LINE = 9
-#: Blocks of each half of a long line under which it is looked up: those with the smallest keys, the same in lines that share them.
-HALF_BLOCKS = 4
 #: Rows of one block that one task compares with another such set.
 BLOCK_ROWS = 8192
+#: The same where the rows have their texts with them.
+TEXT_ROWS = 1024
+#: Kinds of characters that are counted to tell lines apart; those of a kind are taken for one.
+KINDS = 32
 #: One line in so many is looked at for large blocks.
 SAMPLE = 64
 #: Cells of one comparison held at once.
@@ -132,13 +135,6 @@ def block_keys(words: np.ndarray, starts: np.ndarray, counts: np.ndarray) -> tup
     position = np.where(from_end, -(k - front[o]) - 1, np.where(k < front[o], k, front[o])).astype(np.int64)
     # Even keys for blocks, odd ones for short lines.
     keys[at] = mix(simhash ^ mix(position.view(np.uint64) + np.uint64(1))) & ~np.uint64(1)
-    # By line and half, then key; the middle block counts with the first half.
-    side = 2 * o + from_end
-    order = np.argsort((side.astype(np.uint64) << np.uint64(40)) | (keys[at] >> np.uint64(24)))
-    rank = np.empty(len(at), dtype=np.int64)
-    rank[order] = np.arange(len(at)) - np.searchsorted(side[order], side[order], side="left")
-    kept = np.ones(len(owner), dtype=bool)
-    kept[at] = rank < HALF_BLOCKS
 
     at = np.flatnonzero(nth >= blocks[owner])
     o = owner[at]
@@ -150,19 +146,19 @@ def block_keys(words: np.ndarray, starts: np.ndarray, counts: np.ndarray) -> tup
         word = words[np.minimum(starts[o] + j, max(len(words) - 1, 0))] if len(words) else value
         value = np.where(there, mix(value * np.uint64(0x9E3779B97F4A7C15) + word), value)
     keys[at] = value | np.uint64(1)
-    return keys[kept], running(kept)[cuts]
+    return keys, cuts
 
 
-def _striped(rows: DataFrame) -> DataFrame:
-    """``rows(bucket, node, fp)`` with large buckets cut into (stripe, column) squares, so that no task holds a whole one.
+def _striped(rows: DataFrame, block_rows: int) -> DataFrame:
+    """``rows(bucket, node, fp, ...)`` with large buckets cut into (stripe, column) squares, so that no task holds a whole one.
 
     Which buckets are large is told by one line in SAMPLE. This decides on the squares only, not on
     what is compared: a bucket that is overlooked is compared as one.
     """
     sizes = (
         rows.filter(F.pmod(F.xxhash64("node"), F.lit(SAMPLE)) == 0)
-        .groupBy("bucket").agg((F.count(F.lit(1)) * SAMPLE).alias("k")).filter(F.col("k") > BLOCK_ROWS)
-        .select("bucket", F.ceil(F.col("k") / BLOCK_ROWS).cast("int").alias("parts"))
+        .groupBy("bucket").agg((F.count(F.lit(1)) * SAMPLE).alias("k")).filter(F.col("k") > block_rows)
+        .select("bucket", F.ceil(F.col("k") / block_rows).cast("int").alias("parts"))
     )
     # Written first: from the size of its file the planner sees whether all block rows need a shuffle for it.
     placed = rows.join(cut_lineage(sizes), "bucket", "left").withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
@@ -174,50 +170,64 @@ def _striped(rows: DataFrame) -> DataFrame:
     asking = F.transform(every, lambda k: square(F.col("part"), k, 0))
     asked = F.transform(every, lambda k: square(k, F.col("part"), 1))
     alone = F.array(square(F.lit(0), F.lit(0), 2))
-    return placed.select("bucket", "node", "fp", F.explode(F.when(F.col("parts").isNull(), alone).otherwise(F.concat(asking, asked))).alias("at")).select(
-        "bucket", "at.*", "node", "fp"
-    )
+    at = F.explode(F.when(F.col("parts").isNull(), alone).otherwise(F.concat(asking, asked))).alias("at")
+    return placed.select(*rows.columns, at).select("bucket", "at.*", *rows.columns[1:])
 
 
 def _limit(bucket: np.ndarray) -> np.ndarray:
     return np.where(bucket & 1, MAX_BITS_SHORT, MAX_BITS)
 
 
-def _chosen(a: np.ndarray, fp_a: np.ndarray, b: np.ndarray, fp_b: np.ndarray, limit: int) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs (a, b): each a with the closest node of b, and with the smallest one that is close enough."""
-    order = np.argsort(b, kind="stable")
-    b, fp_b = b[order], fp_b[order]
-    left, right = [], []
+def _close(a: np.ndarray, fp_a: np.ndarray, b: np.ndarray, fp_b: np.ndarray, limit: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(first row, bits, which are close) of a few rows ``a`` at a time against all of ``b``; a node is not close to itself."""
     step = max(1, CELLS // max(1, len(b)))
     for k in range(0, len(a), step):
         bits = np.bitwise_count(fp_a[k : k + step, None] ^ fp_b[None, :])
         bits[a[k : k + step, None] == b[None, :]] = 65
-        near = bits <= limit
+        yield k, bits, bits <= limit
+
+
+def _chosen(a: np.ndarray, fp_a: np.ndarray, b: np.ndarray, fp_b: np.ndarray, limit: int) -> tuple[np.ndarray, np.ndarray, bool]:
+    """Pairs (a, b): each a with the closest node of b, and with the smallest one that is close enough; and whether others are close."""
+    order = np.argsort(b, kind="stable")
+    b, fp_b = b[order], fp_b[order]
+    left, right, others = [], [], False
+    for k, bits, near in _close(a, fp_a, b, fp_b, limit):
         some = np.flatnonzero(near.any(axis=1))
+        closest, smallest = bits[some].argmin(axis=1), near[some].argmax(axis=1)
         left += [a[k + some]] * 2
-        right += [b[bits[some].argmin(axis=1)], b[near[some].argmax(axis=1)]]
+        right += [b[closest], b[smallest]]
+        others = others or bool((near[some].sum(axis=1) > 1 + (closest != smallest)).any())
     x, y = (np.concatenate(s) if s else a[:0] for s in (left, right))
-    return np.minimum(x, y), np.maximum(x, y)
+    return np.minimum(x, y), np.maximum(x, y), others
 
 
 def candidates(rows: DataFrame) -> DataFrame:
-    """Distinct pairs (a, b) of lines that meet in a block of ``rows(bucket, node, fp)`` and are close by SimHash.
+    """Distinct pairs (a, b, bucket) of lines that meet in a block of ``rows(bucket, node, fp)`` and are close by SimHash.
 
     Of a block each line names two others, the smallest and the closest, so a block of k lines gives
-    at most 2 k pairs. Where two lines belong together, the ways over such pairs join them.
+    at most 2 k pairs. A block with further close lines is told by a row (null, null, bucket); elsewhere
+    ``bucket`` is null.
     """
     keys = ["bucket", "stripe", "column"]
 
+    def found(pairs: list[tuple[np.ndarray, np.ndarray]], told: list[int]) -> pa.RecordBatch:
+        a, b = (np.concatenate(x) for x in zip(*pairs))
+        none = pa.nulls(len(told), pa.int64())
+        columns = [[pa.array(a), none], [pa.array(b), none], [pa.nulls(len(a), pa.int64()), pa.array(told, pa.int64())]]
+        return pa.RecordBatch.from_arrays([pa.concat_arrays(c) for c in columns], ["a", "b", "bucket"])
+
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple[np.ndarray, ...]] = []
         current = None
 
-        def settle() -> tuple[np.ndarray, np.ndarray]:
+        def settle() -> tuple[np.ndarray, np.ndarray, list[int]]:
             side, node, fp = (np.concatenate(c) for c in zip(*held))
             one, other = side != 1, side != 0
             if one.sum() == 0 or other.sum() == 0 or len(node) < 2:
-                return node[:0], node[:0]
-            return _chosen(node[one], fp[one], node[other], fp[other], int(_limit(np.int64(current[0]))))
+                return node[:0], node[:0], []
+            x, y, others = _chosen(node[one], fp[one], node[other], fp[other], int(_limit(np.int64(current[0]))))
+            return x, y, [current[0]] if others else []
 
         for batch in batches:
             key = np.stack([batch.column(k).to_numpy(zero_copy_only=False).astype(np.int64) for k in range(3)], axis=1)
@@ -225,34 +235,32 @@ def candidates(rows: DataFrame) -> DataFrame:
             if not len(key):
                 continue
             cut = np.concatenate(([0], np.flatnonzero((key[1:] != key[:-1]).any(axis=1)) + 1, [len(key)]))
-            found = []
             # Most blocks hold one line and need no look, many of the others two; a batch's first and last may go on.
             size, edge = np.diff(cut), np.zeros(len(cut) - 1, dtype=bool)
             edge[:1] = edge[-1:] = True
             two = cut[:-1][(size == 2) & ~edge]
             two = two[(columns[0][two] == 2) & (np.bitwise_count(columns[2][two] ^ columns[2][two + 1]) <= _limit(key[two, 0]))]
             x, y = columns[1][two], columns[1][two + 1]
-            found.append((np.minimum(x, y), np.maximum(x, y)))
+            pairs, told = [(np.minimum(x, y), np.maximum(x, y))], []
             several = edge | (size > 2) | ((size == 2) & (columns[0][np.minimum(cut[:-1], len(key) - 1)] != 2))
             for k in np.flatnonzero(several):
                 start, stop = cut[k], cut[k + 1]
-                if start == stop:
-                    continue
-                this = tuple(key[start])
+                this = tuple(key[start].tolist())
                 if held and this != current:
-                    found.append(settle())
+                    x, y, others = settle()
+                    pairs.append((x, y))
+                    told += others
                     held.clear()
                 current = this
                 held.append(tuple(c[start:stop] for c in columns))
-            a, b = (np.concatenate(x) for x in zip(*found))
-            yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
+            yield found(pairs, told)
         if held:
-            a, b = settle()
-            yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
+            x, y, others = settle()
+            yield found([(x, y)], others)
 
     parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    placed = _striped(rows).select(*keys, "side", "node", "fp").repartition(parts, *keys).sortWithinPartitions(*keys)
-    return placed.mapInArrow(compare, "a long, b long").distinct()
+    placed = _striped(rows, BLOCK_ROWS).select(*keys, "side", "node", "fp").repartition(parts, *keys).sortWithinPartitions(*keys)
+    return placed.mapInArrow(compare, "a long, b long, bucket long").distinct()
 
 
 def _node_texts(source: DataFrame, places: DataFrame) -> DataFrame:
@@ -347,6 +355,76 @@ def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     return both.select("a", "b", "text_a", "text_b").mapInArrow(verify, "a long, b long")
 
 
+def _kinds(text: str) -> np.ndarray:
+    """How many characters of each kind a text has. One edit changes a count up by one and another down by one at most."""
+    return np.bincount(np.frombuffer(text.encode("utf-32-le"), np.uint32) % KINDS, minlength=KINDS).astype(np.int32)
+
+
+def _joined(text: list[str], fp: np.ndarray, side: np.ndarray, label: np.ndarray, limit: int) -> list[tuple[int, int]]:
+    """Rows (i, j) of linked lines that join what ``label`` parts, a row of side 0 or 2 with one of side 1 or 2.
+
+    Every pair of rows is linked by its text, ruled out, or joined already when its turn comes, so a
+    set of k rows gives fewer than k links and no way between its rows is missed.
+    """
+    length = np.fromiter(map(len, text), np.int64, len(text))
+    kinds = np.stack([_kinds(t) for t in text])
+    group = np.unique(label, return_inverse=True)[1]
+    asked = np.flatnonzero(side != 0)
+    links = []
+    for i in np.flatnonzero(side != 1):
+        at = asked[(group[asked] != group[i]) & (np.bitwise_count(fp[asked] ^ fp[i]) <= limit)]
+        if side[i] == 2:
+            at = at[at > i]
+        most = np.maximum(length[at], length[i]) // CHARS_PER_EDIT
+        at = at[np.abs(length[at] - length[i]) <= most]
+        change = kinds[at] - kinds[i]
+        most = np.maximum(length[at], length[i]) // CHARS_PER_EDIT
+        at = at[np.maximum(np.maximum(change, 0).sum(axis=1), np.maximum(-change, 0).sum(axis=1)) <= most]
+        for j in at:
+            if group[j] != group[i] and within_edits(text[i], text[j], max(length[i], length[j]) // CHARS_PER_EDIT):
+                links.append((i, j))
+                group[group == group[j]] = group[i]
+    return links
+
+
+def further_links(rows: DataFrame, found: DataFrame, groups: DataFrame, texts: DataFrame) -> DataFrame:
+    """Links (a, b) of close lines of ``rows(bucket, node, fp)`` that join different ``groups(node, label)``.
+
+    Only blocks that ``found(a, b, bucket)`` tells of are looked at, those whose lines are close to more
+    than the two that they named. There every close pair is held against each other where it lies, with
+    its texts, and links come out, fewer than rows, however many pairs there are.
+    """
+    inside = cut_lineage(rows.join(found.filter("bucket IS NOT NULL").select("bucket"), "bucket", "left_semi"))
+    named = salted_join(inside, groups, ["node"], "bucket", "left").withColumn("label", F.coalesce("label", "node"))
+    several = named.groupBy("bucket").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low < high").select("bucket")
+    parted = cut_lineage(named.join(several, "bucket", "left_semi"))
+    keys = ["bucket", "stripe", "column"]
+
+    def link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[dict] = []
+
+        def settle() -> pa.RecordBatch:
+            node = [r["node"] for r in held]
+            fp, side, label = (np.array([r[c] for r in held], np.int64) for c in ("fp", "side", "label"))
+            limit = int(_limit(np.int64(held[0]["bucket"])))
+            links = _joined([r["text"] for r in held], fp.view(np.uint64), side, label, limit)
+            ends = [pa.array([node[pair[k]] for pair in links], pa.int64()) for k in (0, 1)]
+            return pa.RecordBatch.from_arrays(ends, ["a", "b"])
+
+        for batch in batches:
+            for row in batch.to_pylist():
+                if held and any(held[0][k] != row[k] for k in keys):
+                    yield settle()
+                    held.clear()
+                held.append(row)
+        if held:
+            yield settle()
+
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    placed = salted_join(_striped(parted, TEXT_ROWS), texts, ["node"], "bucket").select(*keys, "side", "node", "fp", "label", "text")
+    return placed.repartition(parts, *keys).sortWithinPartitions(*keys, "node").mapInArrow(link, "a long, b long").distinct()
+
+
 def removed_lines(source: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """(row, tie, lines): the numbers of the lines that go, per document."""
     every = cut_lineage(line_rows(source, min_words))
@@ -357,11 +435,19 @@ def removed_lines(source: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
             F.count(F.lit(1)).alias("n"), F.min(place).alias("first"), F.first("fp").alias("fp"), F.first("blocks").alias("blocks")
         )
     )
-    pairs = cut_lineage(candidates(keys.select(F.explode("blocks").alias("bucket"), F.col("hash").alias("node"), "fp")))
+    rows = keys.select(F.explode("blocks").alias("bucket"), F.col("hash").alias("node"), "fp")
+    found = cut_lineage(candidates(rows))
+    pairs = found.filter("bucket IS NULL").select("a", "b")
     met = pairs.select(F.col("a").alias("hash")).unionByName(pairs.select(F.col("b").alias("hash"))).distinct()
     places = keys.join(met, "hash", "left_semi").select(F.col("hash").alias("node"), "first")
     texts = cut_lineage(_node_texts(source, places))
-    groups = connected_components(verified(pairs, texts))
+    links = cut_lineage(verified(pairs, texts))
+    groups = connected_components(links)
+    if not found.filter("bucket IS NOT NULL").isEmpty():
+        # A line that is close to any other is in ``texts``.
+        further = cut_lineage(further_links(rows, found, groups, texts))
+        if not further.isEmpty():
+            groups = connected_components(links.unionByName(further))
     # The first place of a group comes from the first places of its lines, not from all of them.
     grouped = keys.join(groups.withColumnRenamed("node", "hash"), "hash", "left").filter("n > 1 OR label IS NOT NULL")
     grouped = cut_lineage(grouped.select("hash", "first", "label"))

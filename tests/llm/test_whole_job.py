@@ -3,6 +3,7 @@
 import random
 from itertools import combinations
 
+import pytest
 from pyspark.sql import functions as F
 
 from rolecast.llm import contamination, line_dedup, private_data
@@ -110,6 +111,41 @@ def test_exact_copies_of_short_lines_go(spark):
     assert {r.doc_id: r.text for r in got} == {1: docs[0][1], 2: "---\n\nsee alsos", 3: "日本語の行\nSee", 4: ""}
 
 
+def gone_lines(spark, docs):
+    source = spark.createDataFrame(docs, "row long, text string").selectExpr("row", "xxhash64(text) as tie", "text")
+    return {r.row for r in line_dedup.removed_lines(source).collect()}
+
+
+@pytest.mark.parametrize("block_rows", [1024, 8])
+def test_lines_beyond_the_two_named_in_a_block_are_held_too(spark, monkeypatch, block_rows):
+    # All lines of a block are close by SimHash. Long words part them by edit similarity but for twins, which need not name each other.
+    monkeypatch.setattr(line_dedup, "BLOCK_ROWS", block_rows)
+    monkeypatch.setattr(line_dedup, "TEXT_ROWS", block_rows)
+    monkeypatch.setattr(line_dedup, "SAMPLE", 1)
+    rng = random.Random(4)
+    shared = "a b c d e f g h"
+    names = ["".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(30)) for _ in range(60)]
+    docs = [(k, f"{shared} {name}") for k, name in enumerate(names)] + [(100 + k, f"{shared} {name}x") for k, name in enumerate(names)]
+    assert gone_lines(spark, docs) == {d for d, _ in docs if d >= 100}
+
+
+def test_long_lines_meet_in_any_block(spark):
+    rng = random.Random(8)
+    lines = {k: ["".join(rng.choice("abcdefgh") for _ in range(9)) for _ in range(200)] for k in range(20)}
+    docs = [(k, " ".join(line)) for k, line in lines.items()]
+    source = spark.createDataFrame(docs, "row long, text string").withColumn("tie", F.lit(0).cast("long"))
+    for r in line_dedup.line_rows(source, 3).collect():
+        keys = [k % 2**64 for k in r.blocks]
+        assert len(keys) == 50
+        other = list(lines[r.row])
+        # Spoilt are the blocks of the five smallest keys of each half, counted from the start and from the end.
+        for half in (0, 25):
+            for j in sorted(range(25), key=lambda k: keys[half + k])[:5]:
+                other[j * 4 if half == 0 else 196 - j * 4] = "of"
+        docs.append((1000 + r.row, " ".join(other)))
+    assert gone_lines(spark, docs) == {d for d, _ in docs if d >= 1000}
+
+
 def test_overlaps_without_ids_and_with_shared_ids(spark, monkeypatch):
     monkeypatch.setattr(contamination, "HITS", 3)
     item = "alpha beta gamma delta epsilon zeta eta theta iota kappa lambda mu nu xi"
