@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from rolecast.functions.skills import Taxonomy
-from rolecast.operators.matching import WEIGHTS, score_pairs
+from rolecast.operators.matching import WEIGHTS, score_pairs, skill_labels, with_scores
 from rolecast.operators.store import MAX_RECENT, checked, filter_postings, recent
 from rolecast.session import cut_lineage
 
@@ -54,6 +54,22 @@ def match_reasons(dimensions: Column) -> Column:
     return F.transform(F.slice(F.array_sort(keyed), 1, MAX_REASONS), lambda k: k.reason)
 
 
+def pair_reasons(features: DataFrame) -> DataFrame:
+    """(job_id, profile_id, reasons) for joined pair features: ``match_reasons`` where nothing else of the dimensions is read."""
+
+    def keyed(name: str, pos: int) -> Column:
+        score = F.col(f"_score_{name}")
+        reason = F.lit(PLAIN_REASONS.get(name))
+        if name in SKILL_REASONS:
+            named = F.array_join(skill_labels(name, F.slice(f"_covered_{name}", 1, 3)), ", ")
+            reason = F.when(named != "", F.concat(F.lit(f"{SKILL_REASONS[name]}: "), named)).otherwise(SKILL_REASONS[name])
+        key = F.struct((-(score * WEIGHTS[name])).alias("rank"), F.lit(pos).alias("pos"), F.left(reason, F.lit(500)).alias("reason"))
+        return F.when(score > 0, key)
+
+    first = F.slice(F.sort_array(F.array_compact(F.array(*[keyed(name, k) for k, name in enumerate(WEIGHTS)]))), 1, MAX_REASONS)
+    return with_scores(features).select("job_id", "profile_id", F.transform(first, lambda k: k.reason).alias("reasons"))
+
+
 def shortlist(
     postings: DataFrame,
     profiles: DataFrame,

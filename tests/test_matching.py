@@ -136,3 +136,24 @@ def test_skills_are_looked_up_for_dimensions_that_read_them(spark, monkeypatch,
     monkeypatch.setattr(matching, "profile_skill_hits", lambda *a: asked.append(name) or look_up(*a))
     q._features(spark, SF, (name,))
     assert bool(asked) == (name in ("must_have_skills", "preferred_skills", "domain"))
+
+
+def test_reasons_of_pairs_are_those_of_their_dimensions(spark):
+    from checks import queries
+    from rolecast.operators.shortlist import match_reasons, pair_reasons
+
+    features = queries._features(spark, "/root/testdata/sf0.001")
+    whole = matching.match_dimensions(features).select("job_id", "profile_id", match_reasons(F.col("dimensions")).alias("reasons"))
+    short = pair_reasons(features)
+    assert short.count() > 100 and short.exceptAll(whole).isEmpty() and whole.exceptAll(short).isEmpty()
+
+
+def test_pairs_are_not_dealt_out_by_phrase(spark):
+    from checks import tables
+    from checks.queries import postings
+
+    sf_dir = "/root/testdata/sf0.001"
+    found = matching.deal_breakers(tables.pairs(spark, sf_dir), postings(spark, sf_dir), tables.profiles(spark, sf_dir))
+    # The lists of both sides and the pairs themselves are grouped, not the pairs by phrase.
+    assert not any("collect_list" in line and "job_id" in line for line in found._jdf.queryExecution().optimizedPlan().toString().splitlines())
+    assert found.filter("size(blockers) = 0").isEmpty()
