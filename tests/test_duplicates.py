@@ -99,3 +99,12 @@ def test_two_places_rounds_like_the_double(spark):
     df = spark.createDataFrame(cases, "a int, b int, e string")
     for r in df.withColumn("g", duplicates.two_places(F.col("a"), F.col("b"))).collect():
         assert r.g == r.e, r
+
+
+def test_exact_duplicates_keep_no_texts(spark):
+    from checks import queries
+
+    sf_dir = "/root/testdata/sf0.001"
+    queries.QUERIES["exact_duplicates"](spark, sf_dir)
+    kept = {name: path for (_, at, name), path in queries._stored.items() if at == sf_dir}
+    assert spark.read.parquet(kept["fingerprints"]).columns == ["job_id", "fingerprint"]
