@@ -146,6 +146,30 @@ def test_long_lines_meet_in_any_block(spark):
     assert gone_lines(spark, docs) == {d for d, _ in docs if d >= 1000}
 
 
+def test_one_text_against_many(spark):
+    rng = random.Random(3)
+    for _ in range(300):
+        text, *others = (" ".join("".join(rng.choice("abé ") for _ in range(rng.randrange(1, 120))).split()) or "a" for _ in range(5))
+        distances = [line_dedup._edit_distance(text, other) for other in others]
+        for limit in (0, 7, 20, 45):
+            assert line_dedup.within_edits_each(text, others, [limit] * 4).tolist() == [d <= limit for d in distances]
+
+
+def test_lines_meet_their_texts_once_whatever_the_size_of_a_block(spark, monkeypatch):
+    # The texts of a large block's lines were fetched for each pair of stripes, which grew with the square of the block.
+    joined = []
+    met = line_dedup._met
+
+    def counted(rows, large, compare, schema):
+        if "text" in rows.columns:
+            joined.append((rows.count(), rows.select("bucket", "node").distinct().count()))
+        return met(rows, large, compare, schema)
+
+    monkeypatch.setattr(line_dedup, "_met", counted)
+    test_lines_beyond_the_two_named_in_a_block_are_held_too(spark, monkeypatch, 8)
+    assert joined and all(rows == different for rows, different in joined)
+
+
 def test_overlaps_without_ids_and_with_shared_ids(spark, monkeypatch):
     monkeypatch.setattr(contamination, "HITS", 3)
     item = "alpha beta gamma delta epsilon zeta eta theta iota kappa lambda mu nu xi"
