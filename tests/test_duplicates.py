@@ -108,3 +108,47 @@ def test_exact_duplicates_keep_no_texts(spark):
     queries.QUERIES["exact_duplicates"](spark, sf_dir)
     kept = {name: path for (_, at, name), path in queries._stored.items() if at == sf_dir}
     assert spark.read.parquet(kept["fingerprints"]).columns == ["job_id", "fingerprint"]
+
+
+def test_every_match_of_a_batch_is_named_in_both_scopes(spark):
+    schema = "job_id string, fingerprint string, company string, title string, description string"
+    rows = corpus()
+    # Some postings of the batch are stored already; one of them with another text.
+    again = [rows[0], rows[2], rows[50], (*rows[4][:2], "Beta Inc", *rows[4][3:])]
+    batch, stored = spark.createDataFrame(rows[::2], schema), spark.createDataFrame(rows[1::2] + again, schema)
+
+    def jac(a, b):
+        return 1.0 if not a and not b else len(a & b) / len(a | b)
+
+    def close(x, y):
+        return (
+            x.company and x.company == y.company and jac(set(x.title_set), set(y.title_set)) >= 0.8
+            and jac(set(x.shingle_set), set(y.shingle_set)) >= 0.85
+        )
+
+    olds = duplicates.prepare_postings(stored).collect()
+    for new, old in ((batch, stored), (stored, None)):
+        left = duplicates.prepare_postings(new).collect()
+        right = olds if old is not None else left
+        wanted = sorted((x.job_id, y.job_id, x.fingerprint == y.fingerprint) for x in left for y in right if x.fingerprint == y.fingerprint or close(x, y))
+        found = duplicates.Corpus(duplicates.arrivals(new, old), carry=duplicates.ARRIVED)
+        got = duplicates.batch_matches(found).collect()
+        assert sorted((r.job_id, r.existing_job_id, r.reason.startswith("Identical")) for r in got) == wanted
+
+
+def test_a_repeated_side_is_not_broadcast_and_shuffles_go_with_their_write(spark):
+    from rolecast.session import SHUFFLE_CLEANUP, cut_lineage
+
+    few = spark.range(10).selectExpr("id AS k", "id * 2 AS v")
+    joined = skew.salted_join(spark.range(1000).selectExpr("id % 10 AS k", "id"), few, ["k"], "id")
+    assert "Broadcast" not in joined._jdf.queryExecution().executedPlan().toString()
+
+    def shuffled():
+        files = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()
+        return {files.apply(n).getName() for n in range(files.size()) if files.apply(n).getName().startswith("shuffle_")}
+
+    before = shuffled()
+    kept = cut_lineage(joined)
+    assert not shuffled() - before
+    assert kept.count() == 1000
+    assert spark.conf.get(SHUFFLE_CLEANUP) == "false"
