@@ -157,3 +157,16 @@ def test_pairs_are_not_dealt_out_by_phrase(spark):
     # The lists of both sides and the pairs themselves are grouped, not the pairs by phrase.
     assert not any("collect_list" in line and "job_id" in line for line in found._jdf.queryExecution().optimizedPlan().toString().splitlines())
     assert found.filter("size(blockers) = 0").isEmpty()
+
+
+def test_readers_of_scores_build_no_texts(spark):
+    for query in (q.q_fit_scores, q.q_match_violations):
+        assert "corresponds to profile" not in query(spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_scores_added_up_from_columns_are_those_of_the_dimensions(spark):
+    jobs, people, pairs = q.postings(spark, SF), t.profiles(spark, SF), t.pairs(spark, SF)
+    made = matching.fit_scores(matching.match_dimensions(q._features(spark, SF)), matching.deal_breakers(pairs, jobs, people))
+    summed = matching.score_pairs(pairs, jobs, people, q.taxonomy())
+    columns = ["job_id", "profile_id", "fit_score", "band", "confidence", "warning_codes", "dimensions"]
+    assert made.select(columns).exceptAll(summed.select(columns)).isEmpty() and summed.count() == made.count() > 100
